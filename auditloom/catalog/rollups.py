@@ -247,8 +247,7 @@ def f02(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f03_newest_events",
-    f"""with {AUDIT}, e as (select event_id, ts, event_type, system, user_id,
-        row_number() over (partition by system order by ts desc, event_id desc) as r from audit)
+    f"""with {AUDIT}
     select event_id, {STAMP} as ts, event_type, system, user_id from audit
     where event_type = 'security_event' order by audit.ts desc, event_id desc limit 50""",
 )
