@@ -397,10 +397,10 @@ def d20(spark: SparkSession, d: str) -> DataFrame:
         "system", F.lit("all").alias("bucket"),
         F.concat_ws(" ", "value", F.date_format("bucket_start", "yyyy-MM-dd HH")).alias("value"),
     ).distinct()
-    values = daily.unionByName(whole)
+    values = materialize(daily.unionByName(whole), "values")
     keys = ["system", "bucket"]
     sizes = bloom.auto_capacity(values, keys, "value", initial=32, growth=4)
-    filters = bloom.build_sized(values, sizes, keys, "value", 0.001)
+    filters = materialize(bloom.build_sized(values, sizes, keys, "value", 0.001), "filters")
     answered = bloom.contains_sized(values, filters, keys, "value")
     counted = answered.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("accessed")).alias("false_no")

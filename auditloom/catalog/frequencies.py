@@ -12,6 +12,7 @@ from auditloom.functions.buckets import bucket_start
 from auditloom.functions.numbers import tidy
 from auditloom.operators import countmin, heavy
 from auditloom.operators.rollup import in_range
+from auditloom.session import materialize
 from auditloom.sources.tables import audit_events
 
 _HEAD = f"with {AUDIT}, {RANKED_VALUES}"
@@ -88,8 +89,9 @@ def d24(spark: SparkSession, d: str) -> DataFrame:
     where est >= 0.01 * total""",
 )
 def d25(spark: SparkSession, d: str) -> DataFrame:
-    counts = _counts(spark, d)
-    return countmin.heavy_items(counts, _cells(counts), KEYS, 0.01, hash="md5").drop("total")
+    counts = materialize(_counts(spark, d), "counts")
+    cells = materialize(_cells(counts), "cells")
+    return countmin.heavy_items(counts, cells, KEYS, 0.01, hash="md5").drop("total")
 
 
 @query(

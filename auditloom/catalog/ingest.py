@@ -22,7 +22,7 @@ from auditloom.operators.rollup import of_buckets, of_systems
 from auditloom.operators.routing import RULES, route
 from auditloom.plans import reports, snapshots
 from auditloom.schema import WINDOW_CODES, WINDOWS
-from auditloom.session import run_dir
+from auditloom.session import materialize, run_dir
 from auditloom.sources import records
 from auditloom.sources.store import RollupStore
 from auditloom.sources.tables import audit_events, latest_ts, with_metadata
@@ -516,7 +516,7 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
 )
 def c02(spark: SparkSession, d: str) -> DataFrame:
     events = audit_events(spark, d)
-    known = known_members(events)
+    known = materialize(known_members(events), "members")
     keys = ["system", "window", "bucket_start"]
     size = bloom.shape(10_000, 0.001)
     asked = questions(events).select(
@@ -524,7 +524,7 @@ def c02(spark: SparkSession, d: str) -> DataFrame:
         bucket_start_by(F.col("ts"), F.col("window")).alias("bucket_start"),
         F.concat_ws(":", "user_id", "system").alias("value"),
     )
-    filters = bloom.build(known, keys, "value", size)
+    filters = materialize(bloom.build(known, keys, "value", size), "filters")
     answered = bloom.with_probability(
         bloom.contains(asked, filters, keys, "value", size), filters, keys
     )

@@ -23,7 +23,7 @@ from auditloom.operators.mergeable import ExprAgg, PythonAgg, hll
 from auditloom.operators.routing import RULES, MetricRule, value_counts
 from auditloom.sources.records import newest, parse_timestamp
 from auditloom.sources.tables import EVENTS_SCHEMA, audit_events, latest_ts, with_metadata
-from auditloom.session import tune
+from auditloom.session import materialize, tune
 
 _HEAD = f"with {AUDIT}, {DISTINCT_VALUES}"
 KEY = ["metric", "system", "bucket_start"]
@@ -60,7 +60,8 @@ def d49(spark: SparkSession, d: str) -> DataFrame:
 def d50(spark: SparkSession, d: str) -> DataFrame:
     events = audit_events(spark, d)
     end = F.lit(latest_ts(events))
-    sketch, base = hll_rollup(events, "1h"), hourly_values(spark, d, "hll")
+    sketch = materialize(hll_rollup(events, "1h"), "sketches")
+    base = materialize(hourly_values(spark, d, "hll"), "values")
     keys = ["metric", "system"]
 
     def variant(name: str, cut) -> DataFrame:
@@ -68,12 +69,7 @@ def d50(spark: SparkSession, d: str) -> DataFrame:
             "variant", F.lit(name)
         )
 
-    def newest_hours(rows: DataFrame) -> DataFrame:
-        # the ranking runs over the few distinct buckets, the rows only meet its result
-        hours = rollup.last_existing(rows.select(*KEY).distinct(), keys, 24)
-        return rows.join(hours, KEY, "left_semi")
-
-    existing = variant("existing", newest_hours)
+    existing = variant("existing", lambda rows: rollup.last_existing(rows, keys, 24))
     calendar = variant("calendar", lambda rows: rollup.last_calendar(rows, "1h", end, 24))
     return existing.unionByName(calendar)
 
@@ -220,6 +216,7 @@ def e03(spark: SparkSession, d: str) -> DataFrame:
 )
 def e04(spark: SparkSession, d: str) -> DataFrame:
     hourly = heavy.topk_rollup(audit_events(spark, d), "1h").groupBy(*KEY).agg(F.sum("cnt").alias("cnt"))
+    hourly = materialize(hourly, "hourly")
     return labelled(rollup.last_existing(hourly, ["metric", "system"], 5), "1h")
 
 

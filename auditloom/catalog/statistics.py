@@ -17,7 +17,7 @@ from auditloom.operators.quantiles import (
     exact_percentiles, kll_rollup, merge_kll, percentiles, within_rank_error,
 )
 from auditloom.operators.rollup import coarsen, in_range
-from auditloom.session import run_dir
+from auditloom.session import materialize, measured, run_dir
 from auditloom.sources.store import RollupStore
 from auditloom.sources.tables import audit_events
 
@@ -151,7 +151,7 @@ def d38(spark: SparkSession, d: str) -> DataFrame:
       from audit, (select avg(latency_ms) as mu from audit))""",
 )
 def d39(spark: SparkSession, d: str) -> DataFrame:
-    hourly = moments.partial(_timed(spark, d, "1h"), DAILY, "latency_ms")
+    hourly = materialize(moments.partial(_timed(spark, d, "1h"), DAILY, "latency_ms"), "moments")
     by_system = moments.merge(hourly, ["system"])
     total = moments.merge(by_system, []).withColumn("system", F.lit("all systems"))
     return _shown(moments.present(by_system.unionByName(total), ["system"]))
@@ -162,7 +162,7 @@ def d39(spark: SparkSession, d: str) -> DataFrame:
     f"with {AUDIT}, {_central_sql('system', DAY)} select system, bucket, n, {_STATS_SQL}, lo, hi from s",
 )
 def d40(spark: SparkSession, d: str) -> DataFrame:
-    hourly = moments.moments_rollup(audit_events(spark, d), "1h")
+    hourly = materialize(moments.moments_rollup(audit_events(spark, d), "1h"), "moments")
     return labelled(_shown(moments.present(moments.merge(at_window(hourly, "1d"), DAILY), DAILY)), "1d")
 
 
@@ -206,8 +206,8 @@ def d41(spark: SparkSession, d: str) -> DataFrame:
     from audit a join b on b.system = a.system group by all""",
 )
 def d42(spark: SparkSession, d: str) -> DataFrame:
-    hourly = moments.partial(_timed(spark, d, "1h"), DAILY, "latency_ms")
-    bands = moments.band(moments.merge(hourly, ["system"]), ["system"], 2.0)
+    hourly = materialize(moments.partial(_timed(spark, d, "1h"), DAILY, "latency_ms"), "moments")
+    bands = measured(moments.band(moments.merge(hourly, ["system"]), ["system"], 2.0), "bands")
     judged = audit_events(spark, d).select("system", "latency_ms").join(bands, "system")
     return judged.groupBy(
         "system", tidy(F.col("low"), 6).alias("low"), tidy(F.col("high"), 6).alias("high")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.hashing import slots
+from auditloom.session import measured
 
 WORD = 64
 
@@ -116,7 +117,7 @@ def contains(
 
 def with_probability(answers: DataFrame, filters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add how likely each answer is right: certain for no, by the filter's rate for yes."""
-    rates = stats(filters, keys).select(*keys, "error_rate")
+    rates = measured(stats(filters, keys).select(*keys, "error_rate"), "rates")
     right = F.when(F.col("accessed"), 1.0 - F.coalesce("error_rate", F.lit(0.0))).otherwise(1.0)
     return answers.join(rates, list(keys), "left").withColumn("probability", right).drop("error_rate")
 
@@ -169,6 +170,7 @@ def build_sized(
     sized = sizes.select(*keys, "capacity", bits.alias("bits")).withColumn(
         "hashes", hashes_col(F.col("capacity"), F.col("bits"))
     )
+    sized = measured(sized, "sizes")
     position = F.transform(
         F.sequence(F.lit(0), F.col("hashes") - 1),
         lambda i: F.pmod(F.xxhash64(F.col(value), i), F.col("bits")),
@@ -186,7 +188,7 @@ def contains_sized(
 ) -> DataFrame:
     """Add ``accessed`` for filters that differ in size between keys."""
     on = [*keys, value]
-    shapes = filters.select(*keys, "bits", "hashes").distinct()
+    shapes = measured(filters.select(*keys, "bits", "hashes").distinct(), "shapes")
     position = F.transform(
         F.sequence(F.lit(0), F.col("hashes") - 1),
         lambda i: F.pmod(F.xxhash64(F.col(value), i), F.col("bits")),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.hashing import seeded_bucket
 from auditloom.operators.heavy import top_k
+from auditloom.session import measured
 
 DEPTH = 5
 WIDTH = 1000
@@ -91,7 +92,7 @@ def heavy_items(
 ) -> DataFrame:
     """Items whose estimated share is at least ``ratio``; misses no true heavy hitter."""
     estimates = query(items, cells, keys, hash=hash)
-    shared = estimates.join(totals(cells, keys), list(keys))
+    shared = estimates.join(measured(totals(cells, keys), "totals"), list(keys))
     return shared.where(F.col("est") >= ratio * F.col("total"))
 
 

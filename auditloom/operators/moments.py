@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.buckets import bucket_start, expires_at
 from auditloom.operators.ordered import running_sums
+from auditloom.session import measured
 
 STATE = ("n", "m1", "m2", "m3", "m4", "lo", "hi")
 
@@ -37,7 +38,8 @@ def partial(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def merge(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge any number of states per key at once: common mean, then shifted sums.
 
-    States of no rows are neutral. Both steps combine inside the tasks first.
+    States of no rows are neutral. Both steps combine inside the tasks first. The
+    states are read twice, so they should be a stored table, not a plan over raw rows.
     """
     keys = list(keys)
     n, d = F.col("n"), F.col("m1") - F.col("mean")
@@ -109,7 +111,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     the running sums lose no precision that matters.
     """
     keys = list(keys)
-    centre = df.groupBy(*keys).agg(F.avg(value).alias("centre"))
+    centre = measured(df.groupBy(*keys).agg(F.avg(value).alias("centre")), "centres")
     rows = df.where(F.col(value).isNotNull()).join(centre, keys)
     d = f"({value} - centre)"
     sums = {"n": "1L", "s1": d, "s2": f"{d}*{d}", "s3": f"{d}*{d}*{d}", "s4": f"{d}*{d}*{d}*{d}"}

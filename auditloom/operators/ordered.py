@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.session import materialize
+from auditloom.session import materialize, partitions_for, shuffle_partitions
 
 
 def running_sums(
@@ -20,26 +20,33 @@ def running_sums(
 ) -> DataFrame:
     """Add to every row the sums, per key, of all rows up to and including it.
 
-    ``sums`` maps new column names to SQL expressions over a row. ``order`` should
-    tell rows apart; equal rows are summed in no fixed order and cannot be split.
+    ``sums`` maps new column names to SQL expressions over a row; the sum over the
+    whole key is added under the same name with ``_total``. ``order`` should tell rows
+    apart; equal rows are summed in no fixed order and cannot be split.
     """
     keys, order = list(keys), list(order)
-    rows = df.repartitionByRange(*[F.col(c) for c in keys + order])
-    # the chunk numbers must not change between the two uses below
-    rows = materialize(rows.withColumn("chunk", F.spark_partition_id()), "ordered")
+    with shuffle_partitions(df.sparkSession, partitions_for(df)):
+        rows = df.repartitionByRange(*[F.col(c) for c in keys + order])
+        # the chunk numbers must not change between the two uses below
+        rows = materialize(rows.withColumn("chunk", F.spark_partition_id()), "ordered")
     inside = (
         Window.partitionBy("chunk", *keys)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and chunk: even a single key has no more rows than there are chunks
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "chunk").agg(
         *[F.sum(F.expr(e)).alias(f"_{name}") for name, e in sums.items()]
     )
     before = totals.select(
-        *keys, "chunk", *[F.sum(f"_{name}").over(earlier).alias(f"_{name}") for name in sums]
+        *keys,
+        "chunk",
+        *[F.sum(f"_{name}").over(earlier).alias(f"_{name}") for name in sums],
+        *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
     )
     local = rows.select("*", *[F.sum(F.expr(e)).over(inside).alias(n) for n, e in sums.items()])
     joined = local.join(before, [*keys, "chunk"])
     total = [(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in sums]
-    return joined.select(*df.columns, *total)
+    return joined.select(*df.columns, *total, *[f"{name}_total" for name in sums])

@@ -60,9 +60,7 @@ def exact_percentiles(
         .groupBy(*keys, F.col(value).alias("value"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    ranked = running_sums(counted, keys, ["value"], {"upto": "c"})
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ranked = ranked.join(sizes, keys)
+    ranked = running_sums(counted, keys, ["value"], {"upto": "c"}).withColumnRenamed("upto_total", "n")
     targets = []
     for p in ps:
         if kind == "cont":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from auditloom.functions.buckets import bucket_start, shift_back
 from auditloom.operators.mergeable import ExprAgg
 from auditloom.schema import window_spec
+from auditloom.session import measured
 
 
 def coarsen(agg: ExprAgg, rollup: DataFrame, window: str) -> DataFrame:
@@ -27,10 +28,16 @@ def in_range(rollup: DataFrame, window: str, start: datetime, end: datetime) ->
 
 
 def last_existing(rollup: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Rows of the ``n`` newest buckets that exist per key; none for ``n`` below 1."""
+    """Rows of the ``n`` newest buckets that exist per key; none for ``n`` below 1.
+
+    Only the distinct buckets are ranked, of which the calendar allows few per key;
+    the rows themselves just meet the result.
+    """
+    on = [*keys, "bucket_start"]
     newest = Window.partitionBy(*keys).orderBy(F.desc("bucket_start"))
-    ranked = rollup.withColumn("_age", F.dense_rank().over(newest))
-    return ranked.where(F.col("_age") <= n).drop("_age")
+    ranked = rollup.select(*on).distinct().withColumn("_age", F.row_number().over(newest))
+    wanted = measured(ranked.where(F.col("_age") <= n).select(*on), "newest")
+    return rollup.join(wanted, on, "left_semi")
 
 
 def last_calendar(rollup: DataFrame, window: str, end: Column, n: int) -> DataFrame:
@@ -47,7 +54,8 @@ def of_systems(rollup: DataFrame, systems: Sequence[str]) -> DataFrame:
 
 def of_buckets(rollup: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose bucket is in the wanted list; an empty list gives nothing."""
-    return rollup.join(wanted.select("bucket_start").distinct(), "bucket_start", "left_semi")
+    buckets = measured(wanted.select("bucket_start").distinct(), "buckets")
+    return rollup.join(buckets, "bucket_start", "left_semi")
 
 
 def with_sources(agg: ExprAgg, partials: DataFrame, keys: Sequence[str], source: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Sketch aggregates hold one object per key. A few thousand keys per task are
-    # far below executor memory, and staying hash-based avoids sorting raw rows.
+    # Sketch aggregates hold one object per key and fall back to sorting the raw rows
+    # past this many keys per task. A full distinct-count sketch takes 16 kB, so three
+    # per key bound a task at 200 MB; sketches of few values take a fraction of it.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
@@ -64,6 +67,43 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a DataFrame reads, as the optimizer sees it after pruning."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def partitions_for(df: DataFrame, bytes_per_task: int = 128 << 20) -> int:
+    """Shuffle partitions that keep tasks at a size that fits in memory.
+
+    Never below the session's setting; small partitions are put together at run time.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-input_bytes(df) // bytes_per_task), 200_000))
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, count: int) -> Iterator[None]:
+    """Use ``count`` shuffle partitions for the jobs started inside."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(count))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def measured(df: DataFrame, label: str) -> DataFrame:
+    """A join side that should be small, written out so that its true size is known.
+
+    The optimizer overrates an aggregate of a huge table and would shuffle the other
+    side to meet it. Reading it back, it broadcasts the table if it is below the
+    broadcast threshold, and otherwise joins by shuffle, splitting skewed partitions.
+    """
+    return materialize(df, label)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 

@@ -7,9 +7,6 @@ summary they belong to has run out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -20,30 +17,18 @@ from auditloom.operators.heavy import topk_rollup
 from auditloom.operators.members import member_rollup
 from auditloom.operators.quantiles import KLL_K, kll_rollup
 from auditloom.schema import window_spec
-from auditloom.session import run_dir
+from auditloom.session import run_dir, shuffle_partitions
 from auditloom.sources.records import published, read_feed
 from auditloom.sources.store import RollupStore
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """Cap state partitions at twice the cores while a query starts.
-
-    A stateful query keeps this number for life, and pays for each partition in
-    every micro-batch.
-    """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def run_available(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
     """Process everything there is, then stop. Progress is kept under ``checkpoint``."""
-    with state_partitions(spark):
+    # a stateful query keeps its number of state partitions for life, and pays for each
+    # in every micro-batch: no more than two per core
+    cores = spark.sparkContext.defaultParallelism
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
+    with shuffle_partitions(spark, least):
         running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         running.awaitTermination()
 
