@@ -41,10 +41,12 @@ def _resent(spark: SparkSession, d: str) -> DataFrame:
     """All events as a stream of several files, out of order, and everything sent twice."""
     root = run_dir(spark, "feed")
     for attempt in (0, 1):
-        raw_events(spark, d).repartition(2, "user_id").write.parquet(f"{root}/attempt={attempt}")
+        raw_events(spark, d).repartition(F.col("event_id")).write.parquet(f"{root}/attempt={attempt}")
+    # about four batches, however much data there is
+    files = len(spark.read.schema(EVENTS_SCHEMA).parquet(root).inputFiles())
     raw = (
         tune(spark).readStream.schema(EVENTS_SCHEMA).option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1).parquet(root)
+        .option("maxFilesPerTrigger", -(-files // 4)).parquet(root)
     )
     return to_audit_events(raw)
 

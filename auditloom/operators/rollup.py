@@ -84,19 +84,31 @@ def rolling_distinct(rollup: DataFrame, window: str, n: int) -> DataFrame:
 
 
 def exact_rolling_distinct(values: DataFrame, window: str, n: int) -> DataFrame:
-    """Exact form of :func:`rolling_distinct`.
+    """Exact form of :func:`rolling_distinct`, without copying rows into every window.
 
-    Each value is copied into the ``n`` buckets that look back on it, and buckets
-    without rows of their own are left out, as in the sketch form.
+    An occurrence counts from its bucket until it leaves the look-back or the value
+    occurs again, so it adds one at the first and takes one away at the second. The
+    running total of these changes is the number of values in sight.
     """
-    ahead = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: shift_back(F.col("bucket_start"), window, -i),
+    key, step = ["metric", "system", "bucket_start"], window_spec(window).duration_s
+    again = F.lead("bucket_start").over(
+        Window.partitionBy("metric", "system", "value").orderBy("bucket_start")
     )
-    keys = ["metric", "system", "bucket_start"]
-    spread = values.select("metric", "system", F.explode(ahead).alias("bucket_start"), "value")
-    counted = spread.groupBy(*keys).agg(F.count_distinct("value").alias("exact"))
-    return counted.join(values.select(*keys).distinct(), keys, "left_semi")
+    gone = F.timestamp_seconds(F.unix_seconds("bucket_start") + F.lit(n * step))
+    spans = values.select(*key, "value").distinct().select(
+        *key, F.least(gone, F.coalesce(again, gone)).alias("until")
+    )
+    changes = spans.select(
+        "metric", "system", F.expr("stack(2, bucket_start, 1L, until, -1L) as (bucket_start, change)")
+    )
+    per_bucket = changes.groupBy(*key).agg(F.sum("change").alias("change"))
+    so_far = (
+        Window.partitionBy("metric", "system")
+        .orderBy("bucket_start")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = per_bucket.select(*key, F.sum("change").over(so_far).alias("exact"))
+    return totals.join(values.select(*key).distinct(), key, "left_semi")
 
 
 def extend(agg: ExprAgg, stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -56,26 +56,28 @@ def rules_for(structure: str, rules: Iterable[MetricRule] = RULES) -> tuple[Metr
     return tuple(r for r in rules if r.structure == structure)
 
 
+def _fan_out(rows: Iterable[tuple[str, ...]], names: str) -> str:
+    """``stack`` over rows of SQL expressions; it stays in generated code."""
+    cells = [cell for row in rows for cell in row]
+    count = len(cells) // len(names.split(","))
+    return f"stack({count}, {', '.join(cells)}) as ({names})"
+
+
+def _value(rule: MetricRule) -> str:
+    return f"case when {rule.condition} then {rule.value} end"
+
+
 def route(events: DataFrame, rules: Iterable[MetricRule] = RULES) -> DataFrame:
-    """All updates of all events: one scan, one explode, whatever the number of rules."""
-    updates = [
-        F.when(
-            F.expr(rule.condition),
-            F.struct(
-                F.lit(rule.structure).alias("structure"),
-                F.lit(rule.metric).alias("metric"),
-                F.lit(window).alias("window"),
-                F.expr(rule.value).alias("value"),
-            ),
-        )
+    """All updates of all events: one scan and one generator, however many the rules."""
+    rows = [
+        (f"'{rule.structure}'", f"'{rule.metric}'", f"'{window}'", _value(rule))
         for rule in rules
         for window in rule.windows
     ]
+    updates = F.expr(_fan_out(rows, "structure, metric, window, value"))
     return (
-        events.select(
-            "event_id", "system", "ts", F.explode(F.array_compact(F.array(*updates))).alias("u")
-        )
-        .select("event_id", "system", "ts", "u.*")
+        events.select("event_id", "system", "ts", updates)
+        .where("value is not null")
         .withColumn("bucket_start", bucket_start_by(F.col("ts"), F.col("window")))
     )
 
@@ -88,21 +90,13 @@ def value_counts(
     The count is partial inside each task, so a hot value crosses the network once per
     task however many rows it has, and the shuffle key includes the value.
     """
-    updates = [
-        F.when(
-            F.expr(rule.condition),
-            F.struct(F.lit(rule.metric).alias("metric"), F.expr(rule.value).alias("value")),
-        )
-        for rule in rules
-    ]
+    rows = [(f"'{rule.metric}'", _value(rule)) for rule in rules]
+    updates = F.expr(_fan_out(rows, "metric, value"))
+    start = bucket_start(F.col("ts"), window).alias("bucket_start")
     return (
-        events.select(
-            "system",
-            "ts",
-            bucket_start(F.col("ts"), window).alias("bucket_start"),
-            F.explode(F.array_compact(F.array(*updates))).alias("u"),
-        )
-        .groupBy("u.metric", "system", "bucket_start", "u.value")
+        events.select("system", "ts", start, updates)
+        .where("value is not null")
+        .groupBy("metric", "system", "bucket_start", "value")
         .agg(F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("last_ts"))
         .withColumn("window", F.lit(window))
     )

@@ -22,10 +22,14 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Parse JSON text into typed columns; ``value`` stays for the rejects."""
+    """Parse JSON text into typed columns; ``value`` stays for the rejects.
+
+    The parsed struct goes through a generator. Later filters cannot be moved below
+    it, where each would parse the text again for every column it mentions.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     parsed = F.from_json(F.col(value), _PARSE_SCHEMA, options)
-    return lines.select(F.col(value).alias("value"), parsed.alias("r")).select("value", "r.*")
+    return lines.select(F.col(value).alias("value"), F.inline_outer(F.array(parsed)))
 
 
 def validate(records: DataFrame, ingest_ts: Column | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ summary they belong to has run out.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -153,11 +155,19 @@ def apply_batch(store: RollupStore, batch: DataFrame, batch_id: int) -> None:
     ledger = f"{store.root}/ledger"
     fresh = _unseen(batch, ledger, batch_id).persist()
     try:
-        store.write("hll", hll_rollup(fresh), batch_id)
-        store.write("member", member_rollup(fresh), batch_id)
-        store.write("topk", topk_rollup(fresh), batch_id)
-        store.write("kll", kll_rollup(fresh), batch_id)
-        store.write("moments", moments.moments_rollup(fresh), batch_id)
+        tables = {
+            "hll": hll_rollup, "member": member_rollup, "topk": topk_rollup,
+            "kll": kll_rollup, "moments": moments.moments_rollup,
+        }
+        # independent tables: their jobs share the cluster instead of queueing
+        with ThreadPoolExecutor(len(tables)) as pool:
+            writes = [
+                pool.submit(store.write, structure, make(fresh), batch_id)
+                for structure, make in tables.items()
+            ]
+        for write in writes:
+            write.result()
+        # last of all, so that a batch cut short is done again in full
         (
             fresh.select("event_id", "event_date", F.lit(batch_id).cast("long").alias("batch_id"))
             .hint("rebalance", "event_date")
