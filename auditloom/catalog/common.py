@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.buckets import bucket_label, bucket_start
 from auditloom.operators.routing import RULES, rules_for, value_counts
+from auditloom.session import materialize
 from auditloom.sources.records import to_records
 from auditloom.sources.tables import audit_events, with_metadata
 
@@ -72,6 +73,11 @@ def hourly_values(spark: SparkSession, sf_dir: str, structure: str) -> DataFrame
     return value_counts(audit_events(spark, sf_dir), rules_for(structure, RULES), "1h")
 
 
+def stored_values(spark: SparkSession, sf_dir: str, structure: str) -> DataFrame:
+    """:func:`hourly_values` as a table, for queries that read it more than once."""
+    return materialize(hourly_values(spark, sf_dir, structure), "values")
+
+
 def labelled(df: DataFrame, window: str, column: str = "bucket_start") -> DataFrame:
     """Replace the bucket start by its text name."""
     return df.withColumn("bucket", bucket_label(F.col(column), window)).drop(column)

@@ -25,7 +25,7 @@ from auditloom.operators.quantiles import (
 from auditloom.operators.rollup import coarsen
 from auditloom.operators.routing import rules_for, value_counts
 from auditloom.plans import reports
-from auditloom.session import run_dir
+from auditloom.session import materialize, run_dir
 from auditloom.sources.store import RollupStore
 from auditloom.sources.tables import audit_events, latest_ts
 
@@ -38,7 +38,7 @@ DAILY = ["system", "bucket_start"]
       true as within_bound, cast(0.0163 as double) as accuracy from vals group by all""",
 )
 def k01(spark: SparkSession, d: str) -> DataFrame:
-    daily = coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d")
+    daily = materialize(coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d"), "sketches")
     report = reports.distinct_counts(daily).withColumnRenamed("count", "estimate")
     keys = ["metric", "system", "window", "bucket_start"]
     base = at_window(hourly_values(spark, d, "hll"), "1d").withColumn("window", F.lit("1d"))
@@ -85,11 +85,15 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     day = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
     # the filter reaches the scan: only files and row groups of that day are read
     today = events.where((F.col("ts") >= F.lit(day)) & (F.col("ts") < F.lit(day + timedelta(days=1))))
-    base = value_counts(today, rules_for("hll"), "1h")
+    # one pass over the day feeds all parts of the summary
+    tops = [r for r in rules_for("topk") if r.metric in ("active_users", "active_ips")]
+    base = materialize(value_counts(today, [*rules_for("hll"), *tops], "1h"), "values")
     keys = ["metric", "system", "bucket_start"]
-    hourly = exact_distinct(base, keys).withColumnRenamed("exact", "count")
-    daily = exact_distinct(at_window(base, "1d"), keys).withColumnRenamed("exact", "count")
-    return reports.system_summary(hourly, daily, topk_rollup(today, "1h"), as_of, 10)
+    distinct = base.where(F.col("metric").isin([r.metric for r in rules_for("hll")]))
+    hourly = exact_distinct(distinct, keys).withColumnRenamed("exact", "count")
+    daily = exact_distinct(at_window(distinct, "1d"), keys).withColumnRenamed("exact", "count")
+    counts = base.withColumnRenamed("value", "item")
+    return reports.system_summary(hourly, daily, counts, as_of, 10)
 
 
 _SUMMARY_SQL = f"""with {AUDIT}, edge as (select max(ts) as t from audit),

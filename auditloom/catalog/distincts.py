@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.catalog.common import (
     AUDIT, DAY, DISTINCT_VALUES, HOUR, WEEK, at_window, hourly_values, labelled, md5_slots_sql,
-    tidy_sql,
+    stored_values, tidy_sql,
 )
 from auditloom.catalog.registry import query
 from auditloom.functions.buckets import bucket_label_by, bucket_series, bucket_start
@@ -19,7 +19,7 @@ from auditloom.operators.distinct import (
 from auditloom.operators.members import in_all, member_rollup
 from auditloom.operators.mergeable import hll, relative_error, theta
 from auditloom.operators.rollup import coarsen, in_range, of_systems
-from auditloom.operators.routing import RULES, rules_for, value_counts
+from auditloom.operators.routing import rules_for
 from auditloom.session import materialize
 from auditloom.sources.tables import audit_events
 
@@ -58,18 +58,19 @@ def d01(spark: SparkSession, d: str) -> DataFrame:
     from grid g left join c on c.metric = g.metric and c.system = g.system and c.h = g.h""",
 )
 def d02(spark: SparkSession, d: str) -> DataFrame:
-    events = audit_events(spark, d)
     keys = ["metric", "system", "bucket_start"]
-    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    counted = estimate(hll_rollup(audit_events(spark, d), "1h"), keys)
+    exact = materialize(_exact(spark, d, "1h", keys), "exact")
+    low, high = exact.agg(F.min("bucket_start"), F.max("bucket_start")).first()
     metrics = F.explode(F.array(*[F.lit(r.metric) for r in rules_for("hll")])).alias("metric")
+    # as many rows as the calendar has hours, per system and metric
     grid = (
-        events.select("system").distinct().select("system", metrics)
+        exact.select("system").distinct().select("system", metrics)
         .select("metric", "system", F.explode(bucket_series(F.lit(low), F.lit(high), "1h")).alias("bucket_start"))
     )
-    counted = estimate(hll_rollup(events, "1h"), keys)
     zero = F.lit(0)
     filled = grid.join(counted, keys, "left").withColumn("estimate", F.coalesce("estimate", zero))
-    truth = grid.join(_exact(spark, d, "1h", keys), keys, "left").withColumn("exact", F.coalesce("exact", zero))
+    truth = grid.join(exact, keys, "left").withColumn("exact", F.coalesce("exact", zero))
     return labelled(checked(filled, truth, keys, BOUND), "1h")
 
 
@@ -80,7 +81,7 @@ def d02(spark: SparkSession, d: str) -> DataFrame:
     from vals, unnest(['1h', '1d', '1w']) as t(w) group by all""",
 )
 def d03(spark: SparkSession, d: str) -> DataFrame:
-    base = hourly_values(spark, d, "hll")
+    base = stored_values(spark, d, "hll")
     # each step starts from the distinct values of the shorter window, never from the events
     out = None
     for window in ("1h", "1d", "1w"):
@@ -157,7 +158,7 @@ def d06(spark: SparkSession, d: str) -> DataFrame:
 )
 def d07(spark: SparkSession, d: str) -> DataFrame:
     keys = ["metric", "bucket_start"]
-    daily = coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d")
+    daily = materialize(coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d"), "sketches")
     total = merge_hll(daily, keys)
     # plus: the three systems added pairwise with the scalar function, in another order;
     # zero: the sketch of no rows
@@ -206,7 +207,7 @@ def d08(spark: SparkSession, d: str) -> DataFrame:
 )
 def d09(spark: SparkSession, d: str) -> DataFrame:
     keys = ["metric", "system"]
-    merged = merge_hll(hll_rollup(audit_events(spark, d), "1h"), keys)
+    merged = materialize(merge_hll(hll_rollup(audit_events(spark, d), "1h"), keys), "sketches")
     result = _check(merged, exact_distinct(hourly_values(spark, d, "hll"), keys), keys)
     stamp = F.date_format("last_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_ts")
     return result.join(merged.select(*keys, stamp), keys)
@@ -219,28 +220,35 @@ def d09(spark: SparkSession, d: str) -> DataFrame:
 )
 def d10(spark: SparkSession, d: str) -> DataFrame:
     keys = ["metric", "system", "bucket_start"]
-    before = estimate(coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d"), keys)
-    written = materialize(coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d"), "sketches")
+    hourly = materialize(hll_rollup(audit_events(spark, d), "1h"), "sketches")
+    before = estimate(coarsen(hll(), hourly, "1d"), keys)
+    written = materialize(coarsen(hll(), hourly, "1d"), "sketches")
     result = _check(written, _exact(spark, d, "1d", keys), keys)
     after = estimate(written, keys).select(*keys, F.col("estimate").alias("after"))
     same = before.join(after, keys).select(*keys, (F.col("after") == F.col("estimate")).alias("same_after_read"))
     return labelled(result.join(same, keys), "1d")
 
 
+def _system_users(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit_events(spark, d).select(
+        "system", bucket_start(F.col("ts"), "1d").alias("bucket_start"), F.col("user_id").alias("value")
+    )
+    return materialize(rows.distinct(), "users")
+
+
 @query(
     "d11_theta_intersection",
     f"""with {AUDIT}, c as (select {DAY} as bucket, user_id from audit group by 1, 2 having count(distinct system) = 3)
     select bucket, count(*) as exact, true as within_bound from c group by 1""",
 )
 def d11(spark: SparkSession, d: str) -> DataFrame:
-    events = audit_events(spark, d).withColumn("bucket_start", bucket_start(F.col("ts"), "1d"))
-    n_systems = events.select("system").distinct().count()
-    per_system = theta("user_id").partial(events, ["bucket_start", "system"])
+    values = _system_users(spark, d)
+    n_systems = values.select("system").distinct().count()
+    per_system = theta().partial(values, ["bucket_start", "system"])
     common = per_system.groupBy("bucket_start").agg(
         F.theta_sketch_estimate(F.theta_intersection_agg("sketch")).alias("estimate"),
         F.count(F.lit(1)).alias("systems"),
     ).where((F.col("systems") == n_systems) & (F.col("estimate") > 0))
-    values = events.select("bucket_start", "system", F.col("user_id").alias("value"))
     exact = in_all(values, "system", ["bucket_start"]).groupBy("bucket_start").agg(F.count(F.lit(1)).alias("exact"))
     return labelled(checked(common, exact, ["bucket_start"], BOUND), "1d")
 
@@ -251,12 +259,15 @@ def d11(spark: SparkSession, d: str) -> DataFrame:
     select count(*) as exact, true as within_bound, cast(3 as bigint) as groups from c""",
 )
 def d11_all(spark: SparkSession, d: str) -> DataFrame:
-    events = audit_events(spark, d)
-    found = present_in_all(events, "system", "user_id").withColumn("scope", F.lit("all"))
-    values = events.select("system", F.col("user_id").alias("value"))
-    exact = in_all(values, "system").agg(F.count(F.lit(1)).alias("exact")).withColumn("scope", F.lit("all"))
-    result = checked(found, exact, ["scope"], BOUND)
-    return result.join(found.select("scope", "groups"), "scope").drop("scope")
+    values = _system_users(spark, d).select("system", "value").distinct()
+    found = present_in_all(values, "system", "value")
+    exact = in_all(values, "system").agg(F.count(F.lit(1)).alias("exact"))
+    # two single rows side by side
+    both = found.unionByName(exact, allowMissingColumns=True).agg(
+        F.max("estimate").alias("estimate"), F.max("exact").alias("exact"), F.max("groups").alias("groups")
+    )
+    gap = F.abs(F.col("estimate") - F.col("exact"))
+    return both.select("exact", (gap <= BOUND * F.col("exact")).alias("within_bound"), "groups")
 
 
 # ---- filters ------------------------------------------------------------------------
@@ -267,7 +278,7 @@ _M, _K = SIZE.bits, SIZE.hashes
 def _daily_users(spark: SparkSession, d: str) -> DataFrame:
     hourly = member_rollup(audit_events(spark, d)).where("metric = 'user_activity'")
     plain = F.element_at(F.split("value", ":"), 1).alias("value")
-    return at_window(hourly, "1d").select("system", "bucket_start", plain).distinct()
+    return materialize(at_window(hourly, "1d").select("system", "bucket_start", plain).distinct(), "users")
 
 
 _USERS = f"users as (select distinct system, {DAY} as bucket, user_id as value from audit)"
@@ -289,8 +300,8 @@ def d12(spark: SparkSession, d: str) -> DataFrame:
     return labelled(rows.withColumn("hashes", bloom.hashes_col(F.col("capacity"), F.col("bits"))), "1d")
 
 
-def _filters(spark: SparkSession, d: str) -> DataFrame:
-    return bloom.build(_daily_users(spark, d), ["system", "bucket_start"], "value", SIZE, "md5")
+def _filters(users: DataFrame) -> DataFrame:
+    return bloom.build(users, ["system", "bucket_start"], "value", SIZE, "md5")
 
 
 def _set_bits(filters: DataFrame, keys: list[str]) -> DataFrame:
@@ -303,7 +314,7 @@ def _set_bits(filters: DataFrame, keys: list[str]) -> DataFrame:
     select system, bucket, pos // 64 as word, count(*) as set_bits from bits group by all""",
 )
 def d13(spark: SparkSession, d: str) -> DataFrame:
-    words = _filters(spark, d).select(
+    words = _filters(_daily_users(spark, d)).select(
         "system", "bucket_start", "word", F.bit_count("mask").cast("long").alias("set_bits")
     )
     return labelled(words, "1d")
@@ -324,9 +335,10 @@ def d14(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("system") == "staging_db", "api_gateway")
         .otherwise("production_db")
     )
-    asked = _daily_users(spark, d).withColumn("system", other)
+    users = _daily_users(spark, d)
+    asked = users.withColumn("system", other)
     keys = ["system", "bucket_start"]
-    return labelled(bloom.contains(asked, _filters(spark, d), keys, "value", SIZE, "md5"), "1d")
+    return labelled(bloom.contains(asked, _filters(users), keys, "value", SIZE, "md5"), "1d")
 
 
 @query(
@@ -335,7 +347,7 @@ def d14(spark: SparkSession, d: str) -> DataFrame:
     select bucket, cast(count(distinct pos) as bigint) as set_bits from bits group by all""",
 )
 def d15(spark: SparkSession, d: str) -> DataFrame:
-    merged = bloom.union(_filters(spark, d), ["bucket_start"])
+    merged = bloom.union(_filters(_daily_users(spark, d)), ["bucket_start"])
     return labelled(_set_bits(merged, ["bucket_start"]), "1d")
 
 
@@ -346,7 +358,7 @@ def d15(spark: SparkSession, d: str) -> DataFrame:
 )
 def d16(spark: SparkSession, d: str) -> DataFrame:
     users = _daily_users(spark, d)
-    merged = bloom.intersection(_filters(spark, d), ["bucket_start"], 3)
+    merged = materialize(bloom.intersection(_filters(users), ["bucket_start"], 3), "filters")
     common = in_all(users, "system", ["bucket_start"])
     found = bloom.contains(common, merged, ["bucket_start"], "value", SIZE, "md5")
     complete = found.groupBy("bucket_start").agg(F.bool_and("accessed").alias("ok"))
@@ -360,13 +372,13 @@ _STATS = f"""with {AUDIT}, {_USERS}, {_BITS}, x as (select system, bucket, cast(
 
 @query("d17_bloom_fill_ratio", f"{_STATS} select system, bucket, {tidy_sql(f'x / {_M}', 6)} as fill_ratio from e")
 def d17(spark: SparkSession, d: str) -> DataFrame:
-    stats = bloom.stats(_filters(spark, d), ["system", "bucket_start"])
+    stats = bloom.stats(_filters(_daily_users(spark, d)), ["system", "bucket_start"])
     return labelled(stats.select("system", "bucket_start", tidy(F.col("fill_ratio"), 6).alias("fill_ratio")), "1d")
 
 
 @query("d18_bloom_item_count", f"{_STATS} select system, bucket, items from e")
 def d18(spark: SparkSession, d: str) -> DataFrame:
-    stats = bloom.stats(_filters(spark, d), ["system", "bucket_start"])
+    stats = bloom.stats(_filters(_daily_users(spark, d)), ["system", "bucket_start"])
     return labelled(stats.select("system", "bucket_start", "items"), "1d")
 
 
@@ -376,7 +388,7 @@ def d18(spark: SparkSession, d: str) -> DataFrame:
     from e""",
 )
 def d19(spark: SparkSession, d: str) -> DataFrame:
-    stats = bloom.stats(_filters(spark, d), ["system", "bucket_start"])
+    stats = bloom.stats(_filters(_daily_users(spark, d)), ["system", "bucket_start"])
     rate = tidy(F.lit(1e9) * F.col("error_rate"), 0).alias("errors_per_billion")
     return labelled(stats.select("system", "bucket_start", rate), "1d")
 

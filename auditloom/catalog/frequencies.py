@@ -37,7 +37,8 @@ KEYS = ["metric", "system"]
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts per metric, system and item over all time, from the hourly roll-up."""
-    return heavy.merge_counts(heavy.topk_rollup(audit_events(spark, d), "1h"), KEYS)
+    counts = heavy.merge_counts(heavy.topk_rollup(audit_events(spark, d), "1h"), KEYS)
+    return materialize(counts, "counts")
 
 
 def _cells(counts: DataFrame) -> DataFrame:
@@ -78,7 +79,8 @@ def d23(spark: SparkSession, d: str) -> DataFrame:
     select metric, system, r, c, cnt, {tidy_sql('ratio', 6)} as ratio, cast(rank as integer) as rank from h where rank <= 100""",
 )
 def d24(spark: SparkSession, d: str) -> DataFrame:
-    cells = countmin.heavy_cells(_cells(_counts(spark, d)), KEYS, 0.01, 100)
+    cells = materialize(_cells(_counts(spark, d)), "cells")
+    cells = countmin.heavy_cells(cells, KEYS, 0.01, 100)
     return cells.select(*KEYS, "r", "c", "cnt", tidy(F.col("ratio"), 6).alias("ratio"), "rank")
 
 
@@ -89,7 +91,7 @@ def d24(spark: SparkSession, d: str) -> DataFrame:
     where est >= 0.01 * total""",
 )
 def d25(spark: SparkSession, d: str) -> DataFrame:
-    counts = materialize(_counts(spark, d), "counts")
+    counts = _counts(spark, d)
     cells = materialize(_cells(counts), "cells")
     return countmin.heavy_items(counts, cells, KEYS, 0.01, hash="md5").drop("total")
 

@@ -492,7 +492,7 @@ def questions(events: DataFrame) -> DataFrame:
 
 def known_members(events: DataFrame) -> DataFrame:
     hourly = members.member_rollup(events).where("metric = 'user_activity'")
-    daily = members.coarsen_members(hourly, "1d")
+    daily = materialize(members.coarsen_members(hourly, "1d"), "members")
     return daily.unionByName(members.coarsen_members(daily, "1w"))
 
 
@@ -557,7 +557,9 @@ def c02(spark: SparkSession, d: str) -> DataFrame:
 def c03(spark: SparkSession, d: str) -> DataFrame:
     events = audit_events(spark, d)
     first = events.agg(F.min("ts")).first()[0]
-    reference = events.where(bucket_start(F.col("ts"), "1d") == bucket_start(F.lit(first), "1d"))
+    day = F.lit(first.replace(hour=0, minute=0, second=0, microsecond=0))
+    first_day = events.where((F.col("ts") >= day) & (F.col("ts") < day + F.expr("interval 1 day")))
+    reference = materialize(first_day.select("user_id").distinct(), "reference")
 
     def counted(part: DataFrame, seen: bool) -> DataFrame:
         day = bucket_start(F.col("ts"), "1d").alias("bucket_start")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.catalog.common import (
     AUDIT, DAY, DISTINCT_VALUES, HOUR, MEMBER_VALUES, MONTH, RANKED_VALUES, STAMP, WEEK, at_window,
-    hourly_values, labelled, raw_records, stamp, tidy_sql,
+    hourly_values, labelled, stamp, stored_values, tidy_sql,
 )
 from auditloom.catalog.distincts import BOUND, _check
 from auditloom.catalog.registry import query
@@ -17,12 +17,12 @@ from auditloom.functions.hashing import seeded_bucket
 from auditloom.functions.numbers import percentile_label_col, tidy
 from auditloom.operators import heavy, members, moments, rollup
 from auditloom.operators.distinct import (
-    LG_K, checked, estimate, exact_distinct, hll_rollup, merge_hll,
+    LG_K, checked, exact_distinct, hll_rollup, merge_hll,
 )
 from auditloom.operators.mergeable import ExprAgg, PythonAgg, hll
-from auditloom.operators.routing import RULES, MetricRule, value_counts
+from auditloom.operators.routing import MetricRule, value_counts
 from auditloom.sources.records import newest, parse_timestamp
-from auditloom.sources.tables import EVENTS_SCHEMA, audit_events, latest_ts, with_metadata
+from auditloom.sources.tables import audit_events, latest_ts, with_metadata
 from auditloom.session import materialize, tune
 
 _HEAD = f"with {AUDIT}, {DISTINCT_VALUES}"
@@ -35,8 +35,8 @@ KEY = ["metric", "system", "bucket_start"]
     union all select metric, system, 'mondays', count(distinct value), true from vals where isodow(ts) = 1 group by all""",
 )
 def d49(spark: SparkSession, d: str) -> DataFrame:
-    daily = rollup.coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d")
-    base = at_window(hourly_values(spark, d, "hll"), "1d")
+    daily = materialize(rollup.coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d"), "sketches")
+    base = at_window(stored_values(spark, d, "hll"), "1d")
     mondays = base.select("bucket_start").distinct().where(F.weekday("bucket_start") == 0)
     keys = ["metric", "system"]
     whole = _check(merge_hll(daily, keys), exact_distinct(base, keys), keys)
@@ -61,7 +61,7 @@ def d50(spark: SparkSession, d: str) -> DataFrame:
     events = audit_events(spark, d)
     end = F.lit(latest_ts(events))
     sketch = materialize(hll_rollup(events, "1h"), "sketches")
-    base = materialize(hourly_values(spark, d, "hll"), "values")
+    base = stored_values(spark, d, "hll")
     keys = ["metric", "system"]
 
     def variant(name: str, cut) -> DataFrame:
@@ -113,8 +113,8 @@ def d52_month(spark: SparkSession, d: str) -> DataFrame:
     where system in ('production_db', 'staging_db') group by all""",
 )
 def d53(spark: SparkSession, d: str) -> DataFrame:
-    daily = rollup.coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d")
-    base = at_window(hourly_values(spark, d, "hll"), "1d")
+    daily = materialize(rollup.coarsen(hll(), hll_rollup(audit_events(spark, d), "1h"), "1d"), "sketches")
+    base = at_window(stored_values(spark, d, "hll"), "1d")
     keys = ["metric", "bucket_start"]
     whole = _check(merge_hll(daily, keys), exact_distinct(base, keys), keys)
     names = ["production_db", "staging_db"]
@@ -138,7 +138,7 @@ def d54(spark: SparkSession, d: str) -> DataFrame:
     shared = audit_events(spark, d).withColumn(
         "worker", F.concat(F.lit("w"), (F.col("event_id") % 8).cast("string"))
     )
-    partials = hll("user_id", LG_K).partial(shared, ["system", "worker"])
+    partials = materialize(hll("user_id", LG_K).partial(shared, ["system", "worker"]), "partials")
     merged = rollup.with_sources(hll(lg_k=LG_K), partials, ["system"], "worker")
     exact = shared.groupBy("system").agg(F.count_distinct("user_id").alias("exact"))
     result = _check(merged, exact, ["system"])
@@ -182,7 +182,7 @@ def d55(spark: SparkSession, d: str) -> DataFrame:
 )
 def e01(spark: SparkSession, d: str) -> DataFrame:
     sketch = rollup.rolling_distinct(hll_rollup(audit_events(spark, d), "1h"), "1h", 24)
-    exact = rollup.exact_rolling_distinct(hourly_values(spark, d, "hll"), "1h", 24)
+    exact = rollup.exact_rolling_distinct(stored_values(spark, d, "hll"), "1h", 24)
     return labelled(checked(sketch, exact, KEY, BOUND), "1h")
 
 

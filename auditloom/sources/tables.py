@@ -23,13 +23,15 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
     """The events table as a stream of files; a batch is capped by its file count."""
-    return (
-        tune(spark)
-        .readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events*.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(sf_dir)
+    reader = (
+        tune(spark).readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
     )
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    files = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(table).isDirectory():
+        return reader.parquet(f"{sf_dir}/events.parquet")
+    # a stream reads folders: take the one file out of its folder by name
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def to_audit_events(raw: DataFrame) -> DataFrame:
