@@ -57,13 +57,13 @@ def tidy_sql(value: str, places: int) -> str:
     return f"cast(round(cast(round({value}, 9) as decimal(30, 9)), {places}) as double)"
 
 
-def md5_slots_sql(source: str, keys: str, value: str, hashes: int, bits: int) -> str:
-    """SQL rows ``(keys, pos)``: positions of each value of a relation in a filter."""
-    h1 = f"(('0x' || substr(md5({value}), 1, 15))::bigint % {bits})"
-    h2 = f"(('0x' || substr(md5({value}), 16, 15))::bigint % {bits})"
+def md5_bits_sql(source: str, keys: str, value: str, hashes: int, blocks: int) -> str:
+    """SQL rows ``(keys, block, lane, bit)``: what each value of a relation sets in a filter."""
+    block = f"('0x' || substr(md5({value}), 1, 15))::bigint % {blocks}"
+    bit = f"(('0x' || substr(md5({value}), 16, 15))::bigint >> (6 * lane)) & 63"
     return (
-        f"select {keys}, ({h1} + i * {h2}) % {bits} as pos "
-        f"from {source}, (select unnest(range({hashes})) as i)"
+        f"select {keys}, {block} as block, lane, {bit} as bit "
+        f"from {source}, (select unnest(range({hashes})) as lane)"
     )
 
 

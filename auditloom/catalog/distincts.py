@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.catalog.common import (
-    AUDIT, DAY, DISTINCT_VALUES, HOUR, WEEK, at_window, hourly_values, labelled, md5_slots_sql,
+    AUDIT, DAY, DISTINCT_VALUES, HOUR, WEEK, at_window, hourly_values, labelled, md5_bits_sql,
     stored_values, tidy_sql,
 )
 from auditloom.catalog.registry import query
@@ -272,7 +274,8 @@ def d11_all(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- filters ------------------------------------------------------------------------
 SIZE = bloom.shape(2_000, 0.001)
-_M, _K = SIZE.bits, SIZE.hashes
+_B, _K = SIZE.blocks, SIZE.hashes
+_M = _B * _K * bloom.WORD
 
 
 def _daily_users(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +285,7 @@ def _daily_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 _USERS = f"users as (select distinct system, {DAY} as bucket, user_id as value from audit)"
-_BITS = f"bits as (select distinct * from ({md5_slots_sql('users', 'system, bucket', 'value', _K, _M)}))"
+_BITS = f"bits as (select distinct * from ({md5_bits_sql('users', 'system, bucket', 'value', _K, _B)}))"
 
 
 @query(
@@ -304,20 +307,23 @@ def _filters(users: DataFrame) -> DataFrame:
     return bloom.build(users, ["system", "bucket_start"], "value", SIZE, "md5")
 
 
+def _ones(filters: DataFrame) -> Column:
+    return reduce(lambda a, b: a + b, [F.bit_count(w).cast("long") for w in bloom.words(filters)])
+
+
 def _set_bits(filters: DataFrame, keys: list[str]) -> DataFrame:
-    return filters.groupBy(*keys).agg(F.sum(F.bit_count("mask")).alias("set_bits"))
+    counted = filters.groupBy(*keys).agg(F.sum(_ones(filters)).alias("set_bits"))
+    return counted.where("set_bits > 0")
 
 
 @query(
     "d13_bloom_build",
     f"""with {AUDIT}, {_USERS}, {_BITS}
-    select system, bucket, pos // 64 as word, count(*) as set_bits from bits group by all""",
+    select system, bucket, block, count(*) as set_bits from bits group by all""",
 )
 def d13(spark: SparkSession, d: str) -> DataFrame:
-    words = _filters(_daily_users(spark, d)).select(
-        "system", "bucket_start", "word", F.bit_count("mask").cast("long").alias("set_bits")
-    )
-    return labelled(words, "1d")
+    filters = _filters(_daily_users(spark, d))
+    return labelled(filters.select("system", "bucket_start", "block", _ones(filters).alias("set_bits")), "1d")
 
 
 @query(
@@ -325,9 +331,10 @@ def d13(spark: SparkSession, d: str) -> DataFrame:
     f"""with {AUDIT}, {_USERS}, {_BITS}, asked as (
       select distinct case system when 'production_db' then 'staging_db' when 'staging_db' then 'api_gateway'
         else 'production_db' end as system, bucket, value from users),
-    probes as ({md5_slots_sql('asked', 'system, bucket, value', 'value', _K, _M)})
-    select p.system, p.bucket, p.value, bool_and(b.pos is not null) as accessed
-    from probes p left join bits b on b.system = p.system and b.bucket = p.bucket and b.pos = p.pos group by all""",
+    probes as ({md5_bits_sql('asked', 'system, bucket, value', 'value', _K, _B)})
+    select p.system, p.bucket, p.value, bool_and(b.bit is not null) as accessed
+    from probes p left join bits b on b.system = p.system and b.bucket = p.bucket and b.block = p.block
+      and b.lane = p.lane and b.bit = p.bit group by all""",
 )
 def d14(spark: SparkSession, d: str) -> DataFrame:
     other = (
@@ -344,7 +351,7 @@ def d14(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "d15_bloom_union",
     f"""with {AUDIT}, {_USERS}, {_BITS}
-    select bucket, cast(count(distinct pos) as bigint) as set_bits from bits group by all""",
+    select bucket, count(distinct (block, lane, bit)) as set_bits from bits group by all""",
 )
 def d15(spark: SparkSession, d: str) -> DataFrame:
     merged = bloom.union(_filters(_daily_users(spark, d)), ["bucket_start"])
@@ -353,7 +360,7 @@ def d15(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "d16_bloom_intersection",
-    f"""with {AUDIT}, {_USERS}, {_BITS}, c as (select bucket, pos from bits group by all having count(*) = 3)
+    f"""with {AUDIT}, {_USERS}, {_BITS}, c as (select bucket, block, lane, bit from bits group by all having count(*) = 3)
     select bucket, count(*) as set_bits, true as holds_all_common from c group by all""",
 )
 def d16(spark: SparkSession, d: str) -> DataFrame:
@@ -389,7 +396,7 @@ def d18(spark: SparkSession, d: str) -> DataFrame:
 )
 def d19(spark: SparkSession, d: str) -> DataFrame:
     stats = bloom.stats(_filters(_daily_users(spark, d)), ["system", "bucket_start"])
-    rate = tidy(F.lit(1e9) * F.col("error_rate"), 0).alias("errors_per_billion")
+    rate = tidy(F.lit(1e9) * F.col("formula_rate"), 0).alias("errors_per_billion")
     return labelled(stats.select("system", "bucket_start", rate), "1d")
 
 

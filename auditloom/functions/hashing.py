@@ -17,19 +17,30 @@ def _hex_long(digest: Column, start: int) -> Column:
     return F.conv(F.substring(digest, start, 15), 16, 10).cast("long")
 
 
-def slots(value: Column, count: int, size: int, hash: str = "xxhash64") -> Column:
-    """Array of ``count`` positions in ``[0, size)`` for a value."""
+def _six_bits(number: Column, index: int) -> Column:
+    shifted = F.call_function("shiftrightunsigned", number, F.lit(6 * index))
+    return shifted.bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
+def block_and_bits(
+    value: Column, blocks: Column, count: int, hash: str = "xxhash64"
+) -> tuple[Column, list[Column]]:
+    """A block in ``[0, blocks)`` and ``count`` bit numbers in ``[0, 64)`` for a value.
+
+    One 64-bit hash gives ten bit numbers; more are taken from further hashes.
+    """
     if hash == "xxhash64":
-        return F.array(
-            *[F.pmod(F.xxhash64(value, F.lit(i)), F.lit(size).cast("long")) for i in range(count)]
-        )
-    if hash != "md5":
+        block = F.pmod(F.xxhash64(value, F.lit(0)), blocks)
+        bits = [_six_bits(F.xxhash64(value, F.lit(1 + i // 10)), i % 10) for i in range(count)]
+    elif hash == "md5":
+        if count > 10:
+            raise ValueError("md5 gives at most 10 bit numbers")
+        digest = F.md5(value)
+        block = F.pmod(_hex_long(digest, 1), blocks)
+        bits = [_six_bits(_hex_long(digest, 16), i) for i in range(count)]
+    else:
         raise ValueError(f"unknown hash {hash}; valid: {', '.join(HASHES)}")
-    # two independent 60-bit hashes give all positions as h1 + i * h2
-    digest = F.md5(value)
-    h1 = F.pmod(_hex_long(digest, 1), F.lit(size).cast("long"))
-    h2 = F.pmod(_hex_long(digest, 16), F.lit(size).cast("long"))
-    return F.array(*[F.pmod(h1 + F.lit(i) * h2, F.lit(size).cast("long")) for i in range(count)])
+    return block, bits
 
 
 def seeded_bucket(value: Column, seed: Column, size: int, hash: str = "xxhash64") -> Column:

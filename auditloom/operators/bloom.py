@@ -1,9 +1,11 @@
-"""Bloom filters as tables: one row per 64-bit word that has a bit set.
-
-Building is ``bit_or`` by key and word, which stays in generated code, combines
-inside each task and spreads one big filter over all tasks. Union, intersection and
-probing are the matching aggregations and an equi-join on the word. A word without a
-row is all zeros.
+"""Bloom filters as tables: one row per block of a filter that has a bit set.
+
+A filter of ``k`` hashes is cut into blocks of ``k`` 64-bit words. A value picks one
+block and one bit in each of its words. So a value is one row when building (``bit_or``
+per word, in generated code, combined inside each task) and one row when probing (an
+equi-join on the block), not one per hash; and a big filter is spread over all tasks.
+Blocks are filled unevenly, which costs some accuracy, so a filter is made as much
+larger as it takes to hold its error rate. A block without a row is all zeros.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.hashing import slots
+from auditloom.functions.hashing import block_and_bits
 from auditloom.session import measured
 
 WORD = 64
@@ -23,18 +26,44 @@ WORD = 64
 
 @dataclass(frozen=True)
 class Shape:
-    """Size of a filter: how many bits, how many positions per value."""
+    """Size of a filter. ``bits`` is what an unblocked filter would need."""
 
     capacity: int
     error_rate: float
     bits: int
     hashes: int
+    blocks: int
+
+
+def _expected_error(per_block: float, hashes: int) -> float:
+    """False positive rate when a block holds ``per_block`` values on average."""
+    total, chance, j = 0.0, math.exp(-per_block), 0
+    last = per_block + 12 * math.sqrt(per_block) + 20
+    while j <= last:
+        total += chance * (1 - (1 - 1 / WORD) ** j) ** hashes
+        j += 1
+        chance *= per_block / j
+    return total
+
+
+def values_per_block(error_rate: float, hashes: int) -> float:
+    """Most values per block that keep the error rate."""
+    low, high = 0.0, 64.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        if _expected_error(middle, hashes) <= error_rate:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 def shape(capacity: int, error_rate: float) -> Shape:
-    """Smallest filter that holds ``capacity`` values at ``error_rate``."""
+    """Filter that holds ``capacity`` values at ``error_rate``."""
     bits = int(-capacity * math.log(error_rate) / math.log(2) ** 2)
-    return Shape(capacity, error_rate, bits, max(1, int(bits / capacity * math.log(2))))
+    hashes = max(1, int(bits / capacity * math.log(2)))
+    blocks = math.ceil(capacity / values_per_block(error_rate, hashes))
+    return Shape(capacity, error_rate, bits, hashes, blocks)
 
 
 def bits_col(capacity: Column, error_rate: Column) -> Column:
@@ -47,43 +76,72 @@ def hashes_col(capacity: Column, bits: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(bits / capacity * F.ln(F.lit(2.0))).cast("int"))
 
 
+def words(filters: DataFrame) -> list[str]:
+    """Names of the word columns."""
+    return [c for c in filters.columns if c[0] == "w" and c[1:].isdigit()]
+
+
+def _marked(
+    rows: DataFrame, columns: Sequence[str], value: str, blocks: Column, hashes: int, hash: str, prefix: str
+) -> DataFrame:
+    """Add the block of a value and one single-bit mask per word."""
+    block, bits = block_and_bits(F.col(value), blocks, hashes, hash)
+    one = F.lit(1).cast("long")
+    masks = [
+        F.call_function("shiftleft", one, bit).alias(f"{prefix}{i}") for i, bit in enumerate(bits)
+    ]
+    return rows.select(*columns, block.alias("block"), *masks)
+
+
+def _build(
+    rows: DataFrame, keys: Sequence[str], value: str, blocks: Column, hashes: int, hash: str
+) -> DataFrame:
+    marked = _marked(rows, [*keys, blocks.alias("blocks")], value, blocks, hashes, hash, "w")
+    merged = [F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(hashes)]
+    return marked.groupBy(*keys, "blocks", "block").agg(*merged)
+
+
 def build(
     members: DataFrame, keys: Sequence[str], value: str, size: Shape, hash: str = "xxhash64"
 ) -> DataFrame:
     """Filter of the values of each key. Repeated values are harmless."""
-    position = F.explode(slots(F.col(value), size.hashes, size.bits, hash)).alias("pos")
-    return (
-        members.select(*keys, position)
-        .groupBy(*keys, F.expr(f"pos div {WORD}").alias("word"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, cast(pos % {WORD} as int)))").alias("mask"))
-        .withColumn("bits", F.lit(size.bits).cast("long"))
-        .withColumn("hashes", F.lit(size.hashes))
-    )
+    blocks = F.lit(size.blocks).cast("long")
+    return _build(members, keys, value, blocks, size.hashes, hash)
 
 
-def _same_shape() -> list[Column]:
-    text = "if(min({0}) = max({0}), min({0}), raise_error('filters of unlike {0} do not merge'))"
-    return [F.expr(text.format(c)).alias(c) for c in ("bits", "hashes")]
+def _merge(filters: DataFrame, keys: Sequence[str], combine: str, *more: Column) -> DataFrame:
+    same = (
+        "if(min(blocks) = max(blocks), min(blocks), raise_error('filters of unlike size do not merge'))"
+    )
+    merged = [F.expr(f"{combine}({w})").alias(w) for w in words(filters)]
+    return filters.groupBy(*keys, "block").agg(F.expr(same).alias("blocks"), *merged, *more)
 
 
 def union(filters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Filter of the union over everything that is not in ``keys``."""
-    return filters.groupBy(*keys, "word").agg(
-        F.expr("bit_or(mask)").alias("mask"), *_same_shape()
-    )
+    return _merge(filters, keys, "bit_or")
 
 
 def intersection(filters: DataFrame, keys: Sequence[str], inputs: int) -> DataFrame:
-    """Bits set in all ``inputs`` filters; a word missing from one of them drops out.
+    """Bits set in all ``inputs`` filters; a block missing from one of them drops out.
 
     Holds every value present in all inputs, at a higher false positive rate.
     """
-    merged = filters.groupBy(*keys, "word").agg(
-        F.expr("bit_and(mask)").alias("mask"),
-        F.count(F.lit(1)).alias("inputs"),
-        *_same_shape(),
-    )
-    return merged.where((F.col("inputs") == inputs) & (F.col("mask") != 0)).drop("inputs")
+    merged = _merge(filters, keys, "bit_and", F.count(F.lit(1)).alias("inputs"))
+    return merged.where(F.col("inputs") == inputs).drop("inputs")
+
+
+def _answered(
+    questions: DataFrame, filters: DataFrame, keys: Sequence[str], value: str, blocks: Column, hash: str
+) -> DataFrame:
+    names = words(filters)
+    asked = _marked(questions, questions.columns, value, blocks, len(names), hash, "_m")
+    found = asked.join(filters.select(*keys, "block", *names), [*keys, "block"], "left")
+    hits = [
+        F.col(w).bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}") for i, w in enumerate(names)
+    ]
+    accessed = F.coalesce(reduce(lambda a, b: a & b, hits), F.lit(False))
+    return found.select(*questions.columns, accessed.alias("accessed"))
 
 
 def contains(
@@ -96,23 +154,11 @@ def contains(
 ) -> DataFrame:
     """Add ``accessed`` to questions: false is certain, true may be a false positive.
 
-    Equal questions are asked once. The positions of one question go to different
-    words, so a hot filter is probed by many tasks.
+    Filters have one row per key and block, so questions are not multiplied, and the
+    questions about one hot filter spread over its blocks.
     """
-    on = [*keys, value]
-    probes = (
-        questions.select(*on)
-        .distinct()
-        .select(*on, F.explode(slots(F.col(value), size.hashes, size.bits, hash)).alias("pos"))
-        .withColumn("word", F.expr(f"pos div {WORD}"))
-    )
-    hit = F.expr(f"coalesce(getbit(mask, cast(pos % {WORD} as int)) = 1, false)")
-    answers = (
-        probes.join(filters.select(*keys, "word", "mask"), [*keys, "word"], "left")
-        .groupBy(*on)
-        .agg(F.bool_and(hit).alias("accessed"))
-    )
-    return questions.join(answers, on, "left")
+    blocks = F.lit(size.blocks).cast("long")
+    return _answered(questions, filters, keys, value, blocks, hash)
 
 
 def with_probability(answers: DataFrame, filters: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,27 +169,33 @@ def with_probability(answers: DataFrame, filters: DataFrame, keys: Sequence[str]
 
 
 def stats(filters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fill ratio, estimated number of values and current error rate per filter."""
-    set_bits = F.sum(F.bit_count("mask")).alias("set_bits")
-    out = filters.groupBy(*keys, "bits", "hashes").agg(set_bits)
-    fill = F.col("set_bits") / F.col("bits")
+    """Fill ratio, estimated number of values and current error rate per filter.
+
+    ``formula_rate`` follows from the number of values as in an unblocked filter,
+    ``error_rate`` from the bits that are really set in every block.
+    """
+    names = words(filters)
+    hashes = F.lit(len(names))
+    ones = [F.bit_count(w) for w in names]
+    hit = reduce(lambda a, b: a * b, [o / WORD for o in ones])
+    out = filters.groupBy(*keys, "blocks").agg(
+        F.sum(reduce(lambda a, b: a + b, ones)).alias("set_bits"), F.sum(hit).alias("_hit")
+    )
+    bits = F.col("blocks") * hashes * WORD
+    fill = F.col("set_bits") / bits
     free = F.greatest(F.lit(1.0) - fill, F.lit(1e-300))
     items = (
         F.when(F.col("set_bits") == 0, F.lit(0).cast("long"))
-        # a full filter no longer tells; it holds at least what it was made for
-        .when(
-            F.col("set_bits") >= F.col("bits"),
-            F.floor(F.col("bits") / F.col("hashes") * F.ln(F.lit(2.0))).cast("long"),
-        )
-        .otherwise(F.floor(-F.col("bits") / F.col("hashes") * F.ln(free)).cast("long"))
-    )
-    miss = F.exp(-F.col("hashes") * F.col("items") / F.col("bits"))
-    rate = F.when(F.col("items") == 0, 0.0).otherwise(F.pow(1 - miss, F.col("hashes")))
-    return (
-        out.withColumn("fill_ratio", fill)
-        .withColumn("items", items)
-        .withColumn("error_rate", rate)
+        # a full filter no longer tells; it holds at least what fills half of it
+        .when(F.col("set_bits") >= bits, F.floor(bits / hashes * F.ln(F.lit(2.0))).cast("long"))
+        .otherwise(F.floor(-bits / hashes * F.ln(free)).cast("long"))
     )
+    out = out.withColumn("bits", bits).withColumn("fill_ratio", fill).withColumn("items", items)
+    miss = F.exp(-hashes * F.col("items") / F.col("bits"))
+    formula = F.when(F.col("items") == 0, 0.0).otherwise(F.pow(1 - miss, hashes))
+    return out.withColumn("formula_rate", formula).withColumn(
+        "error_rate", F.col("_hit") / F.col("blocks")
+    ).drop("_hit")
 
 
 def auto_capacity(
@@ -164,47 +216,22 @@ def build_sized(
 ) -> DataFrame:
     """Filter per key, each as large as its ``capacity`` in ``sizes``.
 
-    Filters of unlike size are probed one by one and never merged.
+    The number of hashes follows from the error rate alone, so filters of any size
+    share a table; those of unlike size are probed one by one and never merged.
     """
-    bits = bits_col(F.col("capacity").cast("double"), F.lit(error_rate))
-    sized = sizes.select(*keys, "capacity", bits.alias("bits")).withColumn(
-        "hashes", hashes_col(F.col("capacity"), F.col("bits"))
-    )
-    sized = measured(sized, "sizes")
-    position = F.transform(
-        F.sequence(F.lit(0), F.col("hashes") - 1),
-        lambda i: F.pmod(F.xxhash64(F.col(value), i), F.col("bits")),
-    )
-    return (
-        members.join(sized, list(keys))
-        .select(*keys, "capacity", "bits", "hashes", F.explode(position).alias("pos"))
-        .groupBy(*keys, "capacity", "bits", "hashes", F.expr(f"pos div {WORD}").alias("word"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, cast(pos % {WORD} as int)))").alias("mask"))
-    )
+    hashes = shape(1_000_000, error_rate).hashes
+    room = values_per_block(error_rate, hashes)
+    blocks = F.ceil(F.col("capacity") / F.lit(room)).cast("long")
+    sized = measured(sizes.select(*keys, blocks.alias("_blocks")), "sizes")
+    return _build(members.join(sized, list(keys)), keys, value, F.col("_blocks"), hashes, "xxhash64")
 
 
 def contains_sized(
     questions: DataFrame, filters: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:
     """Add ``accessed`` for filters that differ in size between keys."""
-    on = [*keys, value]
-    shapes = measured(filters.select(*keys, "bits", "hashes").distinct(), "shapes")
-    position = F.transform(
-        F.sequence(F.lit(0), F.col("hashes") - 1),
-        lambda i: F.pmod(F.xxhash64(F.col(value), i), F.col("bits")),
-    )
-    probes = (
-        questions.select(*on)
-        .distinct()
-        .join(shapes, list(keys))
-        .select(*on, F.explode(position).alias("pos"))
-        .withColumn("word", F.expr(f"pos div {WORD}"))
-    )
-    hit = F.expr(f"coalesce(getbit(mask, cast(pos % {WORD} as int)) = 1, false)")
-    answers = (
-        probes.join(filters.select(*keys, "word", "mask"), [*keys, "word"], "left")
-        .groupBy(*on)
-        .agg(F.bool_and(hit).alias("accessed"))
-    )
-    found = questions.join(answers, on, "left")
-    return found.withColumn("accessed", F.coalesce("accessed", F.lit(False)))
+    shapes = filters.select(*keys, F.col("blocks").alias("_blocks")).distinct()
+    asked = questions.join(measured(shapes, "shapes"), list(keys), "left")
+    # a key without a filter has no block either, and so no row to meet
+    found = _answered(asked, filters, keys, value, F.coalesce("_blocks", F.lit(1).cast("long")), "xxhash64")
+    return found.drop("_blocks")

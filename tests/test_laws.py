@@ -111,6 +111,7 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
         assert wrong / 20000 < 0.02
         stats = bloom.stats(filters, ["key"]).first()
         assert abs(stats["items"] - 3000) < 150 and 0.003 < stats["error_rate"] < 0.02
+        assert stats["error_rate"] == pytest.approx(wrong / 20000, abs=0.004)
     nobody = others.withColumn("key", F.lit("absent"))
     filters = bloom.build(members, ["key"], "value", size)
     assert bloom.contains(nobody, filters, ["key"], "value", size).where("accessed").count() == 0
@@ -119,9 +120,18 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
 def test_bloom_size_of_the_default_filter():
     size = bloom.shape(1_000_000, 0.001)
     assert (size.bits, size.hashes) == (14_377_587, 9)
+    # what the blocks cost: some more bits
+    assert 1.0 < size.blocks * size.hashes * 64 / size.bits < 1.25
 
 
-def test_bloom_intersection_drops_missing_words(spark):
+@pytest.mark.parametrize("rate", [0.1, 0.01, 0.001, 1e-5])
+def test_blocks_hold_the_error_rate(rate):
+    size = bloom.shape(100_000, rate)
+    assert bloom._expected_error(size.capacity / size.blocks, size.hashes) <= rate
+    assert bloom._expected_error(size.capacity / size.blocks * 1.02, size.hashes) > rate * 0.99
+
+
+def test_bloom_intersection_drops_missing_blocks(spark):
     size = bloom.shape(500, 0.001)
     rows = [(s, f"u{i}") for s, lo, hi in (("a", 0, 60), ("b", 40, 90), ("c", 50, 120)) for i in range(lo, hi)]
     filters = bloom.build(spark.createDataFrame(rows, "system string, value string"), ["system"], "value", size)
