@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.catalog.common import (
-    AUDIT, DAY, DISTINCT_VALUES, HOUR, MEMBER_VALUES, RANKED_VALUES, at_window, hourly_values, labelled, tidy_sql,
+    AUDIT, DAY, DISTINCT_VALUES, HOUR, MEMBER_VALUES, MONTH, RANKED_VALUES, WEEK, at_window,
+    hourly_values, labelled, tidy_sql,
 )
 from auditloom.catalog.distincts import BOUND
 from auditloom.catalog.ingest import _ANSWERS, _QUESTIONS, known_members, questions
@@ -46,6 +47,29 @@ def k01(spark: SparkSession, d: str) -> DataFrame:
     return labelled(result.join(report.select(*keys, "accuracy"), keys), "1d")
 
 
+@query(
+    "k01_distinct_any_window",
+    f"""with {AUDIT}, {DISTINCT_VALUES} select metric, system, w as "window",
+      case w when '15m' then strftime(time_bucket(interval '15 minutes', ts), '%Y-%m-%dT%H:%M:00') when '1h' then {HOUR}
+        when '1d' then {DAY} when '1w' then {WEEK} else {MONTH} end as bucket, count(distinct value) as exact, true as within_bound
+    from vals, unnest(['15m', '1h', '1d', '1w', '1M']) as t(w) group by all""",
+)
+def k01_any(spark: SparkSession, d: str) -> DataFrame:
+    # one window is stored, and all longer ones are answered from it
+    store = RollupStore(spark, run_dir(spark, "windows"))
+    events = audit_events(spark, d)
+    store.write("hll", hll_rollup(events, "15m"), 0)
+    base = materialize(value_counts(events, rules_for("hll"), "15m"), "values")
+    keys = ["metric", "system", "window", "bucket_start"]
+    out = None
+    for window in ("15m", "1h", "1d", "1w", "1M"):
+        report = reports.distinct_counts(store.at("hll", window)).withColumnRenamed("count", "estimate")
+        exact = exact_distinct(at_window(base, window).withColumn("window", F.lit(window)), keys)
+        part = labelled(checked(report, exact, keys, BOUND), window)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "k02_activity_report",
     f"""with {AUDIT}, {_QUESTIONS}, {_ANSWERS}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.catalog.common import (
-    AUDIT, DAY, DISTINCT_VALUES, HOUR, MEMBER_VALUES, RANKED_VALUES, STAMP, at_window, labelled,
-    stamp, tidy_sql,
+    AUDIT, DAY, DISTINCT_VALUES, HOUR, INGESTED, MEMBER_VALUES, RANKED_VALUES, STAMP, at_window,
+    labelled, raw_records, stamp, tidy_sql,
 )
 from auditloom.catalog.distincts import BOUND
 from auditloom.catalog.registry import query
@@ -16,6 +16,7 @@ from auditloom.functions.numbers import tidy
 from auditloom.operators.distinct import checked
 from auditloom.operators.heavy import top_k
 from auditloom.session import run_dir, tune
+from auditloom.sources.records import stream_lines
 from auditloom.sources.store import RollupStore
 from auditloom.sources.tables import (
     EVENTS_SCHEMA, audit_events, raw_events, raw_events_stream, to_audit_events, with_metadata,
@@ -79,6 +80,28 @@ def a08(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "a01_ingest_stream",
+    f"""with {AUDIT}, {INGESTED}
+    select event_id, event_type, system, user_id, ip, latency_ms, coalesce(reject_reason, 'accepted') as outcome
+    from ingested where reject_reason is null
+    union all
+    select null, null, null, null, null, cast(count(*) as double), reject_reason from ingested
+    where reject_reason is not null group by reject_reason""",
+)
+def a01_stream(spark: SparkSession, d: str) -> DataFrame:
+    path = run_dir(spark, "ingest")
+    raw_records(spark, d).select("value").write.text(f"{path}/lines")
+    jobs.ingest(stream_lines(spark, f"{path}/lines"), path, f"{path}/checkpoint")
+    valid = spark.read.parquet(f"{path}/events").select(
+        "event_id", "event_type", "system", "user_id", "ip", "latency_ms", F.lit("accepted").alias("outcome")
+    )
+    bad = spark.read.parquet(f"{path}/rejects").groupBy(F.col("reject_reason").alias("outcome")).agg(
+        F.count(F.lit(1)).cast("double").alias("latency_ms")
+    )
+    return valid.unionByName(bad, allowMissingColumns=True)
+
+
 @query(
     "i01_stream_tumbling",
     f"""with {AUDIT} select system, {HOUR} as bucket, count(distinct user_id) as exact, count(*) as n, true as within_bound

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,16 @@ def parse_timestamp(text: Column) -> Column:
     return F.when(text.rlike(_ISO), F.try_to_timestamp(text))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text files of one JSON record per line."""
+    return spark.read.text(path)
+
+
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """The same as a stream; a batch is capped by its file count."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+
+
 def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
     """Parse JSON text into typed columns; ``value`` stays for the rejects.
 

@@ -9,17 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.buckets import bucket_start, bucket_start_by, expires_at
+from auditloom.functions.buckets import bucket_end, bucket_start, bucket_start_by, expires_at
 from auditloom.operators import moments
 from auditloom.operators.mergeable import hll, kll
 from auditloom.schema import ROLLUP_SCHEMAS, WINDOW_CODES, window_spec
 
+# Longer windows and the shorter ones that tile them, best first.
+TILES = {
+    "5m": ("1m",),
+    "15m": ("5m", "1m"),
+    "1h": ("15m", "5m", "1m"),
+    "1d": ("1h", "15m", "5m", "1m"),
+    "1w": ("1d", "1h", "15m", "5m", "1m"),
+    "1M": ("1d", "1h", "15m", "5m", "1m"),
+}
 _FOLDERS = ["window", "bucket_date", "batch_id"]
 KEY = ["metric", "system", "window", "bucket_start"]
 
@@ -108,6 +117,36 @@ class RollupStore:
         """One row per key (and item): all deltas merged."""
         return merge_rows(structure, self.read(structure, window, **span))
 
+    def at(
+        self,
+        structure: str,
+        window: str,
+        start: datetime | None = None,
+        end: datetime | None = None,
+    ) -> DataFrame:
+        """Merged rows for any window: as stored, or else made from the longest stored
+        window that tiles it."""
+        window_spec(window)
+        path = self.path(structure)
+        fs = _fs(self.spark, path)
+        for source in (window, *TILES.get(window, ())):
+            if fs.exists(_path(self.spark, f"{path}/window={source}")):
+                break
+        else:
+            return self.merged(structure, window)
+        rows = self.read(structure, source)
+        if start is not None:
+            first = bucket_start(F.lit(start).cast("timestamp"), window)
+            rows = rows.where(
+                (F.col("bucket_date") >= F.to_date(first)) & (F.col("bucket_start") >= first)
+            )
+        if end is not None:
+            stop = bucket_end(bucket_start(F.lit(end).cast("timestamp"), window), window)
+            rows = rows.where(
+                (F.col("bucket_date") <= F.to_date(stop)) & (F.col("bucket_start") < stop)
+            )
+        return merge_rows(structure, rows) if source == window else coarser(structure, rows, window)
+
     def compact(self, structure: str) -> None:
         """Merge all deltas into a new version and switch to it.
 
@@ -150,6 +189,21 @@ class RollupStore:
             fs.delete(_path(self.spark, f"{path}/window={window}/bucket_date={day}"), True)
         return len(folders)
 
+    def expire_ledger(self, before: date) -> int:
+        """Forget which events were seen on days before ``before``; tells how many days.
+
+        An event sent again after that would be counted again.
+        """
+        ledger = f"{self.root}/ledger"
+        fs = _fs(self.spark, ledger)
+        if not fs.exists(_path(self.spark, ledger)):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(_path(self.spark, ledger))]
+        old = [n for n in names if n.startswith("event_date=") and n[11:] < before.isoformat()]
+        for name in old:
+            fs.delete(_path(self.spark, f"{ledger}/{name}"), True)
+        return len(old)
+
     def footprint(self, structures: Sequence[str] = tuple(ROLLUP_SCHEMAS)) -> DataFrame:
         """Keys, rows and bytes of payload per structure and window."""
         parts = []

@@ -20,7 +20,9 @@ from auditloom.operators.members import member_rollup
 from auditloom.operators.quantiles import KLL_K, kll_rollup
 from auditloom.schema import window_spec
 from auditloom.session import run_dir, shuffle_partitions
-from auditloom.sources.records import published, read_feed
+from auditloom.sources.records import (
+    accepted, parse_records, published, read_feed, rejected, validate,
+)
 from auditloom.sources.store import RollupStore
 
 
@@ -189,6 +191,30 @@ def maintain(events: DataFrame, store: RollupStore, checkpoint: str) -> None:
     run_available(store.spark, events.writeStream.foreachBatch(step), checkpoint)
 
 
+def ingest(lines: DataFrame, path: str, checkpoint: str) -> None:
+    """Validate a stream of JSON lines into two tables, ``events`` and ``rejects``.
+
+    Both are partitioned by batch, so a batch run again replaces its own rows only.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        # a record without a timestamp happens now: pinned once, so both tables agree
+        checked = validate(parse_records(batch)).persist()
+        try:
+            for name, part in (("events", accepted(checked)), ("rejects", rejected(checked))):
+                (
+                    part.withColumn("batch_id", F.lit(batch_id).cast("long"))
+                    .write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("batch_id")
+                    .parquet(f"{path}/{name}")
+                )
+        finally:
+            checked.unpersist()
+
+    run_available(lines.sparkSession, lines.writeStream.foreachBatch(step), checkpoint)
+
+
 def publish(events: DataFrame, path: str, checkpoint: str) -> None:
     """Write the live feed as text files, one JSON record per line."""
     writer = published(events).writeStream.format("text").option("path", path)

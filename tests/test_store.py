@@ -89,6 +89,18 @@ def test_reads_open_only_the_days_asked_for(spark, events, tmp_path):
         store.read("topk", "2h")
 
 
+def test_any_window_is_answered_from_a_shorter_one(spark, events, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    store.write("topk", topk_rollup(events), 0)
+    for window in ("1h", "1d", "1w", "1M"):
+        assert comparable("topk", store.at("topk", window)) == comparable("topk", topk_rollup(events, window))
+    span = {"start": dt.datetime(2024, 1, 2, 5), "end": dt.datetime(2024, 1, 3, 1)}
+    days = store.at("topk", "1d", **span)
+    want = topk_rollup(events, "1d").where("to_date(bucket_start) in ('2024-01-02', '2024-01-03')")
+    assert comparable("topk", days) == comparable("topk", want)
+    assert store.at("topk", "5m").count() == 0  # hours do not tell about minutes
+
+
 def test_absent_table_is_empty(spark, tmp_path):
     store = RollupStore(spark, str(tmp_path))
     assert store.merged("hll").count() == 0

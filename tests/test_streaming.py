@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.operators.distinct import exact_distinct, hll_rollup
 from auditloom.operators.heavy import topk_rollup
 from auditloom.operators import moments
+from auditloom.sources.records import stream_lines
 from auditloom.sources.store import RollupStore
 from auditloom.streaming import jobs
 
@@ -75,6 +76,27 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     assert store.merged("topk").where("metric = 'event_types'").agg(F.sum("cnt")).first()[0] == 300
 
 
+def test_ledger_expiry_forgets_old_days(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path / "store"))
+    assert store.expire_ledger(dt.date(2024, 1, 2)) == 0
+    jobs.apply_batch(store, make(spark, 0, 300), 0)  # two days and a bit
+    assert store.expire_ledger(dt.date(2024, 1, 2)) == 1
+    jobs.apply_batch(store, make(spark, 0, 300), 1)
+    n = store.merged("topk").where("metric = 'event_types'").agg(F.sum("cnt")).first()[0]
+    assert n == 300 + 144  # the first day was counted again, the rest was still known
+
+
+def test_ingest_stream_splits_and_replays(spark, tmp_path):
+    lines = ['{"event_type":"custom","system":"s","user_id":"u%d"}' % i for i in range(5)] + ["broken", '{"system":"s"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    jobs.ingest(stream_lines(spark, str(tmp_path / "in")), path, str(tmp_path / "cp"))
+    assert spark.read.parquet(f"{path}/events").count() == 5
+    assert {r.reject_reason for r in spark.read.parquet(f"{path}/rejects").collect()} == {"broken json", "event_type"}
+    jobs.ingest(stream_lines(spark, str(tmp_path / "in")), path, str(tmp_path / "cp2"))
+    assert spark.read.parquet(f"{path}/events").count() == 5
+
+
 def test_tumbling_equals_batch_on_closed_windows(spark, tmp_path):
     put(make(spark, 0, 500), tmp_path / "feed", "b0")
     put(make(spark, 500, 900), tmp_path / "feed", "b1")
