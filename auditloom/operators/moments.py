@@ -14,9 +14,9 @@ from auditloom.session import measured
 STATE = ("n", "m1", "m2", "m3", "m4", "lo", "hi")
 
 
-def partial(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def partial(df: DataFrame, keys: Sequence[str], value: str, *extra: Column) -> DataFrame:
     """State per key: ``n``, mean ``m1`` and the sums of squared, cubed and fourth
-    powers of the distance from the mean. One pass."""
+    powers of the distance from the mean, and any ``extra`` aggregates. One pass."""
     x = F.col(value)
     out = df.where(x.isNotNull()).groupBy(*keys).agg(
         F.count(x).alias("n"),
@@ -26,16 +26,18 @@ def partial(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.kurtosis(x).alias("k"),
         F.min(x).alias("lo"),
         F.max(x).alias("hi"),
+        *extra,
     )
+    more = [c for c in out.columns if c not in (*keys, "n", "m1", "v", "s", "k", "lo", "hi")]
     n, m2 = F.col("n"), F.col("v") * F.col("n")
     m3 = F.coalesce(F.col("s") * F.pow(m2, F.lit(1.5)) / F.sqrt(n), F.lit(0.0))
     m4 = F.coalesce((F.col("k") + 3) * m2 * m2 / n, F.lit(0.0))
     return out.select(
-        *keys, "n", "m1", m2.alias("m2"), m3.alias("m3"), m4.alias("m4"), "lo", "hi"
+        *keys, "n", "m1", m2.alias("m2"), m3.alias("m3"), m4.alias("m4"), "lo", "hi", *more
     )
 
 
-def merge(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge(states: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
     """Merge any number of states per key at once: common mean, then shifted sums.
 
     States of no rows are neutral. Both steps combine inside the tasks first. The
@@ -59,6 +61,7 @@ def merge(states: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias("m4"),
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
+        *extra,
     )
 
 
@@ -87,9 +90,8 @@ def present(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 def moments_rollup(events: DataFrame, window: str = "1h", metric: str = "api_latency") -> DataFrame:
     """Latency moments per system and bucket."""
     timed = events.withColumn("bucket_start", bucket_start(F.col("ts"), window))
-    last = timed.where("latency_ms is not null").groupBy("system", "bucket_start")
-    states = partial(timed, ["system", "bucket_start"], "latency_ms")
-    return states.join(last.agg(F.max("ts").alias("last_ts")), ["system", "bucket_start"]).select(
+    last = F.max("ts").alias("last_ts")
+    return partial(timed, ["system", "bucket_start"], "latency_ms", last).select(
         F.lit(metric).alias("metric"), "system", F.lit(window).alias("window"), "bucket_start",
         *STATE, "last_ts", expires_at(F.col("last_ts"), window).alias("expires_at"),
     )

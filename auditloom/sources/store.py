@@ -241,8 +241,7 @@ def merge_rows(structure: str, rows: DataFrame) -> DataFrame:
     elif structure == "member":
         out = rows.groupBy(*KEY, "value").agg(F.max("last_ts").alias("last_ts"))
     elif structure == "moments":
-        last = rows.groupBy(*KEY).agg(F.max("last_ts").alias("last_ts"))
-        out = moments.merge(rows, KEY).join(last, KEY)
+        out = moments.merge(rows, KEY, F.max("last_ts").alias("last_ts"))
     else:
         raise ValueError(f"unknown structure {structure}; valid: {', '.join(ROLLUP_SCHEMAS)}")
     expiry = None
