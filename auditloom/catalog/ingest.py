@@ -82,9 +82,12 @@ def _stored(spark: SparkSession, d: str) -> RollupStore:
     """All events written to a store in two batches, the second of them twice."""
     store = RollupStore(spark, run_dir(spark, "store"))
     events = audit_events(spark, d)
-    for batch in (0, 1, 1):
-        share = events.where(F.col("event_id") % 2 == batch)
-        store.write("topk", topk_rollup(share), batch)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(low + (high - low) / 2)
+    store.write("topk", topk_rollup(events.where(F.col("ts") < middle)), 0)
+    later = topk_rollup(events.where(F.col("ts") >= middle))
+    store.write("topk", later, 1)
+    store.write("topk", later, 1)
     return store
 
 

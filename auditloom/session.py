@@ -16,6 +16,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Stream state may outgrow executor memory: keep it on disk, upload changes only.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Sketch aggregates hold one object per key and fall back to sorting the raw rows
     # past this many keys per task. A full distinct-count sketch takes 16 kB, so three
     # per key bound a task at 200 MB; sketches of few values take a fraction of it.

@@ -98,11 +98,12 @@ class RollupStore:
         The range is also put on the folder name, so other dates are never opened.
         """
         window_spec(window)
-        path = self.path(structure)
-        schema = ROLLUP_SCHEMAS[structure]
-        if not _fs(self.spark, path).exists(_path(self.spark, path)):
+        path, schema = self.path(structure), ROLLUP_SCHEMAS[structure]
+        folder = f"{path}/window={window}"
+        if not _fs(self.spark, folder).exists(_path(self.spark, folder)):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(path).where(F.col("window") == window)
+        # only this window's folders are listed
+        rows = self.spark.read.schema(schema).option("basePath", path).parquet(folder)
         for edge, op in ((start, "ge"), (end, "le")):
             if edge is not None:
                 bucket = bucket_start(F.lit(edge).cast("timestamp"), window)
