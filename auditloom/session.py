@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rankings are cut inside each task before the shuffle up to this k.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Stream state may outgrow executor memory: keep it on disk, upload changes only.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -157,6 +157,14 @@ def test_top_k_breaks_ties_by_item(spark):
     assert [(r["item"], r["rank"]) for r in top.orderBy("rank").collect()] == [("c", 1), ("a", 2), ("b", 3)]
 
 
+@pytest.mark.parametrize("k", [10, 5000])
+def test_top_k_is_cut_before_the_shuffle(spark, k):
+    counts = spark.range(100).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("item"), F.col("id").alias("cnt"))
+    plan = heavy.top_k(counts, ["key"], k)._jdf.queryExecution().executedPlan().toString()
+    before, _, after = plan.partition("Exchange")
+    assert "WindowGroupLimit" in after and "Partial" in after
+
+
 def test_own_aggregate_rolls_up(spark, values):
     agg = ExprAgg((("m", "max(w)"), ("s", "sum(w)")), (("m", "max(m)"), ("s", "sum(s)")), (("x", "m * s"),))
     parts = agg.partial(split(values, 5, 9), ["key", "part"])
