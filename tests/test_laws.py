@@ -159,7 +159,9 @@ def test_top_k_breaks_ties_by_item(spark):
 
 @pytest.mark.parametrize("k", [10, 5000])
 def test_top_k_is_cut_before_the_shuffle(spark, k):
-    counts = spark.range(100).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("item"), F.col("id").alias("cnt"))
+    counts = spark.range(100_000).select(
+        (F.col("id") % 2).alias("key"), F.col("id").cast("string").alias("item"), F.col("id").alias("cnt")
+    )
     plan = heavy.top_k(counts, ["key"], k)._jdf.queryExecution().executedPlan().toString()
     before, _, after = plan.partition("Exchange")
     assert "WindowGroupLimit" in after and "Partial" in after
