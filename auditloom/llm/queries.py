@@ -6,6 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.llm.bpe import token_counts
+from auditloom.llm.decontaminate import contamination
+from auditloom.llm.lines import line_dedup
+from auditloom.llm.mixing import mix
+from auditloom.llm.rules import quality_rules
+from auditloom.llm.sharding import sharded_digest
+from auditloom.llm.simhash import simhash_groups
 from auditloom.llm.substring import substring_dedup
 from auditloom.session import tune
 
@@ -29,7 +36,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which every executor has installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after passages of 20 words that occur earlier are removed."""
     return substring_dedup(table(spark, sf_dir, "documents"), width=20).drop("kept_text")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the 50k byte-level vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op6_simhash_groups")
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the group of near copies it is in."""
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every document and the verdict of the voting rules."""
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "quality", "kept",
+    )
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the lines that many pages of their site carry."""
+    return line_dedup(table(spark, sf_dir, "pages"), ratio=0.3, least_pages=5)
+
+
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix of its sources."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among 40 equal shards, and its shard among 41."""
+    return sharded_digest(table(spark, sf_dir, "documents"), [1.0] * 40)
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with changed parameters."""
+    return contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).drop("mark")
