@@ -2,8 +2,8 @@
 
 Every rule looks at a few figures of a whole text and votes good (1), bad (-1) or abstains
 (0). How often each combination of votes occurs is counted over all documents; expectation
-maximisation on these counts estimates, for good and bad documents, how each rule votes.
-The posterior probability of "good" given all votes decides, so one rule that errs does not
+maximisation on these counts estimates how each rule votes on good documents and on each
+kind of bad ones, and so how far its votes can be trusted. The posterior probability of "good" given all votes decides, so one rule that errs does not
 reject a document alone.
 """
 
@@ -114,54 +114,87 @@ def _share(part: str, whole: str) -> Column:
 
 
 def default_rules() -> list[Rule]:
-    """Rules on length, word shape, symbols, capitals, repetition and punctuation."""
+    """Rules on length, word shape, symbols, capitals, repetition and punctuation.
+
+    To pass most of them is no sign of quality, so they abstain rather than vote good.
+    """
     words, mean = F.col("n_words"), _share("word_chars", "n_words")
     symbols, upper = _share("n_symbols", "n_words"), _share("n_upper", "n_letters")
     distinct, repeat = _share("n_distinct", "n_words"), _share("n_repeat_words", "n_words")
     ended, dup = _share("n_ended_lines", "n_lines"), _share("n_dup_lines", "n_lines")
+    never = F.lit(False)
     return [
-        Rule("length", words >= 80, words < 30),
-        Rule("word_length", mean.between(3.5, 6.0), (mean < 2.5) | (mean > 9.0)),
-        Rule("symbols", symbols < 0.02, symbols > 0.1),
-        Rule("capitals", upper < 0.08, upper > 0.3),
+        Rule("length", words >= 300, words < 30),
+        Rule("word_length", never, (mean < 2.5) | (mean > 9.0)),
+        Rule("symbols", never, symbols > 0.1),
+        Rule("capitals", never, upper > 0.3),
         Rule("vocabulary", (words >= 40) & (distinct > 0.45), (words >= 40) & (distinct < 0.25)),
-        Rule("repetition", repeat < 0.1, repeat > 0.35),
-        Rule("line_ends", ended >= 0.7, ended < 0.4),
-        Rule("repeated_lines", (F.col("n_lines") >= 4) & (dup < 0.1), dup > 0.3),
+        Rule("repetition", never, repeat > 0.35),
+        Rule("line_ends", (F.col("n_lines") >= 3) & (ended >= 0.9), ended < 0.4),
+        Rule("repeated_lines", never, dup > 0.3),
     ]
 
 
+#: Share of all texts added to every tally: a rule may err on so many texts of any kind.
+_DOUBT = 0.001
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents, and how each rule votes on good and on bad ones."""
+    """Shares of good texts and of each kind of bad ones, and how every rule votes on them."""
+
+    prior: np.ndarray  # [kind]; kind 0 is good, kind r + 1 is what rule r is after
+    log_vote: np.ndarray  # [kind, rule, vote + 1]
 
-    prior: float
-    log_vote: np.ndarray  # [rule, class (bad, good), vote + 1]
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of every kind for each row of votes."""
+        rule = np.arange(votes.shape[1])
+        log = np.log(self.prior)[:, None] + self.log_vote[:, rule, votes + 1].sum(axis=2)
+        odds = np.exp(log - log.max(axis=0, initial=-np.inf))
+        return odds / odds.sum(axis=0)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability of "good" for each row of votes."""
-        rule = np.arange(votes.shape[1])
-        log = np.stack([self.log_vote[rule, c, votes + 1].sum(axis=1) for c in (0, 1)])
-        odds = log[1] - log[0] + np.log(self.prior) - np.log1p(-self.prior)
-        return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        return self.kinds(votes)[0]
+
+    def accuracy(self) -> np.ndarray:
+        """For each rule, the probability that a text it votes bad is bad."""
+        bad = np.exp(self.log_vote[:, :, 0]) * self.prior[:, None]
+        return 1 - bad[0] / bad.sum(axis=0)
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
-    """Expectation maximisation from the majority vote, on counted vote combinations."""
-    total = votes.sum(axis=1)
-    good = np.where(total > 0, 0.9, np.where(total < 0, 0.1, 0.5))
-    model = LabelModel(0.5, np.zeros((votes.shape[1], 2, 3)))
+def fit_label_model(
+    votes: np.ndarray, counts: np.ndarray, rounds: int = 50, worst: float = 0.005
+) -> LabelModel:
+    """Expectation maximisation on counted vote combinations.
+
+    Texts are bad in different ways, so every rule has a kind of bad text it is after, on
+    which it always votes bad. A kind begins with the texts that its rule votes bad (shared
+    among rules that agree) and the good kind with the rest; a text that a rule votes bad
+    is still good if its other votes fit good texts better than that kind. No rule is taken
+    to err on more than ``worst`` of the good texts. Each round estimates how often every rule
+    votes each way on every kind, then what kind each combination of votes most likely is.
+    """
+    rules = votes.shape[1]
+    own = np.arange(rules)
+    against = np.concatenate([np.zeros((1, len(votes))), (votes == -1).T])
+    against[0] = ~against[1:].any(axis=0)
+    share = against / np.maximum(against.sum(axis=0), 1)
+    doubt = _DOUBT * (counts.sum() + 1)
+    model = LabelModel(np.full(rules + 1, 1 / (rules + 1)), np.zeros((rules + 1, rules, 3)))
     for _ in range(rounds):
-        weight = np.stack([(1 - good) * counts, good * counts])
-        tally = np.stack(
-            [[(weight * (votes[:, r] == v)).sum(axis=1) for v in (-1, 0, 1)] for r in range(votes.shape[1])]
-        ).transpose(0, 2, 1) + np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]])  # rules are better than chance
-        prior = (weight[1].sum() + 1) / (weight.sum() + 2)
-        model = LabelModel(float(prior), np.log(tally / tally.sum(axis=2, keepdims=True)))
-        new = model.posterior(votes)
-        if np.abs(new - good).max(initial=0) < 1e-9:
+        weight = share * counts
+        tally = doubt / 3 + np.stack([(weight[:, None, :] * (votes == v).T).sum(axis=2) for v in (-1, 0, 1)], axis=2)
+        tally[own + 1, own] = [1.0, 0.0, 0.0]
+        rest = tally[0, :, 1:].sum(axis=1)
+        tally[0, :, 0] = np.minimum(tally[0, :, 0], rest * worst / (1 - worst))
+        prior = weight.sum(axis=1) + doubt
+        with np.errstate(divide="ignore"):
+            model = LabelModel(prior / prior.sum(), np.log(tally / tally.sum(axis=2, keepdims=True)))
+        new = model.kinds(votes)
+        if np.abs(new - share).max(initial=0) < 1e-9:
             break
-        good = new
+        share = new
     return model
 
 
