@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditloom.llm.bpe import token_counts
 from auditloom.llm.decontaminate import contamination
@@ -14,6 +15,7 @@ from auditloom.llm.rules import quality_rules
 from auditloom.llm.sharding import sharded_digest
 from auditloom.llm.simhash import simhash_groups
 from auditloom.llm.substring import substring_dedup
+from auditloom.llm.toxicity import fit_toxicity, held_out, toxicity
 from auditloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +96,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ).drop("mark")
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of the labels outside the held-out third."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity(docs, fit_toxicity(docs, labels))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
