@@ -60,7 +60,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_groups")
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the group of near copies it is in."""
-    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return groups.select("doc_id", "fingerprint", "component_id")
 
 
 @query("op8_quality_rules")

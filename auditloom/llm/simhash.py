@@ -59,9 +59,10 @@ def _fingerprints(shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[low:high],
+                        batch.column("mark")[low:high],
                         pa.array(np.array(prints, np.uint64).view(np.int64)),
                     ],
-                    names=["doc_id", "fp"],
+                    names=["doc_id", "mark", "fp"],
                 )
 
     return run
@@ -193,14 +194,18 @@ def near_links(prints: DataFrame, radius: int = 3, cell_rows: int = CELL_ROWS) -
 def simhash_groups(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """Fingerprint and near-duplicate group of every document.
 
-    Returns ``doc_id, fingerprint, component_id`` for every input row; the component is the
-    smallest doc_id that links of at most ``radius`` differing bits reach. A null or empty
-    text has fingerprint zero and is linked like any other; a null doc_id counts as no
-    doc_id (a component without any has none); repeated rows fall into one component; an
-    empty table gives no rows; other columns are not read.
+    Returns ``doc_id, fingerprint, component_id, component, mark`` for every input row. The
+    component is named by a fingerprint in it, and by the smallest doc_id that links of at
+    most ``radius`` differing bits reach; ``mark`` is the XXH64 of the text, which tells
+    rows of one doc_id apart. A null or empty text has fingerprint zero and is linked like
+    any other; a null doc_id counts as no doc_id (a component without any has none);
+    repeated rows fall into one component; an empty table gives no rows; other columns are
+    not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialize(docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "prints")
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")
+    )
+    prints = materialize(docs.mapInArrow(_fingerprints(shingle), "doc_id long, mark long, fp long"), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")), "nodes")
     roots = components(near_links(nodes, radius)).select("node", "root")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
@@ -211,9 +216,37 @@ def simhash_groups(documents: DataFrame, shingle: int = 3, radius: int = 3) -> D
         rooted.groupBy("root").agg(F.min("lead").alias("component_id")), "leads"
     ).select(F.col("root").alias("r"), "component_id")
     named = materialize(
-        rooted.join(leads, F.col("root") == F.col("r")).select(F.col("fp").alias("p"), "component_id"),
+        rooted.join(leads, F.col("root") == F.col("r")).select(F.col("fp").alias("p"), "root", "component_id"),
         "named",
     )
     return prints.join(named, F.col("fp") == F.col("p")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        F.col("root").alias("component"),
+        "mark",
+    )
+
+
+def near_dedup(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One document of each near-duplicate group, with all its columns.
+
+    The one with the smallest doc_id stays (null comes last); of several texts under that
+    doc_id the one with the smallest XXH64, and of rows equal in both any one.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    groups = simhash_groups(documents, shingle, radius)
+    leads = groups.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n"))
+    leads = leads.groupBy("component").agg(F.min(F.struct(order.alias("o"), "n")).alias("first"))
+    leads = materialize(
+        leads.select(
+            F.col("first.o.doc_id").alias("__lead"), F.col("first.o.mark").alias("__mark"), F.col("first.n").alias("__n")
+        ),
+        "leads",
     )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__lead")) & (F.xxhash64("text") == F.col("__mark"))
+    kept = documents.join(leads, same)
+    once = kept.where("__n = 1")
+    # only rows that are repeated as a whole need another shuffle
+    repeated = kept.where("__n > 1").dropDuplicates(["__lead", "__mark"])
+    return once.union(repeated).drop("__lead", "__mark", "__n")
