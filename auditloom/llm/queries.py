@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm.bpe import token_counts
+from auditloom.llm.cotraining import fit_quality, quality_scores
 from auditloom.llm.decontaminate import contamination
 from auditloom.llm.lines import line_dedup
 from auditloom.llm.mixing import mix
@@ -111,3 +112,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two co-trained views of the labels outside the held-out third."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_scores(docs, fit_quality(docs, labels))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "content", "metadata", "score",
+        (F.col("score") >= 0.5).alias("kept"),
+    )
