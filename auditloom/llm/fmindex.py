@@ -42,32 +42,51 @@ class WaveletMatrix:
             self.bits.append(Bits(bit))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, *ats: np.ndarray) -> list[np.ndarray]:
-        """Occurrences of each symbol before each of the given positions."""
-        base = np.zeros(len(symbol), np.int64)
-        out = [a.astype(np.int64) for a in ats]
+        # where each symbol's positions begin after the last level
+        every = np.arange(1 << levels)
+        self.begin = self._descend(every, [np.zeros(len(every), np.int64)])[0]
+
+    def _descend(self, symbol: np.ndarray, ats: list[np.ndarray]) -> list[np.ndarray]:
         for level, bits in zip(range(self.levels - 1, -1, -1), self.bits, strict=True):
             one = ((symbol >> level) & 1).astype(bool)
             zeros = bits.n - bits.ones
-            moved = [bits.rank1(x) for x in (base, *out)]
-            base, *out = (np.where(one, zeros + r, x - r) for r, x in zip(moved, (base, *out), strict=True))
-        return [x - base for x in out]
+            moved = [bits.rank1(x) for x in ats]
+            ats = [np.where(one, zeros + r, x - r) for r, x in zip(moved, ats, strict=True)]
+        return ats
+
+    def rank(self, symbol: np.ndarray, *ats: np.ndarray) -> list[np.ndarray]:
+        """Occurrences of each symbol before each of the given positions."""
+        begin = self.begin[symbol]
+        return [x - begin for x in self._descend(symbol, list(ats))]
 
 
-def truncated_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first symbols (at least ``depth`` of them), and their ranks."""
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Rank of every key among the distinct keys."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
+def truncated_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Suffixes sorted by at least their first ``depth`` symbols, by prefix doubling.
+
+    Also gives, for some lengths (1 among them), the rank of every position's run of so
+    many symbols, by which longer runs can be compared.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while True:
-        if have >= depth or rank.max(initial=0) == n - 1:
-            break
+    ranks = {1: text.astype(np.int64)}
+    bits = max(1, int(text.max(initial=0)).bit_length())
+    have = max(1, min(depth, 62 // bits))
+    key = np.zeros(n, np.int64)
+    for j in range(have):
+        key <<= bits
+        key[: n - j] |= ranks[1][j:]
+    rank = ranks[have] = _dense(key)
+    while have < depth:
         follow = np.zeros(n, np.int64)
-        if have < n:
-            follow[: n - have] = rank[have:] + 1
-        rank = np.unique(rank * (n + 1) + follow, return_inverse=True)[1].astype(np.int64)
+        follow[: max(n - have, 0)] = rank[have:] + 1
+        rank = _dense(rank * (n + 1) + follow)
         have *= 2
-    return np.argsort(rank, kind="stable"), rank
+        ranks[have] = rank
+    return np.argsort(rank, kind="stable"), ranks
 
 
 class FMIndex:
@@ -81,32 +100,33 @@ class FMIndex:
         n = len(text)
         self.width = width
         self.sigma = int(text.max(initial=0)) + 1
-        order, _ = truncated_order(text, width)
+        order, ranks = truncated_order(text, width)
         last = text[order - 1]  # position 0 is preceded by the closing 0 of the text
         self.counts = np.zeros(self.sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=self.sigma), out=self.counts[1:])
         self.bwt = WaveletMatrix(last.astype(np.int64), max(1, int(self.sigma - 1).bit_length()))
         # where neighbours in the order share fewer than width - 1, or width, symbols
-        same = self._shared(text, order, width - 1)
+        same = self._shared(ranks, order, width - 1)
         self.short_starts = np.flatnonzero(~same)
         self.short_of = np.cumsum(~same) - 1
         self.short_ends = np.append(self.short_starts[1:], n)
-        full = same & np.append(
-            False, self._symbol(text, order[1:], width - 1) == self._symbol(text, order[:-1], width - 1)
-        )
-        starts = np.flatnonzero(~full)
-        self.earliest = np.minimum.reduceat(order, starts)[np.cumsum(~full) - 1]
+        starts = np.flatnonzero(~self._shared(ranks, order, width))
+        classes = np.zeros(n, np.int64)
+        classes[starts] = 1
+        self.earliest = np.minimum.reduceat(order, starts)[np.cumsum(classes) - 1]
 
     @staticmethod
-    def _symbol(text: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-        return text[np.minimum(at + step, len(text) - 1)]
-
-    def _shared(self, text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-        out = np.ones(len(order), bool)
+    def _shared(ranks: dict[int, np.ndarray], order: np.ndarray, length: int) -> np.ndarray:
+        """Whether each suffix in the order shares ``length`` symbols with the one before."""
+        n = len(order)
+        out = np.ones(n, bool)
         out[0] = False
-        a, b = order[:-1], order[1:]
-        for j in range(length):
-            out[1:] &= self._symbol(text, a, j) == self._symbol(text, b, j)
+        a, b, done = order[:-1], order[1:], 0
+        while done < length:
+            part = max(x for x in ranks if x <= length - done)
+            x, y = np.minimum(a + done, n - 1), np.minimum(b + done, n - 1)
+            out[1:] &= ranks[part][x] == ranks[part][y]
+            done += part
         return out
 
     def step(self, symbol, low, high):
