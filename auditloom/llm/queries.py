@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.llm import oracles
 from auditloom.llm.bpe import token_counts
 from auditloom.llm.cotraining import fit_quality, quality_scores
 from auditloom.llm.decontaminate import contamination
@@ -46,7 +47,7 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", oracles.OP1)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after passages of 20 words that occur earlier are removed."""
     return substring_dedup(table(spark, sf_dir, "documents"), width=20).drop("kept_text")
@@ -74,19 +75,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", oracles.OP7)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without the lines that many pages of their site carry."""
     return line_dedup(table(spark, sf_dir, "pages"), ratio=0.3, least_pages=5)
 
 
-@query("op9_mixing")
+@query("op9_mixing", oracles.OP9)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of its sources."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
-@query("op10_sharding")
+@query("op10_sharding", oracles.OP10)
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document among 40 equal shards, and its shard among 41."""
     return sharded_digest(table(spark, sf_dir, "documents"), [1.0] * 40)
