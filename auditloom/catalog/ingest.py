@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def _validated(spark: SparkSession, d: str) -> DataFrame:
 )
 def a01(spark: SparkSession, d: str) -> DataFrame:
     return (
-        records.accepted(_validated(spark, d)).withColumn("ts", stamp()).drop("metadata")
+        records.accepted(_validated(spark, d)).withColumn("ts", stamp()).drop("metadata", "event_key")
     )
 
 
@@ -348,6 +350,27 @@ def b06(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("window", _second("bucket_start").alias("bucket_start"))
 
 
+@query(
+    "b06_days_after_hours_expired",
+    f"""with {AUDIT}, {RANKED_VALUES}
+    select '1d' as "window", metric, system, {DAY} as bucket, value as item, count(*) as cnt from vals group by all
+    union all select '1w', metric, system, {WEEK}, value, count(*) from vals group by all
+    union all select '1M', metric, system, {MONTH}, value, count(*) from vals group by all""",
+)
+def b06_days(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty days on no hour is left, and days, weeks and months still answer in full."""
+    store = RollupStore(spark, run_dir(spark, "lifetimes"))
+    events = audit_events(spark, d)
+    store.write("topk", topk_rollup(events), 0)
+    store.expire("topk", latest_ts(events) + timedelta(days=30))
+    out = None
+    for window in ("1d", "1w", "1M"):
+        rows = store.at("topk", window).select("metric", "system", "window", "bucket_start", "item", "cnt")
+        part = labelled(rows, window)
+        out = part if out is None else out.unionByName(part)
+    return out.unionByName(labelled(store.merged("topk", "1h").select(*rows.columns), "1h"))
+
+
 @query(
     "b07_last_bucket_labels",
     f"""with {AUDIT}, e as (select system, max(ts) as t from audit group by 1),
@@ -521,15 +544,15 @@ def c02(spark: SparkSession, d: str) -> DataFrame:
     events = audit_events(spark, d)
     known = materialize(known_members(events), "members")
     keys = ["system", "window", "bucket_start"]
-    size = bloom.shape(10_000, 0.001)
     asked = questions(events).select(
         "*",
         bucket_start_by(F.col("ts"), F.col("window")).alias("bucket_start"),
         F.concat_ws(":", "user_id", "system").alias("value"),
     )
-    filters = materialize(bloom.build(known, keys, "value", size), "filters")
+    sizes = bloom.auto_capacity(known, keys, "value", 1000, 4)
+    filters = materialize(bloom.build_sized(known, sizes, keys, "value", 0.001), "filters")
     answered = bloom.with_probability(
-        bloom.contains(asked, filters, keys, "value", size), filters, keys
+        bloom.contains_sized(asked, filters, keys, "value"), filters, keys
     )
     truth = known.select(*keys, "value", F.lit(True).alias("found"))
     both = answered.join(truth, [*keys, "value"], "left").withColumn(

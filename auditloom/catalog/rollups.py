@@ -208,6 +208,17 @@ def e03(spark: SparkSession, d: str) -> DataFrame:
     return run.select("event_id", "n", *[tidy(F.col(c), 4).alias(c) for c in names])
 
 
+@query(
+    "e03_running_by_endpoint",
+    f"with {AUDIT}, {_RUNNING_SQL.replace('partition by system', 'partition by endpoint')} select event_id, n, {_RUNNING_STATS} from s",
+)
+def e03_by_endpoint(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit_events(spark, d).select("endpoint", "ts", "event_id", "latency_ms")
+    run = moments.running(rows, ["endpoint"], ["ts", "event_id"], "latency_ms")
+    names = ("mean", "var_pop", "stddev_pop", "skewness", "kurtosis")
+    return run.select("event_id", "n", *[tidy(F.col(c), 4).alias(c) for c in names])
+
+
 @query(
     "e04_most_recent_buckets",
     f"""with {AUDIT}, {RANKED_VALUES}, b as (select metric, system, {HOUR} as bucket, count(*) as cnt from vals group by all)

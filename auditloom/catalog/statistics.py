@@ -71,6 +71,18 @@ def d35(spark: SparkSession, d: str) -> DataFrame:
     return labelled(found.withColumn("value", tidy(F.col("value"), 4)), "1d")
 
 
+@query(
+    "d35_percentiles_by_endpoint",
+    f"""with {AUDIT} select endpoint, p, {tidy_sql('v', 4)} as value from (
+      select endpoint, unnest([50.0::double, 95.0::double, 99.0::double]) as p,
+        unnest(quantile_cont(latency_ms, [0.5, 0.95, 0.99])) as v from audit group by 1)""",
+)
+def d35_by_endpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Most events have no endpoint: null is a group too, and the largest."""
+    found = exact_percentiles(audit_events(spark, d), ["endpoint"], "latency_ms", [50, 95, 99], "cont")
+    return found.withColumn("value", tidy(F.col("value"), 4))
+
+
 @query(
     "d36_quantile_merge_range",
     f"""with {AUDIT}, c as (select system, quantile_disc(latency_ms, [0.5, 0.95, 0.99]) as q from audit where {_IN_SPAN} group by 1)
@@ -157,6 +169,21 @@ def d39(spark: SparkSession, d: str) -> DataFrame:
     return _shown(moments.present(by_system.unionByName(total), ["system"]))
 
 
+@query(
+    "d39_moments_by_endpoint",
+    f"""with {AUDIT}, s as (select endpoint, count(latency_ms) as n, avg(latency_ms) as mean, var_pop(latency_ms) as var_pop,
+        min(latency_ms) as lo, max(latency_ms) as hi from audit group by 1)
+    select endpoint, n, {tidy_sql('mean', 6)} as mean, {tidy_sql('var_pop', 4)} as var_pop, lo, hi from s""",
+)
+def d39_by_endpoint(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit_events(spark, d).withColumn("bucket_start", bucket_start(F.col("ts"), "1h"))
+    hourly = materialize(moments.partial(rows, ["endpoint", "bucket_start"], "latency_ms"), "moments")
+    merged = moments.present(moments.merge(hourly, ["endpoint"]), ["endpoint"])
+    return merged.select(
+        "endpoint", "n", tidy(F.col("mean"), 6).alias("mean"), tidy(F.col("var_pop"), 4).alias("var_pop"), "lo", "hi"
+    )
+
+
 @query(
     "d40_moments_hours_to_day",
     f"with {AUDIT}, {_central_sql('system', DAY)} select system, bucket, n, {_STATS_SQL}, lo, hi from s",

@@ -13,8 +13,10 @@ from auditloom.catalog.distincts import BOUND
 from auditloom.catalog.registry import query
 from auditloom.functions.buckets import bucket_start
 from auditloom.functions.numbers import tidy
-from auditloom.operators.distinct import checked
+from auditloom.operators.distinct import checked, exact_distinct
 from auditloom.operators.heavy import top_k
+from auditloom.operators.routing import RULES, rules_for, value_counts
+from auditloom.schema import ROLLUP_SCHEMAS
 from auditloom.session import run_dir, tune
 from auditloom.sources.records import stream_lines
 from auditloom.sources.store import RollupStore
@@ -24,6 +26,7 @@ from auditloom.sources.tables import (
 from auditloom.streaming import jobs
 
 DELAY = "10 minutes"
+STRUCTURES = tuple(ROLLUP_SCHEMAS)
 
 
 def _closed(window: str) -> str:
@@ -208,3 +211,74 @@ def i07(spark: SparkSession, d: str) -> DataFrame:
     path = run_dir(spark, "live")
     jobs.publish(with_metadata(_stream(spark, d)), f"{path}/feed", f"{path}/checkpoint")
     return spark.read.text(f"{path}/feed")
+
+
+# What a maintained store answers for days: item counts, numbers of members, moments and
+# distinct counts (the exact number, and whether the sketch is near it).
+_CONTENT = f"""m as (with {MEMBER_VALUES} select * from vals), h as (with {DISTINCT_VALUES} select * from vals),
+    t as (with {RANKED_VALUES} select * from vals)
+    select 'topk' as structure, metric, system, {DAY} as bucket, value as item, cast(count(*) as double) as number, true as near
+      from t group by all
+    union all select 'member', metric, system, {DAY}, '', cast(count(distinct value) as double), true from m group by all
+    union all select 'hll', metric, system, {DAY}, '', cast(count(distinct value) as double), true from h group by all
+    union all select 'moments', 'api_latency', system, {DAY}, 'n', cast(count(latency_ms) as double), true from audit group by all
+    union all select 'moments', 'api_latency', system, {DAY}, 'mean', {tidy_sql('avg(latency_ms)', 6)}, true from audit group by all"""
+
+
+def _content(spark: SparkSession, d: str, store: RollupStore) -> DataFrame:
+    keys = ["metric", "system", "bucket_start"]
+    truth = exact_distinct(value_counts(audit_events(spark, d), rules_for("hll", RULES), "1d"), keys)
+    sketches = store.at("hll", "1d").withColumn("estimate", F.hll_sketch_estimate("sketch"))
+    hll = checked(sketches, truth, keys, BOUND)
+    one = F.lit(1.0)
+    moments = store.at("moments", "1d")
+    parts = [
+        ("topk", store.at("topk", "1d").select(*keys, "item", F.col("cnt").cast("double").alias("number"))),
+        ("member", store.at("member", "1d").groupBy(*keys).agg(F.sum(one).alias("number"))),
+        ("hll", hll.select(*keys, F.col("exact").cast("double").alias("number"), F.col("within_bound").alias("near"))),
+        ("moments", moments.select(*keys, F.lit("n").alias("item"), F.col("n").cast("double").alias("number"))),
+        ("moments", moments.select(*keys, F.lit("mean").alias("item"), tidy(F.col("m1"), 6).alias("number"))),
+    ]
+    out = None
+    for structure, rows in parts:
+        item = F.col("item") if "item" in rows.columns else F.lit("")
+        near = F.coalesce("near", F.lit(False)) if "near" in rows.columns else F.lit(True)
+        part = rows.select(F.lit(structure).alias("structure"), *keys, item.alias("item"), "number", near.alias("near"))
+        out = part if out is None else out.unionByName(part)
+    return labelled(out, "1d")
+
+
+@query("i04_stream_null_ids", f"with {AUDIT}, {_CONTENT}")
+def i04_null_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the events bring no id: all of them count."""
+    path = run_dir(spark, "null-ids")
+    store = RollupStore(spark, f"{path}/store")
+    some = F.when(F.col("event_id") % 3 != 1, F.col("event_id"))
+    jobs.maintain(_stream(spark, d).withColumn("event_id", some), store, f"{path}/checkpoint")
+    return _content(spark, d, store)
+
+
+@query("i04_stream_two_sources", f"with {AUDIT}, {_CONTENT}")
+def i04_two_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams feed one store; then one of them loses its checkpoint and starts again."""
+    path = run_dir(spark, "two-sources")
+    store = RollupStore(spark, f"{path}/store")
+    for name, half in (("a", 0), ("b", 1), ("a-again", 0)):
+        part = _stream(spark, d).where(F.col("event_id") % 2 == half)
+        jobs.maintain(part, store, f"{path}/checkpoint-{name}")
+    return _content(spark, d, store)
+
+
+@query("i04_retry_after_compaction", f"with {AUDIT}, {_CONTENT}")
+def i04_retry(spark: SparkSession, d: str) -> DataFrame:
+    """Batches run again after a compaction has folded them change nothing."""
+    store = RollupStore(spark, run_dir(spark, "retry"))
+    events = audit_events(spark, d)
+    parts = [events.where(F.col("event_id") % 3 == i) for i in range(3)]
+    for batch in (0, 1):
+        jobs.apply_batch(store, parts[batch], batch)
+    for structure in STRUCTURES:
+        store.compact(structure)
+    for batch in (1, 0, 2):
+        jobs.apply_batch(store, parts[batch], batch)
+    return _content(spark, d, store)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.hashing import block_and_bits
+from auditloom.functions.joins import join_groups
 from auditloom.session import measured
 
 WORD = 64
@@ -136,7 +137,7 @@ def _answered(
 ) -> DataFrame:
     names = words(filters)
     asked = _marked(questions, questions.columns, value, blocks, len(names), hash, "_m")
-    found = asked.join(filters.select(*keys, "block", *names), [*keys, "block"], "left")
+    found = join_groups(asked, filters.select(*keys, "block", *names), [*keys, "block"], "left")
     hits = [
         F.col(w).bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}") for i, w in enumerate(names)
     ]
@@ -165,7 +166,7 @@ def with_probability(answers: DataFrame, filters: DataFrame, keys: Sequence[str]
     """Add how likely each answer is right: certain for no, by the filter's rate for yes."""
     rates = measured(stats(filters, keys).select(*keys, "error_rate"), "rates")
     right = F.when(F.col("accessed"), 1.0 - F.coalesce("error_rate", F.lit(0.0))).otherwise(1.0)
-    return answers.join(rates, list(keys), "left").withColumn("probability", right).drop("error_rate")
+    return join_groups(answers, rates, keys, "left").withColumn("probability", right).drop("error_rate")
 
 
 def stats(filters: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -223,7 +224,7 @@ def build_sized(
     room = values_per_block(error_rate, hashes)
     blocks = F.ceil(F.col("capacity") / F.lit(room)).cast("long")
     sized = measured(sizes.select(*keys, blocks.alias("_blocks")), "sizes")
-    return _build(members.join(sized, list(keys)), keys, value, F.col("_blocks"), hashes, "xxhash64")
+    return _build(join_groups(members, sized, keys), keys, value, F.col("_blocks"), hashes, "xxhash64")
 
 
 def contains_sized(
@@ -231,7 +232,7 @@ def contains_sized(
 ) -> DataFrame:
     """Add ``accessed`` for filters that differ in size between keys."""
     shapes = filters.select(*keys, F.col("blocks").alias("_blocks")).distinct()
-    asked = questions.join(measured(shapes, "shapes"), list(keys), "left")
+    asked = join_groups(questions, measured(shapes, "shapes"), keys, "left")
     # a key without a filter has no block either, and so no row to meet
     found = _answered(asked, filters, keys, value, F.coalesce("_blocks", F.lit(1).cast("long")), "xxhash64")
     return found.drop("_blocks")

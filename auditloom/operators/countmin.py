@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.hashing import seeded_bucket
+from auditloom.functions.joins import join_groups
 from auditloom.operators.heavy import top_k
 from auditloom.session import measured
 
@@ -62,7 +63,7 @@ def query(
     on = [*keys, item]
     probes = _with_cells(questions.select(*on).distinct(), item, depth, width, hash)
     return (
-        probes.join(cells.select(*keys, "r", "c", "cnt"), [*keys, "r", "c"], "left")
+        join_groups(probes, cells.select(*keys, "r", "c", "cnt"), [*keys, "r", "c"], "left")
         .groupBy(*on)
         .agg(F.min(F.coalesce("cnt", F.lit(0))).alias("est"))
     )
@@ -78,7 +79,7 @@ def heavy_cells(
 ) -> DataFrame:
     """Cells holding at least ``ratio`` of the weight, the ``limit`` largest per sketch."""
     order = [F.desc("cnt"), F.asc("r"), F.asc("c")]
-    shared = cells.join(totals(cells, keys), list(keys)).where(F.col("cnt") >= ratio * F.col("total"))
+    shared = join_groups(cells, totals(cells, keys), keys).where(F.col("cnt") >= ratio * F.col("total"))
     ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("rank") <= limit).withColumn("ratio", F.col("cnt") / F.col("total"))
 
@@ -92,7 +93,7 @@ def heavy_items(
 ) -> DataFrame:
     """Items whose estimated share is at least ``ratio``; misses no true heavy hitter."""
     estimates = query(items, cells, keys, hash=hash)
-    shared = estimates.join(measured(totals(cells, keys), "totals"), list(keys))
+    shared = join_groups(estimates, measured(totals(cells, keys), "totals"), keys)
     return shared.where(F.col("est") >= ratio * F.col("total"))
 
 
@@ -108,7 +109,7 @@ def hybrid(
     on = [*keys, "item"]
     tracked = top_k(counts, keys, k).select(*on, "cnt")
     estimates = query(questions, cells, keys, hash=hash)
-    return estimates.join(tracked, on, "left").select(
+    return join_groups(estimates, tracked, on, "left").select(
         *on,
         F.coalesce("cnt", "est").alias("cnt"),
         F.when(F.col("cnt").isNotNull(), "exact").otherwise("estimate").alias("source"),

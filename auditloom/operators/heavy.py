@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions.joins import join_groups
 from auditloom.functions.buckets import bucket_start, expires_at
 from auditloom.operators.routing import RULES, MetricRule, rules_for, value_counts
 
@@ -66,7 +67,7 @@ def top_lists(counts: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:
 def count_of(counts: DataFrame, questions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count of asked items, 0 if absent. ``counts`` has one row per key and item."""
     on = [*keys, "item"]
-    joined = questions.join(counts.select(*on, "cnt"), on, "left")
+    joined = join_groups(questions, counts.select(*on, "cnt"), on, "left")
     return joined.select(*questions.columns, F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 

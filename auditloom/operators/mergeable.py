@@ -131,10 +131,6 @@ def kll(value: str = "latency_ms", k: int = 400) -> ExprAgg:
     )
 
 
-def counts() -> ExprAgg:
-    """Plain row count; merged by adding."""
-    return ExprAgg((("cnt", "count(1)"),), (("cnt", "sum(cnt)"),), (("cnt", "cnt"),))
-
 
 def relative_error(lg_k: int) -> float:
     """Standard error of a distinct count sketch with ``2 ** lg_k`` registers."""

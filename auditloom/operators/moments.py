@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.buckets import bucket_start, expires_at
+from auditloom.functions.joins import join_groups
 from auditloom.operators.ordered import running_sums
 from auditloom.session import measured
 
@@ -21,17 +22,17 @@ def partial(df: DataFrame, keys: Sequence[str], value: str, *extra: Column) -> D
     out = df.where(x.isNotNull()).groupBy(*keys).agg(
         F.count(x).alias("n"),
         F.avg(x).alias("m1"),
-        F.var_pop(x).alias("v"),
-        F.skewness(x).alias("s"),
-        F.kurtosis(x).alias("k"),
+        F.var_pop(x).alias("__v"),
+        F.skewness(x).alias("__s"),
+        F.kurtosis(x).alias("__k"),
         F.min(x).alias("lo"),
         F.max(x).alias("hi"),
         *extra,
     )
-    more = [c for c in out.columns if c not in (*keys, "n", "m1", "v", "s", "k", "lo", "hi")]
-    n, m2 = F.col("n"), F.col("v") * F.col("n")
-    m3 = F.coalesce(F.col("s") * F.pow(m2, F.lit(1.5)) / F.sqrt(n), F.lit(0.0))
-    m4 = F.coalesce((F.col("k") + 3) * m2 * m2 / n, F.lit(0.0))
+    more = [c for c in out.columns if c not in (*keys, "n", "m1", "__v", "__s", "__k", "lo", "hi")]
+    n, m2 = F.col("n"), F.col("__v") * F.col("n")
+    m3 = F.coalesce(F.col("__s") * F.pow(m2, F.lit(1.5)) / F.sqrt(n), F.lit(0.0))
+    m4 = F.coalesce((F.col("__k") + 3) * m2 * m2 / n, F.lit(0.0))
     return out.select(
         *keys, "n", "m1", m2.alias("m2"), m3.alias("m3"), m4.alias("m4"), "lo", "hi", *more
     )
@@ -44,18 +45,18 @@ def merge(states: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
     states are read twice, so they should be a stored table, not a plan over raw rows.
     """
     keys = list(keys)
-    n, d = F.col("n"), F.col("m1") - F.col("mean")
+    n, d = F.col("n"), F.col("m1") - F.col("__mean")
     live = states.where("n > 0")
-    mean = (F.sum(n * F.col("m1")) / F.sum(n)).alias("mean")
+    mean = (F.sum(n * F.col("m1")) / F.sum(n)).alias("__mean")
     if keys:
-        shifted = live.join(live.groupBy(*keys).agg(mean), keys)
+        shifted = join_groups(live, live.groupBy(*keys).agg(mean), keys)
     else:
         # a single number for the whole table
-        shifted = live.withColumn("mean", F.lit(live.agg(mean).first()[0]).cast("double"))
+        shifted = live.withColumn("__mean", F.lit(live.agg(mean).first()[0]).cast("double"))
     m2, m3, m4 = F.col("m2"), F.col("m3"), F.col("m4")
     return shifted.groupBy(*keys).agg(
         F.sum(n).alias("n"),
-        F.max("mean").alias("m1"),
+        F.max("__mean").alias("m1"),
         F.sum(m2 + n * d * d).alias("m2"),
         F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("m3"),
         F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias("m4"),
@@ -113,9 +114,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     the running sums lose no precision that matters.
     """
     keys = list(keys)
-    centre = measured(df.groupBy(*keys).agg(F.avg(value).alias("centre")), "centres")
-    rows = df.where(F.col(value).isNotNull()).join(centre, keys)
-    d = f"({value} - centre)"
+    centre = measured(df.groupBy(*keys).agg(F.avg(value).alias("__centre")), "centres")
+    rows = join_groups(df.where(F.col(value).isNotNull()), centre, keys)
+    d = f"({value} - __centre)"
     sums = {"n": "1L", "s1": d, "s2": f"{d}*{d}", "s3": f"{d}*{d}*{d}", "s4": f"{d}*{d}*{d}*{d}"}
     out = running_sums(rows, keys, order, sums)
     n, s1, s2, s3, s4 = (F.col(c) for c in sums)
@@ -126,6 +127,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     m3 = s3 - 3 * mean * s2 + 2 * n * mean * mean * mean
     m4 = s4 - 4 * mean * s3 + 6 * mean * mean * s2 - 3 * n * mean * mean * mean * mean
     states = out.select(
-        *df.columns, "n", (F.col("centre") + mean).alias("m1"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4")
+        *df.columns, "n", (F.col("__centre") + mean).alias("m1"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4")
     )
     return present(states, df.columns)

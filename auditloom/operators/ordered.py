@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions.joins import join_groups
 from auditloom.session import materialize, partitions_for, shuffle_partitions
 
 
@@ -28,25 +29,25 @@ def running_sums(
     with shuffle_partitions(df.sparkSession, partitions_for(df)):
         rows = df.repartitionByRange(*[F.col(c) for c in keys + order])
         # the chunk numbers must not change between the two uses below
-        rows = materialize(rows.withColumn("chunk", F.spark_partition_id()), "ordered")
+        rows = materialize(rows.withColumn("__chunk", F.spark_partition_id()), "ordered")
     inside = (
-        Window.partitionBy("chunk", *keys)
+        Window.partitionBy("__chunk", *keys)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # one row per key and chunk: even a single key has no more rows than there are chunks
     whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "chunk").agg(
+    earlier = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__chunk").agg(
         *[F.sum(F.expr(e)).alias(f"_{name}") for name, e in sums.items()]
     )
     before = totals.select(
         *keys,
-        "chunk",
+        "__chunk",
         *[F.sum(f"_{name}").over(earlier).alias(f"_{name}") for name in sums],
         *[F.sum(f"_{name}").over(whole).alias(f"{name}_total") for name in sums],
     )
     local = rows.select("*", *[F.sum(F.expr(e)).over(inside).alias(n) for n, e in sums.items()])
-    joined = local.join(before, [*keys, "chunk"])
+    joined = join_groups(local, before, [*keys, "__chunk"])
     total = [(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in sums]
     return joined.select(*df.columns, *total, *[f"{name}_total" for name in sums])

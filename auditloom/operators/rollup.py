@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.buckets import bucket_start, shift_back
+from auditloom.functions.joins import join_groups
 from auditloom.operators.mergeable import ExprAgg
 from auditloom.schema import window_spec
 from auditloom.session import measured
@@ -37,7 +38,7 @@ def last_existing(rollup: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     newest = Window.partitionBy(*keys).orderBy(F.desc("bucket_start"))
     ranked = rollup.select(*on).distinct().withColumn("_age", F.row_number().over(newest))
     wanted = measured(ranked.where(F.col("_age") <= n).select(*on), "newest")
-    return rollup.join(wanted, on, "left_semi")
+    return join_groups(rollup, wanted, on, "left_semi")
 
 
 def last_calendar(rollup: DataFrame, window: str, end: Column, n: int) -> DataFrame:
@@ -108,9 +109,5 @@ def exact_rolling_distinct(values: DataFrame, window: str, n: int) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     totals = per_bucket.select(*key, F.sum("change").over(so_far).alias("exact"))
-    return totals.join(values.select(*key).distinct(), key, "left_semi")
+    return join_groups(totals, values.select(*key).distinct(), key, "left_semi")
 
-
-def extend(agg: ExprAgg, stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add fresh states to stored ones."""
-    return agg.merge(stored.unionByName(fresh), keys)

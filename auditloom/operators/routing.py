@@ -44,12 +44,6 @@ RULES = (
     ),
 )
 
-LATENCY_RULES = tuple(
-    MetricRule(
-        structure, "api_latency", "cast(latency_ms as string)", "latency_ms is not null", ("1h", "1d")
-    )
-    for structure in ("kll", "moments")
-)
 
 
 def rules_for(structure: str, rules: Iterable[MetricRule] = RULES) -> tuple[MetricRule, ...]:

@@ -48,11 +48,31 @@ def save(rows: DataFrame, root: str) -> None:
 
 def load(spark: SparkSession, root: str, day: date) -> DataFrame:
     """Snapshot of a date; empty means there is none."""
-    rows = spark.read.schema(SCHEMA).parquet(root)
-    return rows.where(F.col("snapshot_date") == F.lit(day))
+    return _stored(spark, root).where(F.col("snapshot_date") == F.lit(day))
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(root)
 
 
 def kept(spark: SparkSession, root: str, today: date) -> DataFrame:
     """Snapshots that have not run out."""
     first = today - timedelta(days=RETENTION_DAYS)
-    return spark.read.schema(SCHEMA).parquet(root).where(F.col("snapshot_date") > F.lit(first))
+    return _stored(spark, root).where(F.col("snapshot_date") > F.lit(first))
+
+
+def expire(spark: SparkSession, root: str, today: date) -> int:
+    """Delete the snapshots that have run out; tells how many dates."""
+    first = today - timedelta(days=RETENTION_DAYS)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    old = [n for n in names if n.startswith("snapshot_date=") and n[14:] <= first.isoformat()]
+    for name in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+    return len(old)

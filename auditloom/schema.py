@@ -63,7 +63,7 @@ def window_table(spark: SparkSession) -> DataFrame:
 # unparsable one can be told from a missing one.
 RECORD_SCHEMA = T.StructType(
     [
-        T.StructField("event_id", T.LongType()),
+        T.StructField("event_id", T.StringType()),
         T.StructField("event_type", T.StringType()),
         T.StructField("user_id", T.StringType()),
         T.StructField("session_id", T.StringType()),
@@ -86,12 +86,13 @@ EVENT_COLUMNS = (
     "endpoint",
     "status_code",
     "latency_ms",
+    "event_key",
 )
 
-# Rollup tables. ``window``, ``bucket_date`` and ``batch_id`` are folder names, and
+# Rollup tables. ``window``, ``bucket_date``, ``source`` and ``batch_id`` are folder names, and
 # are typed here because guessing would read the window "1d" as a number.
 _KEY = "metric string, system string, bucket_start timestamp, "
-_FOLDERS = ", last_ts timestamp, expires_at timestamp, window string, bucket_date date, batch_id long"
+_FOLDERS = ", last_ts timestamp, expires_at timestamp, window string, bucket_date date, source string, batch_id long"
 ROLLUP_SCHEMAS = {
     "hll": _KEY + "sketch binary, n long" + _FOLDERS,
     "member": _KEY + "value string" + _FOLDERS,

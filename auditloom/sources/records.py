@@ -45,7 +45,8 @@ def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
 def validate(records: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
     """Add ``ts``, the metadata fields with a meaning, and ``reject_reason``.
 
-    A record without a timestamp counts as happening at ``ingest_ts``.
+    A record without a timestamp counts as happening at ``ingest_ts``. The id it brings,
+    a number or any text, becomes ``event_key``, and ``event_id`` where it is a number.
     """
     now = F.current_timestamp() if ingest_ts is None else ingest_ts
     stamp = F.when(F.col("timestamp").isNull(), now).otherwise(parse_timestamp(F.col("timestamp")))
@@ -56,7 +57,9 @@ def validate(records: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
         .when(F.col("ts").isNull(), "timestamp")
     )
     metadata = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-    out = records.withColumn("ts", stamp).withColumn("metadata", metadata)
+    out = records.withColumn("ts", stamp).withColumn("metadata", metadata).withColumns(
+        {"event_key": F.col("event_id"), "event_id": F.col("event_id").try_cast("long")}
+    )
     for key in ("ip", "endpoint", "status_code"):
         out = out.withColumn(key, F.col("metadata").getItem(key))
     return out.withColumn("reject_reason", reason)

@@ -1,12 +1,19 @@
 """Rollup tables on shared storage: append deltas, merge on read, compact, expire.
 
-Layout: ``root/structure/v<N>/window=../bucket_date=../batch_id=../*.parquet``. A
-delta run again replaces its own ``batch_id`` folders and nothing else, so a retried
-batch changes nothing. One writer per store; readers are free.
+Layout: ``root/structure/v<N>/window=../bucket_date=../source=../batch_id=../*.parquet``.
+A delta run again replaces its own ``source`` and ``batch_id`` folders and nothing else,
+and is skipped once a compaction has folded it, so a retried batch changes nothing. One
+writer per store; readers are free.
+
+What an event adds to a structure is stored once, in one window: in the window it was
+written in until that has run out, then (:meth:`RollupStore.expire`) in the next longer
+ones. Answers for a window add up what is stored in it and in all shorter ones.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -19,6 +26,7 @@ from auditloom.functions.buckets import bucket_end, bucket_start, bucket_start_b
 from auditloom.operators import moments
 from auditloom.operators.mergeable import hll, kll
 from auditloom.schema import ROLLUP_SCHEMAS, WINDOW_CODES, window_spec
+from auditloom.session import materialize
 
 # Longer windows and the shorter ones that tile them, best first.
 TILES = {
@@ -29,7 +37,10 @@ TILES = {
     "1w": ("1d", "1h", "15m", "5m", "1m"),
     "1M": ("1d", "1h", "15m", "5m", "1m"),
 }
-_FOLDERS = ["window", "bucket_date", "batch_id"]
+# Where rows go when their window has run out; weeks and months both come from days.
+NEXT = {"1m": ("1h",), "5m": ("1h",), "15m": ("1h",), "1h": ("1d",), "1d": ("1w", "1M"), "1w": (), "1M": ()}
+_FOLDERS = ["window", "bucket_date", "source", "batch_id"]
+MERGED = "merged"  # source of the rows that compaction made
 KEY = ["metric", "system", "window", "bucket_start"]
 
 
@@ -61,11 +72,45 @@ class RollupStore:
         versions = self._versions(structure)
         return f"{self.root}/{structure}/v{versions[-1] if versions else 0}"
 
-    def write(self, structure: str, rows: DataFrame, batch_id: int) -> None:
-        """Append one batch of summary rows."""
-        self._write(self.path(structure), structure, rows, batch_id)
+    def _folded(self, structure: str) -> dict[str, list[list[int]]]:
+        """Ranges of batches, by source, that the current version has folded."""
+        path = f"{self.path(structure)}.ready"
+        fs = _fs(self.spark, path)
+        if not fs.exists(_path(self.spark, path)):
+            return {}
+        stream = fs.open(_path(self.spark, path))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text or "{}")
+
+    def _commits(self, structure: str) -> list[tuple[str, int]]:
+        """Batches that were written in full since the last compaction."""
+        base = f"{self.root}/{structure}/commits"
+        fs = _fs(self.spark, base)
+        if not fs.exists(_path(self.spark, base)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(_path(self.spark, base))]
+        return [(n.rpartition("@")[0], int(n.rpartition("@")[2])) for n in names]
+
+    def write(self, structure: str, rows: DataFrame, batch_id: int, source: str = "main") -> None:
+        """Append one batch of summary rows of a source (a stable name of who writes).
 
-    def _write(self, path: str, structure: str, rows: DataFrame, batch_id: int) -> None:
+        The same batch again replaces its rows; once folded by a compaction it is skipped.
+        """
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", source) or source == MERGED:
+            raise ValueError(f"not a source name: {source}")
+        if any(low <= batch_id <= high for low, high in self._folded(structure).get(source, [])):
+            return
+        marked = rows.withColumns(
+            {"source": F.lit(source), "batch_id": F.lit(batch_id).cast("long")}
+        )
+        self._write(self.path(structure), structure, marked)
+        done = f"{self.root}/{structure}/commits/{source}@{batch_id}"
+        _fs(self.spark, done).create(_path(self.spark, done), True).close()
+
+    def _write(self, path: str, structure: str, rows: DataFrame) -> None:
         window_end = None
         for code in WINDOW_CODES:
             expiry = F.when(F.col("window") == code, expires_at(F.col("last_ts"), code))
@@ -74,7 +119,6 @@ class RollupStore:
         full = (
             rows.withColumn("expires_at", window_end)
             .withColumn("bucket_date", F.to_date("bucket_start"))
-            .withColumn("batch_id", F.lit(batch_id).cast("long"))
             .select(*names)
         )
         # even files per folder: small folders get one task, big ones are split
@@ -125,58 +169,51 @@ class RollupStore:
         start: datetime | None = None,
         end: datetime | None = None,
     ) -> DataFrame:
-        """Merged rows for any window: as stored, or else made from the longest stored
-        window that tiles it."""
+        """Merged rows for any window: what is stored in it and in the windows that tile it."""
         window_spec(window)
         path = self.path(structure)
         fs = _fs(self.spark, path)
-        for source in (window, *TILES.get(window, ())):
-            if fs.exists(_path(self.spark, f"{path}/window={source}")):
-                break
-        else:
+        parts = []
+        for stored in (window, *TILES.get(window, ())):
+            if not fs.exists(_path(self.spark, f"{path}/window={stored}")):
+                continue
+            rows = self.read(structure, stored)
+            if start is not None:
+                first = bucket_start(F.lit(start).cast("timestamp"), window)
+                rows = rows.where(
+                    (F.col("bucket_date") >= F.to_date(first)) & (F.col("bucket_start") >= first)
+                )
+            if end is not None:
+                stop = bucket_end(bucket_start(F.lit(end).cast("timestamp"), window), window)
+                rows = rows.where(
+                    (F.col("bucket_date") <= F.to_date(stop)) & (F.col("bucket_start") < stop)
+                )
+            parts.append(rows if stored == window else _moved(rows, window))
+        if not parts:
             return self.merged(structure, window)
-        rows = self.read(structure, source)
-        if start is not None:
-            first = bucket_start(F.lit(start).cast("timestamp"), window)
-            rows = rows.where(
-                (F.col("bucket_date") >= F.to_date(first)) & (F.col("bucket_start") >= first)
-            )
-        if end is not None:
-            stop = bucket_end(bucket_start(F.lit(end).cast("timestamp"), window), window)
-            rows = rows.where(
-                (F.col("bucket_date") <= F.to_date(stop)) & (F.col("bucket_start") < stop)
-            )
-        return merge_rows(structure, rows) if source == window else coarser(structure, rows, window)
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return merge_rows(structure, out)
 
     def compact(self, structure: str) -> None:
-        """Merge all deltas into a new version and switch to it.
+        """Merge all committed deltas into a new version and switch to it.
 
         The old version stays until it is removed by :meth:`drop_old_versions`, so
-        readers that started on it can finish.
+        readers that started on it can finish. A delta that was cut short stays a delta.
         """
-        versions = self._versions(structure)
-        if not versions:
-            return
-        following = versions[-1] + 1
-        target = f"{self.root}/{structure}/v{following}"
-        rows = self.spark.read.schema(ROLLUP_SCHEMAS[structure]).parquet(self.path(structure))
-        self._write(target, structure, merge_rows(structure, rows), -1)
-        marker = _path(self.spark, f"{target}.ready")
-        _fs(self.spark, target).create(marker, True).close()
-
-    def drop_old_versions(self, structure: str) -> None:
-        for version in self._versions(structure)[:-1]:
-            for name in (f"v{version}.ready", f"v{version}"):
-                old = f"{self.root}/{structure}/{name}"
-                _fs(self.spark, old).delete(_path(self.spark, old), True)
-
-    def live(self, structure: str, window: str, as_of: datetime) -> DataFrame:
-        """Merged rows that have not run out at ``as_of``."""
-        return self.merged(structure, window).where(F.col("expires_at") > F.lit(as_of))
+        self._rebuild(structure, None)
 
     def expire(self, structure: str, as_of: datetime) -> int:
-        """Delete the folders of days all of whose rows have run out; tells how many."""
+        """Move the days all of whose rows have run out to the next longer windows.
+
+        Hours go to days, days to weeks and months, and weeks and months go for good. Works
+        as a compaction, so a crash leaves the old version in place. Tells how many days
+        of how many windows were moved.
+        """
         path = self.path(structure)
+        if not _fs(self.spark, path).exists(_path(self.spark, path)):
+            return 0
         rows = self.spark.read.schema(ROLLUP_SCHEMAS[structure]).parquet(path)
         over = (
             rows.groupBy("window", "bucket_date")
@@ -185,11 +222,57 @@ class RollupStore:
         )
         # one row per window and day, so the list is bounded by the calendar
         folders = [(r["window"], r["bucket_date"]) for r in over.collect()]
-        fs = _fs(self.spark, path)
-        for window, day in folders:
-            fs.delete(_path(self.spark, f"{path}/window={window}/bucket_date={day}"), True)
+        if folders:
+            self._rebuild(structure, folders)
         return len(folders)
 
+    def _rebuild(self, structure: str, over: list[tuple[str, date]] | None) -> None:
+        path = self.path(structure)
+        if not _fs(self.spark, path).exists(_path(self.spark, path)):
+            return
+        versions, commits = self._versions(structure), self._commits(structure)
+        target = f"{self.root}/{structure}/v{versions[-1] + 1}"
+        rows = self.spark.read.schema(ROLLUP_SCHEMAS[structure]).parquet(path)
+        names = [MERGED + "@-1", *(f"{s}@{b}" for s, b in commits)]
+        whole = F.concat_ws("@", "source", "batch_id").isin(names)
+        merged = merge_rows(structure, rows.where(whole))
+        if over:
+            gone = F.lit(False)
+            for code in {w for w, _ in over}:
+                days = [d for w, d in over if w == code]
+                gone |= (F.col("window") == code) & F.to_date("bucket_start").isin(days)
+            merged = materialize(merged, "merged")
+            parts = [merged.where(~gone)]
+            for code in {w for w, _ in over}:
+                old = merged.where(gone & (F.col("window") == code))
+                parts += [coarser(structure, old, longer) for longer in NEXT[code]]
+            merged = parts[0]
+            for part in parts[1:]:
+                merged = merged.unionByName(part)
+        merged = merged.withColumns({"source": F.lit(MERGED), "batch_id": F.lit(-1).cast("long")})
+        cut_short = rows.where(~whole).select(*merged.columns)
+        fs = _fs(self.spark, target)
+        fs.delete(_path(self.spark, target), True)  # what an attempt cut short may have left
+        self._write(target, structure, merged.unionByName(cut_short))
+        folded = self._folded(structure)
+        for source, batch in commits:
+            folded[source] = _with(folded.get(source, []), batch)
+        marker = fs.create(_path(self.spark, f"{target}.ready"), True)
+        marker.writeBytes(json.dumps(folded))
+        marker.close()
+        for source, batch in commits:
+            fs.delete(_path(self.spark, f"{self.root}/{structure}/commits/{source}@{batch}"), False)
+
+    def drop_old_versions(self, structure: str) -> None:
+        for version in self._versions(structure)[:-1]:
+            for name in (f"v{version}.ready", f"v{version}"):
+                old = f"{self.root}/{structure}/{name}"
+                _fs(self.spark, old).delete(_path(self.spark, old), True)
+
+    def live(self, structure: str, window: str, as_of: datetime) -> DataFrame:
+        """Merged rows that have not run out at ``as_of``."""
+        return self.merged(structure, window).where(F.col("expires_at") > F.lit(as_of))
+
     def expire_ledger(self, before: date) -> int:
         """Forget which events were seen on days before ``before``; tells how many days.
 
@@ -226,12 +309,31 @@ class RollupStore:
                     F.sum("b").cast("long").alias("bytes"),
                 )
             )
+        if not parts:
+            return self.spark.createDataFrame([], "structure string, window string, keys long, rows long, bytes long")
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
         return out
 
 
+def _with(ranges: list[list[int]], batch: int) -> list[list[int]]:
+    """Ranges of numbers with one more number."""
+    out: list[list[int]] = []
+    for low, high in sorted([*ranges, [batch, batch]]):
+        if out and low <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return out
+
+
+def _moved(rows: DataFrame, window: str) -> DataFrame:
+    return rows.withColumn("window", F.lit(window)).withColumn(
+        "bucket_start", bucket_start_by(F.col("bucket_start"), F.col("window"))
+    )
+
+
 def merge_rows(structure: str, rows: DataFrame) -> DataFrame:
     """Merge delta rows of a structure: one row per key (and item or value)."""
     if structure in ("hll", "kll"):
@@ -255,7 +357,4 @@ def merge_rows(structure: str, rows: DataFrame) -> DataFrame:
 def coarser(structure: str, rows: DataFrame, window: str) -> DataFrame:
     """Rows of a longer window from rows of a shorter one."""
     window_spec(window)
-    moved = rows.withColumn("window", F.lit(window)).withColumn(
-        "bucket_start", bucket_start_by(F.col("bucket_start"), F.col("window"))
-    )
-    return merge_rows(structure, moved)
+    return merge_rows(structure, _moved(rows, window))

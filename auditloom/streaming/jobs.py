@@ -7,6 +7,7 @@ summary they belong to has run out.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,8 +96,10 @@ def hours_to_days(events: DataFrame, delay: str) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, horizon: str) -> DataFrame:
-    """Drop events sent again within the horizon."""
-    return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["event_id"])
+    """Drop events sent again within the horizon; events without an id all stay."""
+    # one that brings no id gets one nobody else has
+    keyed = events.withColumn("_key", F.coalesce(_key(events), F.uuid()))
+    return keyed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def running_statistics(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -126,36 +129,44 @@ def running_statistics(events: DataFrame, path: str, checkpoint: str) -> DataFra
     return newest.select("system", "s.*")
 
 
-LEDGER_SCHEMA = "event_id long, event_date date, batch_id long"
+LEDGER_SCHEMA = "event_key string, event_date date, source string, batch_id long"
 
 
-def _unseen(batch: DataFrame, ledger: str, batch_id: int) -> DataFrame:
-    """Events of a batch that no earlier batch held.
+def _key(events: DataFrame) -> Column:
+    """What tells events apart: the id their producer gave them, or null."""
+    number = F.col("event_id").cast("string")
+    return F.coalesce(F.col("event_key"), number) if "event_key" in events.columns else number
+
+
+def _unseen(batch: DataFrame, ledger: str, source: str, batch_id: int) -> DataFrame:
+    """Events of a batch that no other batch held; those without an id are all kept.
 
     Only the ledger days the batch touches are read, and rows the same batch wrote in
-    an earlier attempt do not count.
+    an earlier attempt do not count. ``batch`` is read several times: persist it.
     """
     spark = batch.sparkSession
-    once = batch.dropDuplicates(["event_id"]).withColumn("event_date", F.to_date("ts"))
-    low, high = once.agg(F.min("event_date"), F.max("event_date")).first()
-    try:
-        seen = spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
-    except Exception as error:  # the first batch finds no ledger
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return once
-    seen = seen.where((F.col("batch_id") < batch_id) & F.col("event_date").between(low, high))
-    return once.join(seen.select("event_date", "event_id"), ["event_date", "event_id"], "left_anti")
-
-
-def apply_batch(store: RollupStore, batch: DataFrame, batch_id: int) -> None:
+    keyed = batch.where("event_key is not null").dropDuplicates(["event_key"])
+    bare = batch.where("event_key is null")
+    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        days = [r[0] for r in batch.select("event_date").distinct().collect()]  # bounded by the calendar
+        seen = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("event_date").isin(days))
+        own = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
+        seen = seen.where(~own).select("event_date", "event_key")
+        keyed = keyed.join(seen, ["event_date", "event_key"], "left_anti").select(*batch.columns)
+    return keyed.unionByName(bare)
+
+
+def apply_batch(store: RollupStore, batch: DataFrame, batch_id: int, source: str = "main") -> None:
     """Add one batch of events to every hourly rollup table, each event once.
 
-    Running a batch again replaces what its first attempt wrote, so a retry is safe
-    at any point.
+    Running a batch of a source again replaces what its first attempt wrote, or does
+    nothing where that has been compacted, so a retry is safe at any point. Events that
+    bring no id count as often as they are sent.
     """
     ledger = f"{store.root}/ledger"
-    fresh = _unseen(batch, ledger, batch_id).persist()
+    dated = batch.withColumns({"event_key": _key(batch), "event_date": F.to_date("ts")}).persist()
+    fresh = _unseen(dated, ledger, source, batch_id).persist()
     try:
         tables = {
             "hll": hll_rollup, "member": member_rollup, "topk": topk_rollup,
@@ -164,29 +175,54 @@ def apply_batch(store: RollupStore, batch: DataFrame, batch_id: int) -> None:
         # independent tables: their jobs share the cluster instead of queueing
         with ThreadPoolExecutor(len(tables)) as pool:
             writes = [
-                pool.submit(store.write, structure, make(fresh), batch_id)
+                pool.submit(store.write, structure, make(fresh), batch_id, source)
                 for structure, make in tables.items()
             ]
         for write in writes:
             write.result()
         # last of all, so that a batch cut short is done again in full
         (
-            fresh.select("event_id", "event_date", F.lit(batch_id).cast("long").alias("batch_id"))
+            fresh.where("event_key is not null")
+            .select(
+                "event_key", "event_date", F.lit(source).alias("source"),
+                F.lit(batch_id).cast("long").alias("batch_id"),
+            )
             .hint("rebalance", "event_date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date", "batch_id")
+            .partitionBy("event_date", "source", "batch_id")
             .parquet(ledger)
         )
     finally:
         fresh.unpersist()
+        dated.unpersist()
+
+
+def _stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name kept next to the checkpoint: a stream that lost it is another source, whose
+    batches, numbered from 0 again, do not replace the old ones."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/source_name")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, False)
+        out.writeBytes(uuid.uuid4().hex)
+        out.close()
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def maintain(events: DataFrame, store: RollupStore, checkpoint: str) -> None:
-    """Keep the rollup tables up to date from a stream, late and repeated events included."""
+    """Keep the rollup tables up to date from a stream, late and repeated events included.
+
+    Several streams may feed one store, one at a time.
+    """
+    source = _stream_name(store.spark, checkpoint)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(store, batch, batch_id)
+        apply_batch(store, batch, batch_id, source)
 
     run_available(store.spark, events.writeStream.foreachBatch(step), checkpoint)
 

@@ -206,3 +206,28 @@ def test_checked_tells_a_wrong_estimate(spark):
     b = spark.createDataFrame([("x", 101), ("y", 300), ("z", 1)], "k string, exact long")
     got = {r.k: r.within_bound for r in checked(a, b, ["k"], 0.04).collect()}
     assert got == {"x": True, "y": False, "z": False}
+
+
+def test_null_is_a_group_and_names_do_not_clash(spark):
+    from auditloom.operators import countmin
+    from auditloom.operators.heavy import count_of
+    from auditloom.operators.quantiles import exact_percentiles
+    from auditloom.operators.rollup import last_existing
+
+    rows = spark.range(40).select(
+        F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), F.col("id").cast("double").alias("x"), "id"
+    )
+    states = moments.partial(rows, ["k"], "x")
+    merged = {r.k: (r.n, r.m1) for r in moments.merge(states, ["k"]).collect()}
+    assert merged == {"a": (20, 19.0), None: (20, 20.0)}
+    assert moments.running(rows, ["k"], ["id"], "x").count() == 40
+    got = {r.k: r.value for r in exact_percentiles(rows, ["k"], "x", [50]).collect()}
+    assert got == {"a": 19.0, None: 20.0}
+    items = rows.select("k", F.lit("i").alias("item"), F.lit(1).cast("long").alias("cnt"))
+    counts = items.groupBy("k", "item").agg(F.sum("cnt").alias("cnt"))
+    asked = items.select("k", "item").distinct()
+    assert {(r.k, r.cnt) for r in count_of(counts, asked, ["k"]).collect()} == {("a", 20), (None, 20)}
+    cells = countmin.build(items, ["k"], "item")
+    assert {(r.k, r.est) for r in countmin.query(asked, cells, ["k"]).collect()} == {("a", 20), (None, 20)}
+    buckets = rows.select("k", F.timestamp_seconds("id").alias("bucket_start"))
+    assert last_existing(buckets, ["k"], 3).groupBy("k").count().count() == 2

@@ -155,3 +155,68 @@ def test_sla_is_strict(spark):
     assert got == {"a": ("PASS", 0.0), "b": ("FAIL", 0.0)}
     own = spark.createDataFrame([("a", 100.0), ("b", 300.0)], "system string, threshold double")
     assert {r.system: r.status for r in reports.sla_check(rows, own).collect()} == {"a": "FAIL", "b": "PASS"}
+
+
+def test_a_batch_is_told_by_its_source_and_number(spark, events, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    halves = [events.where(F.col("event_id") % 2 == i) for i in range(2)]
+    store.write("topk", topk_rollup(halves[0]), 0, "a")
+    store.write("topk", topk_rollup(halves[1]), 0, "b")
+    whole = comparable("topk", topk_rollup(events))
+    assert comparable("topk", store.merged("topk")) == whole
+    store.compact("topk")
+    store.write("topk", topk_rollup(halves[1]), 0, "b")  # a retry after the compaction
+    assert comparable("topk", store.merged("topk")) == whole
+    with pytest.raises(ValueError, match="source"):
+        store.write("topk", topk_rollup(events), 0, "a/b")
+
+
+def test_a_compaction_cut_short_changes_nothing(spark, events, tmp_path, monkeypatch):
+    store = RollupStore(spark, str(tmp_path))
+    store.write("topk", topk_rollup(events), 0)
+    whole = comparable("topk", topk_rollup(events))
+    real = RollupStore._write
+
+    def broken(self, path, structure, rows):
+        real(self, path, structure, rows)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(RollupStore, "_write", broken)
+    with pytest.raises(RuntimeError):
+        store.compact("topk")
+    with pytest.raises(RuntimeError):  # and a delta that was written but not committed
+        store.write("topk", topk_rollup(events), 1)
+    monkeypatch.undo()
+    store.compact("topk")
+    store.write("topk", topk_rollup(events), 1)  # its retry
+    double = {r.item: r.cnt for r in store.merged("topk").groupBy("item").agg(F.sum("cnt").alias("cnt")).collect()}
+    once = {r.item: r.cnt for r in topk_rollup(events).groupBy("item").agg(F.sum("cnt").alias("cnt")).collect()}
+    assert double == {k: 2 * v for k, v in once.items()} and whole
+
+
+@pytest.mark.parametrize("structure", list(MAKE))
+def test_longer_windows_outlive_the_hours(spark, events, tmp_path, structure):
+    store, make = RollupStore(spark, str(tmp_path)), MAKE[structure]
+    store.write(structure, make(events), 0)
+    assert store.expire(structure, dt.datetime(2024, 1, 9, 12)) == 1
+    late = events.where("event_id < 10")  # events of the day that has moved, once more
+    store.write(structure, make(late), 1)
+    both = events.unionByName(late)
+    for window in ("1d", "1w", "1M"):
+        assert comparable(structure, store.at(structure, window)) == comparable(structure, make(both, window))
+    store.expire(structure, dt.datetime(2024, 2, 20))
+    assert store.read(structure, "1h").count() == 0
+    for window in ("1d", "1w", "1M"):
+        assert comparable(structure, store.at(structure, window)) == comparable(structure, make(both, window))
+    assert store.expire(structure, dt.datetime(2030, 1, 1)) > 0
+    store.expire(structure, dt.datetime(2030, 1, 1))
+    assert store.at(structure, "1M").count() == 0
+
+
+def test_empty_stores_answer(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    assert store.footprint().count() == 0
+    assert store.expire("topk", dt.datetime(2024, 1, 1)) == 0
+    store.compact("topk")
+    assert snapshots.load(spark, str(tmp_path / "none"), dt.date(2024, 1, 1)).count() == 0
+    assert snapshots.expire(spark, str(tmp_path / "none"), dt.date(2024, 1, 1)) == 0

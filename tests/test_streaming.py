@@ -151,3 +151,25 @@ def test_exact_distinct_ignores_repetition(spark):
         return rows(exact_distinct(value_counts(df, rules_for("hll", RULES)), keys).select(*keys, "exact"))
 
     assert counted(once) == counted(twice)
+
+
+def test_events_without_an_id_all_count(spark, tmp_path):
+    bare = make(spark, 0, 100).withColumn("event_id", F.lit(None).cast("long"))
+    store = RollupStore(spark, str(tmp_path / "store"))
+    jobs.apply_batch(store, bare, 0)
+    jobs.apply_batch(store, bare, 0)  # a retry
+    n = store.merged("topk").where("metric = 'event_types'").agg(F.sum("cnt")).first()[0]
+    assert n == 100
+    put(bare, tmp_path / "feed", "b0")
+    out = jobs.to_table(jobs.deduplicated(stream(spark, tmp_path / "feed"), "30 days").select("system"), "bare")
+    assert out.count() == 100
+
+
+def test_a_lost_checkpoint_loses_nothing(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path / "store"))
+    put(make(spark, 0, 100), tmp_path / "feed", "b0")
+    jobs.maintain(stream(spark, tmp_path / "feed"), store, str(tmp_path / "cp1"))
+    put(make(spark, 100, 200), tmp_path / "feed", "b1")
+    jobs.maintain(stream(spark, tmp_path / "feed"), store, str(tmp_path / "cp2"))
+    n = store.merged("topk").where("metric = 'event_types'").agg(F.sum("cnt")).first()[0]
+    assert n == 200
