@@ -17,11 +17,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.text import pieces
+from auditloom.llm.text import hashes, pieces
 from auditloom.llm.toxicity import SAMPLE_TASKS, _logistic, held_out
 from auditloom.session import materialize
 
@@ -34,11 +33,28 @@ PRIOR = 2.0
 #: A view decides by so many features of a document, those with the most evidence: words go
 #: together, so a sum over all of them would count the same evidence many times.
 STRONGEST = 12
-TOKEN = regex.compile(r"\p{L}+|[^\s\p{L}\p{N}]+")
 _CACHE_ENTRIES = 300_000
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+_KIND = np.ones(256, np.int8)  # letters, with every byte beyond ASCII among them
+_KIND[:128] = 2
+_KIND[[*range(33), *range(48, 58), 127]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def token_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the tokens of a text: runs of letters, lower-cased, and runs of marks."""
+    buf = np.frombuffer(raw, np.uint8)
+    kind = np.concatenate([[0], _KIND[buf], [0]])
+    change = np.flatnonzero(kind[1:] != kind[:-1])
+    starts, ends = change[:-1], change[1:]
+    token = kind[starts + 1] > 0
+    return hashes(_FOLD[buf], starts[token], ends[token])
+
+
 class _Features:
     """Feature numbers of documents in both views; remembers the tokens it has met."""
 
@@ -53,14 +69,13 @@ class _Features:
             at = self.known[name] = zlib.crc32(name.encode()) % WIDTH
         return at
 
-    def content(self, text: str) -> np.ndarray:
-        tokens = TOKEN.findall(text.lower())
-        distinct = set(tokens)
-        variety = f"variety\t{int(10 * len(distinct) / max(len(tokens), 1))}"
-        return np.unique(np.fromiter((self._number(t) for t in (*distinct, variety)), np.int64))
+    def content(self, raw: bytes) -> np.ndarray:
+        tokens = token_hashes(raw)
+        distinct = np.unique(tokens)
+        variety = self._number(f"variety\t{int(10 * len(distinct) / max(len(tokens), 1))}")
+        return np.unique(np.append((distinct % np.uint64(WIDTH)).astype(np.int64), variety))
 
-    def metadata(self, text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-        raw = text.encode()
+    def metadata(self, raw: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
         size = max(len(raw), 1)
         lines = [x for x in raw.split(b"\n") if x.strip()]
         letters = raw.translate(None, _NOT_LETTERS)
@@ -76,13 +91,13 @@ class _Features:
             "upper": int(20 * upper / max(len(letters), 1)),
             "marks": int(40 * marks / size),
             "word length": int(2 * size / max(spaces, 1)),
+            "packed": int(20 * len(zlib.compress(raw, 1)) / size),
             "same lines": int(8 * len(set(lines)) / max(len(lines), 1)),
-            "packed": int(20 * len(zlib.compress(raw[:_PACK], 1)) / min(size, _PACK)),
         }
         return np.unique(np.array([self._number(f"{k}\t{v}") for k, v in figures.items()], np.int64))
 
     def of(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        text = row["text"] or ""
+        text = (row["text"] or "").encode()
         return self.content(text), self.metadata(text, row["lang"], row["source"], row["n_chars"])
 
 
@@ -90,7 +105,6 @@ _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _LETTERS = _UPPER + _UPPER.lower()
 _NOT_LETTERS = bytes(b for b in range(256) if b not in _LETTERS)
 _MARKS = b"".join(bytes([b]) for b in range(33, 127) if b not in _LETTERS and not 48 <= b <= 57)
-_PACK = 1 << 20  # how well text packs is a figure of its first megabyte
 
 
 @dataclass(frozen=True)
