@@ -41,7 +41,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return to_audit_events(raw_events_stream(spark, d))
 
 
-def _resent(spark: SparkSession, d: str) -> DataFrame:
+def resent(spark: SparkSession, d: str) -> DataFrame:
     """All events as a stream of several files, out of order, and everything sent twice."""
     root = run_dir(spark, "feed")
     for attempt in (0, 1):
@@ -159,7 +159,7 @@ def i03(spark: SparkSession, d: str) -> DataFrame:
 def i04(spark: SparkSession, d: str) -> DataFrame:
     path = run_dir(spark, "maintained")
     store = RollupStore(spark, f"{path}/store")
-    jobs.maintain(_resent(spark, d), store, f"{path}/checkpoint")
+    jobs.maintain(resent(spark, d), store, f"{path}/checkpoint")
     parts = []
     for structure, n in (
         ("hll", "n"), ("topk", "cnt"), ("member", "1"), ("kll", "n"), ("moments", "n"),
@@ -193,7 +193,7 @@ def i05(spark: SparkSession, d: str) -> DataFrame:
 )
 def i06(spark: SparkSession, d: str) -> DataFrame:
     rows = jobs.to_table(
-        jobs.deduplicated(_resent(spark, d), "90 days").select("event_id", "system", "user_id"), "unique"
+        jobs.deduplicated(resent(spark, d), "90 days").select("event_id", "system", "user_id"), "unique"
     )
     return rows
 

@@ -231,3 +231,19 @@ def test_null_is_a_group_and_names_do_not_clash(spark):
     assert {(r.k, r.est) for r in countmin.query(asked, cells, ["k"]).collect()} == {("a", 20), (None, 20)}
     buckets = rows.select("k", F.timestamp_seconds("id").alias("bucket_start"))
     assert last_existing(buckets, ["k"], 3).groupBy("k").count().count() == 2
+
+
+def test_digest_tails_with_many_more_values_than_slots(spark):
+    from auditloom.operators.mergeable import kll
+    from auditloom.operators.quantiles import KLL_K, RANK_ERROR
+
+    rows = spark.range(0, 400_000, 1, 8).select(
+        F.lit("a").alias("k"), F.exp(F.randn(7) * 2).alias("x"), F.spark_partition_id().alias("part"),
+        F.lit(0).cast("timestamp").alias("ts"),
+    ).cache()
+    parts = kll("x", KLL_K).partial(rows, ["k", "part"])
+    merged = kll(k=KLL_K).merge(parts, ["k"])
+    assert RANK_ERROR < 0.001
+    for row in percentiles(merged, ["k"], [50, 90, 95, 99, 99.9]).collect():
+        rank = rows.where(F.col("x") <= row.value).count() / 400_000
+        assert abs(rank - row.p / 100) < RANK_ERROR
