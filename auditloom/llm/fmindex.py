@@ -11,6 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A packed bit vector with rank."""
 
@@ -27,8 +30,7 @@ class Bits:
     def rank1(self, at: np.ndarray) -> np.ndarray:
         """Number of ones before each position."""
         word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[at & 63])
 
 
 class WaveletMatrix:

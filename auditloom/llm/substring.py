@@ -207,21 +207,22 @@ def _shard(width: int, block_words: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
+        held, words, last = [], 0, None
         for batch in batches:
-            low = 0
-            routes = batch.column("route").to_numpy()
-            size = np.asarray([len(w.as_buffer()) for w in batch.column("words")]) // 2
-            for cut in [*(np.flatnonzero(routes[1:] != routes[:-1]) + 1).tolist(), batch.num_rows]:
-                if cut == low:
-                    continue
-                new = not held or held[-1].column("route")[-1].as_py() != int(routes[low])
-                if held and new and words >= block_words:
+            while batch.num_rows:
+                routes = batch.column("route").to_numpy()
+                # about six bytes a word
+                total = words + np.cumsum(np.diff(utf8(batch.column("words"))[1])) // 6
+                new = np.append(routes[0] != last if held else False, routes[1:] != routes[:-1])
+                full = np.flatnonzero(new & (np.append(words, total[:-1]) >= block_words))
+                cut = int(full[0]) if len(full) else batch.num_rows
+                if cut:
+                    held.append(batch.slice(0, cut))
+                    words, last = int(total[cut - 1]), routes[cut - 1]
+                if len(full):
                     yield from _first_windows(pa.Table.from_batches(held), width)
-                    held, words = [], 0
-                held.append(batch.slice(low, cut - low))
-                words += int(size[low:cut].sum())
-                low = cut
+                    held, words, last = [], 0, None
+                batch = batch.slice(cut)
         if held:
             yield from _first_windows(pa.Table.from_batches(held), width)
 
