@@ -98,9 +98,37 @@ def shard_slots(placed: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def sharded_digest(documents: DataFrame, weights: Sequence[float], grown: float = 1.0) -> DataFrame:
+def ordered_slots(placed: DataFrame, major: str, minor: str) -> DataFrame:
+    """Number the rows of every shard from 0 without gaps in the order of ``major, minor``.
+
+    Rows are numbered within ``major`` (a part of bounded size, such as a file); the totals
+    of the parts of a shard, one row each, give the offsets. The two columns are dropped.
+    """
+    totals = placed.groupBy("shard", major).agg(F.count("*").alias("__total"))
+    before = Window.partitionBy("shard").orderBy(major).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("shard").alias("__s"), F.col(major).alias("__p"),
+        F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"),
+    )
+    inside = Window.partitionBy("shard", major).orderBy(minor)
+    numbered = placed.withColumn("__at", F.row_number().over(inside) - 1)
+    return (
+        numbered.join(offsets, (F.col("shard") == F.col("__s")) & (F.col(major) == F.col("__p")))
+        .withColumn("slot", F.col("__at") + F.col("__offset"))
+        .drop(major, minor, "__at", "__s", "__p", "__offset")
+    )
+
+
+def sharded_digest(
+    documents: DataFrame,
+    weights: Sequence[float],
+    grown: float = 1.0,
+    order: tuple[Column, Column] | None = None,
+) -> DataFrame:
     """Shard, slot, size and checksum of every document under the ``key`` law.
 
+    Slots follow a hash of the row, or with ``order`` (major and minor) that order.
+
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, one row for each
     input row. A null text is empty; a null doc_id is one key; rows equal in all these
     columns are interchangeable; an empty table gives no rows; other columns are not read.
@@ -110,8 +138,13 @@ def sharded_digest(documents: DataFrame, weights: Sequence[float], grown: float
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.length(data) + 16).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
+        *([] if order is None else [order[0].alias("__major"), order[1].alias("__minor")]),
     )
     placed = assign_shards(docs, weights, grown=grown)
-    return shard_slots(placed, ["doc_id", "text_crc32", "size", "grown_shard"]).select(
+    if order is None:
+        numbered = shard_slots(placed, ["doc_id", "text_crc32", "size", "grown_shard"])
+    else:
+        numbered = ordered_slots(materialize(placed, "placed"), "__major", "__minor")
+    return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )

@@ -1,5 +1,6 @@
 """Lines of sites, mixing, sharding and the pipeline."""
 
+from collections import Counter
 from fractions import Fraction
 from itertools import product
 
@@ -108,3 +109,25 @@ def test_pipeline_keeps_one_of_each_group(spark):
     assert len({docs[d] for d in kept}) == len(kept)
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert not [d for d in kept if any(i in docs[d] for i in items)]
+
+
+def test_slots_follow_the_mix(spark, docs_of, tmp_path):
+    """Inside a shard the slots keep the order of the mix, which goes if its stage goes."""
+    docs = docs_of([f"text number {i}" for i in range(400)], clash=False)
+    place = {r.doc_id: r.position for r in mix(docs).collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def slots(mixed, name):
+        mixed.write.parquet(str(tmp_path / name))
+        rows = stages["sharding"](spark, spark.read.parquet(str(tmp_path / name)), "").collect()
+        assert len(rows) == 400
+        return {(r.shard, r.slot): place[r.doc_id] for r in rows}
+
+    def follows(at):
+        assert set(at) == {(s, i) for s, n in Counter(s for s, _ in at).items() for i in range(n)}
+        return all(p < at[s, i + 1] for (s, i), p in at.items() if (s, i + 1) in at)
+
+    assert follows(slots(stages["mixing"](spark, docs, ""), "with"))
+    assert not follows(slots(docs, "without"))
+    got = stages["sharding"](spark, docs, "").collect()  # from no file
+    assert follows({(r.shard, r.slot): place[r.doc_id] for r in got})
