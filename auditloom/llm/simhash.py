@@ -229,13 +229,17 @@ def simhash_groups(documents: DataFrame, shingle: int = 3, radius: int = 3) -> D
 
 
 def near_dedup(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each near-duplicate group, with all its columns.
+    """One document of each near-duplicate group, with all its columns (see :func:`keep_leads`)."""
+    return keep_leads(documents, simhash_groups(documents, shingle, radius))
+
+
+def keep_leads(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """One document of each group; ``groups`` has ``doc_id, mark, component`` of every document.
 
     The one with the smallest doc_id stays (null comes last); of several texts under that
     doc_id the one with the smallest XXH64, and of rows equal in both any one.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    groups = simhash_groups(documents, shingle, radius)
     leads = groups.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n"))
     leads = leads.groupBy("component").agg(F.min(F.struct(order.alias("o"), "n")).alias("first"))
     leads = materialize(
