@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.text import hashes, offsets, pieces, rolling
+from auditloom.llm.text import hashes, mix, offsets, pieces, rolling
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -26,9 +26,13 @@ _ENDS = (b".", b"!", b"?", b'"', b":", b"\xe2\x80\xa6")
 
 FIGURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_distinct long, n_lines long, n_ended_lines long, n_upper long, n_letters long"
+    "n_distinct long, n_lines long, n_ended_lines long, n_upper long, n_letters long, "
+    "n_block_words long, n_block_distinct long, n_block_repeats long"
 )
 
+#: Words of a block, in which repetition is judged whatever the length of the text.
+BLOCK = 500
+
 
 def figures(text: bytes) -> tuple[int, ...]:
     """The figures of one text, in the order of :data:`FIGURES`."""
@@ -55,6 +59,7 @@ def figures(text: bytes) -> tuple[int, ...]:
         ended,
         upper,
         upper + _count(bare, _LOWER),
+        *_block_figures(text),
     )
 
 
@@ -84,6 +89,30 @@ def _repeat_words(text: bytes) -> int:
     return int(covered.sum())
 
 
+def _block_figures(text: bytes) -> tuple[int, int, int]:
+    """Words, different words, and words in repeated 3-word windows, each inside its block.
+
+    Blocks are consecutive; the last words of a text that do not fill one are filled up with
+    those before them, so all blocks of a text are of one length.
+    """
+    buf = np.frombuffer(text, np.uint8)
+    h = hashes(buf, *offsets(buf, np.array([0, len(buf)])))
+    if len(h) > BLOCK and len(h) % BLOCK:
+        h = np.concatenate([h[: len(h) // BLOCK * BLOCK], h[-BLOCK:]])
+    block = (np.arange(len(h)) // BLOCK).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    distinct = len(np.unique(mix(h + block)))
+    at = np.flatnonzero(block[2:] == block[:-2])
+    if not len(at):
+        return len(h), distinct, 0
+    windows = mix(rolling(h, 3)[at] + block[at])
+    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
+    covered = np.zeros(len(h), bool)
+    hit = at[times[which] > 1]
+    for j in range(3):
+        covered[hit + j] = True
+    return len(h), distinct, int(covered.sum())
+
+
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in FIGURES.split(", ")]
     for batch in batches:
@@ -117,10 +146,11 @@ def default_rules() -> list[Rule]:
     """Rules on length, word shape, symbols, capitals, repetition and punctuation.
 
     To pass most of them is no sign of quality, so they abstain rather than vote good.
+    Vocabulary and repetition are means over blocks, as both change with the length of a text.
     """
     words, mean = F.col("n_words"), _share("word_chars", "n_words")
     symbols, upper = _share("n_symbols", "n_words"), _share("n_upper", "n_letters")
-    distinct, repeat = _share("n_distinct", "n_words"), _share("n_repeat_words", "n_words")
+    distinct, repeat = (_share(part, "n_block_words") for part in ("n_block_distinct", "n_block_repeats"))
     ended, dup = _share("n_ended_lines", "n_lines"), _share("n_dup_lines", "n_lines")
     never = F.lit(False)
     return [

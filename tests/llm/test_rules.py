@@ -78,3 +78,34 @@ def test_edges(spark, docs_of):
     assert {r.slot for r in rows} == {"own"}  # columns that no result replaces pass through
     assert quality_rules(docs_of([])).count() == 0
     assert len(default_rules()) == len({r.name for r in default_rules()})
+
+
+@pytest.mark.parametrize("n", [0, 2, 499, 500, 501, 1750])
+def test_block_figures(n):
+    words = [f"w{x}" for x in np.random.default_rng(n).integers(0, 60, n)]
+    blocks = [words[i : i + 500] for i in range(0, n, 500)] or [[]]
+    if n > 500:
+        blocks[-1] = words[-500:]
+    want = [sum(map(len, blocks)), sum(len(set(b)) for b in blocks), 0]
+    want[2] = sum(plain(" ".join(b))[4] for b in blocks)
+    assert list(figures(" ".join(words).encode())[-3:]) == want
+
+
+def test_a_very_long_clean_document_stays(spark):
+    """Both figures do not change with the length of a text."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1").select("doc_id")
+    clean = docs.join(labels, "doc_id").where("lang = 'en'").orderBy("doc_id").limit(4000).collect()
+    text, words = [], 0
+    for r in clean:
+        if words < 300_000:
+            text.append(r.text)
+            words += len(r.text.split())
+    while words < 300_000:
+        text, words = text + text, 2 * words
+    long = "\n".join(text)
+    some = docs.limit(2000).select("doc_id", "text")
+    rows = quality_rules(some.union(spark.createDataFrame([(-1, long)], "doc_id long, text string")))
+    row = rows.where("doc_id = -1").first()
+    assert row.n_words >= 250_000 and row.n_distinct < 0.25 * row.n_words
+    assert row.vote_vocabulary >= 0 and row.vote_repetition >= 0 and row.quality >= 0.5
