@@ -143,6 +143,31 @@ def _document_features(wanted: set[str] | None):
     return run
 
 
+def _shares(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
+    """In how many documents of the whole table each wanted feature is, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            if len(known) > _CACHE_ENTRIES:
+                known = {}
+            for text in batch.column("text"):
+                tokens = set(TOKEN.findall((text.as_py() or "").lower()))
+                for t in tokens - known.keys():
+                    known[t] = tuple(f for f in features(t) if f in wanted)
+                counts.update({f for t in tokens for f in known[t]})
+            counts[""] = batch.num_rows  # no feature is empty
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+                names=["feature", "n"],
+            )
+
+    found = docs.select("text").mapInArrow(run, "feature string, n long")
+    out = {r["feature"]: r["n"] for r in found.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    return out, out.pop("", 0)
+
+
 def _scan_sample(scores: dict[str, float]):
     """Rows ``toxic, n, found``: the segment scores of labelled documents."""
 
@@ -205,7 +230,8 @@ def fit_toxicity(
     """Fit on at most ``train_rows`` labelled rows outside the held-out third.
 
     Seven tenths of them give the feature scores, the rest calibrate; both are chosen by
-    hash. Rows without label, doc_id or document do not count. Without labels of both
+    hash. The prior is each feature's share in all documents, labelled or not, which takes
+    one more pass over them. Rows without label, doc_id or document do not count. Without labels of both
     kinds the model scores the share of toxic labels everywhere.
     """
     spread = F.xxhash64("doc_id", F.lit("train"))
@@ -237,10 +263,11 @@ def fit_toxicity(
     # features of fewer than three toxic documents never score; the others are bounded by the sample
     toxic = {r["feature"]: r["n"] for r in counted("toxic = 1", None).where("n >= 3").collect()}
     other = {r["feature"]: r["n"] for r in counted("toxic <> 1", set(toxic)).collect()}
+    everywhere, n_docs = _shares(docs, set(toxic))
     scores = {}
     for f, y1 in toxic.items():
         y0 = other.get(f, 0)
-        a = prior * (y1 + y0) / (n1 + n0)
+        a = prior * everywhere[f] / n_docs
         odds = math.log((y1 + a) / (n1 + prior)) - math.log((y0 + a) / (n0 + prior))
         low = odds - math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
         if low > LEAST_SCORE:

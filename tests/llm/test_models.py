@@ -75,3 +75,13 @@ def test_edges(spark, docs_of):
         assert len(rows) == len(EDGE) and all(0 <= r.score <= 1 for r in rows)
         assert toxicity(empty, toxic).count() == 0 and quality_scores(empty, good).count() == 0
     assert fit_toxicity(empty, labels.where("false")).scores == {}
+
+
+def test_toxicity_prior_is_the_share_in_all_documents(spark):
+    """Documents without a label change the prior, and so the scores of the features."""
+    rows = [(i, "bad worda wordb" if i % 2 else "good wordc wordd", i % 2) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    more = spark.createDataFrame([(1000 + i, "nothing of this kind") for i in range(3000)], docs.schema)
+    few, many = (fit_toxicity(d, labels).scores for d in (docs, docs.union(more)))
+    assert set(few) <= set(many) and many["bad"] > few["bad"] + 0.5
