@@ -48,27 +48,43 @@ def segments(at: np.ndarray, score: np.ndarray, n: int, step: float = STEP) -> l
     """All maximal-scoring segments ``(start, end, score)`` of a sequence of ``n`` tokens.
 
     Tokens at the increasing places ``at`` have the positive scores ``score``, all others
-    cost ``step``. A linear-time scan after Ruzzo and Tompa: a stack of candidate segments
-    with the cumulative scores at their left and right ends.
+    cost ``step``. A linear-time scan after Ruzzo and Tompa over a stack of candidates: each
+    links to the nearest one before it that begins lower, so a candidate that was passed
+    over is never looked at again, and where none begins lower the stack is final.
     """
-    out: list[tuple[int, int, float, float]] = []  # start, end, cumulative score left, right
+    done: list[tuple[int, int, float]] = []
+    # candidates: places, cumulative scores at both ends, nearest earlier one that begins lower
+    starts: list[int] = []
+    ends: list[int] = []
+    lefts: list[float] = []
+    rights: list[float] = []
+    links: list[int] = []
     total, here = 0.0, 0
     for place, s in zip(at.tolist(), score.tolist(), strict=True):
         total -= step * (place - here)
         start, left = place, total
         total += s
         here = place + 1
-        right = total
-        while out:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= left:
-                j -= 1
-            if j < 0 or out[j][3] >= right:
+        while True:
+            j = len(lefts) - 1
+            while j >= 0 and lefts[j] >= left:
+                j = links[j]
+            if j < 0:  # no candidate begins lower, so none can grow any more
+                done += [(a, b, r - q) for a, b, q, r in zip(starts, ends, lefts, rights, strict=True)]
+                for column in (starts, ends, lefts, rights, links):
+                    column.clear()
                 break
-            start, left = out[j][0], out[j][2]
-            del out[j:]
-        out.append((start, here, left, right))
-    return [(a, b, right - left) for a, b, left, right in out]
+            if rights[j] >= total:
+                break
+            start, left = starts[j], lefts[j]
+            for column in (starts, ends, lefts, rights, links):
+                del column[j:]
+        starts.append(start)
+        ends.append(here)
+        lefts.append(left)
+        rights.append(total)
+        links.append(j)
+    return done + [(a, b, r - q) for a, b, q, r in zip(starts, ends, lefts, rights, strict=True)]
 
 
 @dataclass(frozen=True)
@@ -150,11 +166,11 @@ def _shares(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             counts: Counter[str] = Counter()
-            if len(known) > _CACHE_ENTRIES:
-                known = {}
             for text in batch.column("text"):
                 tokens = set(TOKEN.findall((text.as_py() or "").lower()))
-                for t in tokens - known.keys():
+                if len(known) > _CACHE_ENTRIES:
+                    known = {}
+                for t in [t for t in tokens if t not in known]:
                     known[t] = tuple(f for f in features(t) if f in wanted)
                 counts.update({f for t in tokens for f in known[t]})
             counts[""] = batch.num_rows  # no feature is empty

@@ -1,5 +1,7 @@
 """Toxicity and quality models: scans, defined results and held-out accuracy."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -42,6 +44,27 @@ def test_segments(scores):
     assert all(values[a:b].sum() == pytest.approx(s) for a, b, s in got)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=14))
+def test_segment_places(scores):
+    """Distinct totals, so that the segments are unique: their places must agree too."""
+    values = np.array([s + 1 / 2 ** (i + 2) if s > 0 else -1.0 for i, s in enumerate(scores)], float)
+    at = np.flatnonzero(values > 0)
+    got = segments(at, values[at], len(values), step=1.0)
+    assert [(a, b) for a, b, _ in sorted(got)] == [(a, b) for a, b, _ in all_maximal(values.tolist())]
+
+
+@pytest.mark.parametrize("gap", [1, 3, 60])
+def test_segments_take_linear_time(gap):
+    """Hits far apart, close together and just in balance with their gaps."""
+    at = np.arange(200_000) * (gap + 1)
+    score = np.full(len(at), 1.0) + np.arange(len(at)) * 1e-9
+    for step in (0.05, 0.4, 1 / gap):
+        start = time.perf_counter()
+        found = segments(at, score, int(at[-1]) + 1, step=step)
+        assert time.perf_counter() - start < 1.5 and found
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
