@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import oracles
+from auditloom.llm.audit import filter_audit, judged
 from auditloom.llm.bpe import token_counts
+from auditloom.llm.conversations import damage, repair_digest
 from auditloom.llm.cotraining import fit_quality, quality_scores
 from auditloom.llm.decontaminate import contamination
 from auditloom.llm.lines import line_dedup
 from auditloom.llm.mixing import mix
+from auditloom.llm.naming import exact_dedup
 from auditloom.llm.rules import quality_rules
 from auditloom.llm.sharding import sharded_digest
 from auditloom.llm.simhash import simhash_groups
@@ -124,3 +127,23 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "content", "metadata", "score",
         (F.col("score") >= 0.5).alias("kept"),
     )
+
+
+@query("op11_conversation_repair", oracles.OP11)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_digest(conversations, damage(conversations))
+
+
+@query("op12_filter_audit", oracles.OP12)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every order they can be applied in, by language."""
+    flags = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit(flags, "ABCDE", {"good": "good_lost", "toxic": "toxic_lost"})
+
+
+@query("op13_exact_dedup", oracles.OP13)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are equal but for white space, and the one of each group that stays."""
+    return exact_dedup(table(spark, sf_dir, "documents"))
