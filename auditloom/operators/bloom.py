@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.hashing import block_and_bits
 from auditloom.functions.joins import join_groups
+from auditloom.schema import BLOOM_WORDS
 from auditloom.session import measured
 
 WORD = 64
@@ -236,3 +237,102 @@ def contains_sized(
     # a key without a filter has no block either, and so no row to meet
     found = _answered(asked, filters, keys, value, F.coalesce("_blocks", F.lit(1).cast("long")), "xxhash64")
     return found.drop("_blocks")
+
+
+# ---- filters as a store keeps them -------------------------------------------------------
+# A key may have filters of several sizes: as more values come, they go to a larger one, and
+# none is filled beyond what it was made for. Filters of one size merge, and a value is in
+# the key if any of its filters holds it.
+STORED_ERROR = 0.01
+_FIRST, _GROWTH = 1024, 4
+
+
+def _room() -> float:
+    return values_per_block(STORED_ERROR, BLOOM_WORDS)
+
+
+def merge_shapes(filters: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Merge filters of one size per key; those of unlike size stay side by side."""
+    merged = [F.expr(f"bit_or({w})").alias(w) for w in words(filters)]
+    return filters.groupBy(*keys, "blocks", "block").agg(*merged, *more)
+
+
+def held(filters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many values every stored filter holds, by its bits: ``keys, blocks, items, error_rate``."""
+    merged = merge_shapes(filters, keys)
+    return stats(merged, keys).select(*keys, "blocks", "items", "error_rate")
+
+
+def next_shapes(values: DataFrame, stored: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """The filter new values of a key go to: the smallest size that has room for them.
+
+    ``values`` has one row per key and value; ``stored`` are the key's filters so far. Sizes
+    grow by a factor of four, so a key has few of them however long it is written to.
+    """
+    keys = list(keys)
+    # a margin of five standard errors, so that the estimate does not undersize
+    need = values.groupBy(*keys).agg((F.approx_count_distinct("value", 0.02) * 1.1).alias("__need"))
+    if stored is None:
+        used = need.select(*keys, "__need", F.lit(None).cast("map<long,double>").alias("__used"))
+    else:
+        by_size = held(stored, keys).groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("blocks", F.col("items").cast("double")))).alias("__used")
+        )
+        used = join_groups(need, measured(by_size, "filters"), keys, "left")
+    room = F.lit(_room())
+    sizes = F.transform(
+        F.sequence(F.lit(0), F.lit(24)),
+        lambda i: F.ceil(F.lit(_FIRST) * F.pow(F.lit(float(_GROWTH)), i) / room).cast("long"),
+    )
+    taken = lambda b: F.coalesce(F.try_element_at(F.col("__used"), b), F.lit(0.0))
+    fits = F.filter(sizes, lambda b: taken(b) + F.col("__need") <= b * room)
+    return used.select(*keys, F.element_at(fits, 1).alias("__blocks"))
+
+
+def filter_rows(values: DataFrame, keys: Sequence[str], stored: DataFrame | None = None) -> DataFrame:
+    """Filter rows of new values, to be added to what is ``stored`` of the same keys.
+
+    ``values`` has ``keys, value, last_ts``. Result: ``keys, blocks, block``, the words and
+    the newest event of a block; the values themselves are in none of it.
+    """
+    keys = list(keys)
+    sized = measured(next_shapes(values, stored, keys), "shapes")
+    rows = join_groups(values, sized, keys)
+    marked = _marked(
+        rows, [*keys, F.col("__blocks").alias("blocks"), "last_ts"], "value", F.col("__blocks"), BLOOM_WORDS, "xxhash64", "w"
+    )
+    return merge_shapes(marked, keys, F.max("last_ts").alias("last_ts"))
+
+
+def contains_any(questions: DataFrame, filters: DataFrame, keys: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
+    """Add ``accessed`` and ``probability`` to questions, asked of all filters of their key.
+
+    ``parts`` are columns that tell apart filters of one key besides their size, such as
+    the days of a week: the answer is yes if any filter holds the value. A no is certain;
+    a yes is right with the probability that no filter would say so by chance, from the
+    bits that are set in each. Questions are spread over the blocks they ask.
+    """
+    keys, parts = list(keys), list(parts)
+    merged = merge_shapes(filters, [*keys, *parts])
+    rates = measured(
+        stats(merged, [*keys, *parts]).select(*keys, *parts, "blocks", F.col("error_rate").alias("__rate")), "shapes"
+    )
+    quiet = F.exp(F.sum(F.ln(F.greatest(F.lit(1.0) - F.col("__rate"), F.lit(1e-12)))))
+    chance = rates.groupBy(*keys).agg(quiet.alias("__quiet"))
+    names = [f"w{i}" for i in range(BLOOM_WORDS)]
+    shapes = rates.select(*keys, *[F.col(p).alias(f"__{p}") for p in parts], F.col("blocks").alias("__blocks"))
+    asked = join_groups(questions.select(*keys, "value").distinct(), shapes, keys)
+    marked = _marked(
+        asked, [*keys, "value", *[f"__{p}" for p in parts], "__blocks"], "value", F.col("__blocks"), BLOOM_WORDS, "xxhash64", "m"
+    )
+    on = marked.withColumnsRenamed({**{f"__{p}": p for p in parts}, "__blocks": "blocks"})
+    found = join_groups(on, merged, [*keys, *parts, "blocks", "block"])
+    hit = reduce(lambda a, b: a & b, [F.col(w).bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i, w in enumerate(names)])
+    yes = found.where(hit).select(*keys, "value").distinct().withColumn("__yes", F.lit(True))
+    out = join_groups(questions, yes, [*keys, "value"], "left")
+    out = join_groups(out, chance, keys, "left")
+    accessed = F.coalesce("__yes", F.lit(False))
+    return out.select(
+        *questions.columns, accessed.alias("accessed"),
+        F.when(accessed, F.col("__quiet")).otherwise(1.0).alias("probability"),
+    )

@@ -1,4 +1,12 @@
-"""Heavy hitters: exact counts per item, cut to k only when read."""
+"""Heavy hitters: exact counts per item, cut to k only when read; and bounded counters.
+
+Bounded counters keep ``slots`` items per key. What does not fit is cut as in the summary of
+Misra and Gries: the count of the first item left out is taken off every counter, and added
+to the key's error, which is a row of its own (the one without item). Tables of counters of
+any number of batches, windows and systems add up row by row and are cut again. An item of
+true count f is shown with ``low <= f <= low + error``, and the error of a key of N events
+is at most N / (slots + 1); so every item above the error is there.
+"""
 
 from __future__ import annotations
 
@@ -71,6 +79,57 @@ def count_of(counts: DataFrame, questions: DataFrame, keys: Sequence[str]) -> Da
     return joined.select(*questions.columns, F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+# Counters kept per key: errors are below a thousandth of the events of the key.
+SLOTS = 1000
+
+
+def counter_rollup(
+    events: DataFrame, window: str = "1h", rules: Iterable[MetricRule] = RULES, slots: int = SLOTS
+) -> DataFrame:
+    """Bounded counters of every heavy metric per system and bucket."""
+    counted = value_counts(events, rules_for("heavy", rules), window)
+    return counter_cut(counted.withColumnRenamed("value", "item"), ["metric", "system", "window", "bucket_start"], slots)
+
+
+def counter_cut(counts: DataFrame, keys: Sequence[str], slots: int = SLOTS) -> DataFrame:
+    """Counters from exact counts, or from counters that were added up: ``item, cnt, last_ts``.
+
+    ``counts`` has one row per key and item; the row without item holds the error so far.
+    Spark keeps ``slots + 1`` rows per key in every task before they meet.
+    """
+    keys = list(keys)
+    order = Window.partitionBy(*keys).orderBy(F.desc("cnt"), F.asc("item"))
+    named = counts.where("item is not null").select(*keys, "item", "cnt", "last_ts")
+    first = named.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= slots + 1)
+    # what the first counter left out holds goes off all others of its key
+    over = Window.partitionBy(*keys)
+    left = F.coalesce(F.max(F.when(F.col("__rank") == slots + 1, F.col("cnt"))).over(over), F.lit(0).cast("long"))
+    cut = first.withColumn("__cut", left)
+    kept = cut.where((F.col("__rank") <= slots) & (F.col("cnt") > F.col("__cut"))).select(
+        *keys, "item", (F.col("cnt") - F.col("__cut")).alias("cnt"), "last_ts"
+    )
+    none = F.lit(None).cast("string").alias("item")
+    added = cut.where("__rank = 1").select(*keys, none, F.col("__cut").alias("cnt"), "last_ts")
+    errors = counts.where("item is null").select(*keys, none, "cnt", "last_ts").unionByName(added)
+    total = errors.groupBy(*keys, "item").agg(F.sum("cnt").alias("cnt"), F.max("last_ts").alias("last_ts"))
+    return kept.unionByName(total)
+
+
+def counter_merge(counters: DataFrame, keys: Sequence[str], slots: int = SLOTS) -> DataFrame:
+    """Add counters over everything that is not in ``keys`` and cut them again."""
+    added = counters.groupBy(*keys, "item").agg(F.sum("cnt").alias("cnt"), F.max("last_ts").alias("last_ts"))
+    return counter_cut(added, keys, slots)
+
+
+def counter_bounds(counters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Items with the least and the most they can have been counted: ``item, low, high``."""
+    errors = counters.where("item is null").select(*keys, F.col("cnt").alias("error"))
+    items = counters.where("item is not null").select(*keys, "item", F.col("cnt").alias("low"))
+    return join_groups(items, errors, keys).select(
+        *keys, "item", "low", (F.col("low") + F.col("error")).alias("high"), "error"
+    )
+
+
 def bounded_partial(events: DataFrame, keys: Sequence[str], item: str, tracked: int) -> DataFrame:
     """Bounded-memory heavy-hitter state: at most ``tracked`` items per key."""
     return events.groupBy(*keys).agg(F.expr(f"approx_top_k_accumulate({item}, {tracked})").alias("state"))

@@ -114,8 +114,23 @@ def theta(value: str = "value", lg_k: int = 14) -> ExprAgg:
     )
 
 
-def kll(value: str = "latency_ms", k: int = 400) -> ExprAgg:
-    """Quantile digest of a measure."""
+def theta_rows(value: str = "value", lg_k: int = 14) -> ExprAgg:
+    """:func:`theta` with the number of values and the newest event, as stored."""
+    plain = theta(value, lg_k)
+    return ExprAgg(
+        (*plain.partial_exprs, ("n", f"count({value})"), ("last_ts", "max(ts)")),
+        (*plain.merge_exprs, ("n", "sum(n)"), ("last_ts", "max(last_ts)")),
+        plain.present_exprs,
+    )
+
+
+# Size of a quantile digest. There is one for all: a merge takes the size it is told, and a
+# smaller one would throw away what the digests hold.
+KLL_K = 8192
+
+
+def kll(value: str = "latency_ms", k: int = KLL_K) -> ExprAgg:
+    """Quantile digest of a measure; digests must be merged with the ``k`` they were built with."""
     return ExprAgg(
         (
             ("sketch", f"kll_sketch_agg_double({value}, {k})"),
@@ -131,7 +146,6 @@ def kll(value: str = "latency_ms", k: int = 400) -> ExprAgg:
     )
 
 
-
 def relative_error(lg_k: int) -> float:
     """Standard error of a distinct count sketch with ``2 ** lg_k`` registers."""
     return 1.04 / (2**lg_k) ** 0.5

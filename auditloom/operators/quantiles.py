@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.buckets import bucket_start, expires_at
-from auditloom.operators.mergeable import kll
+from auditloom.operators.mergeable import KLL_K, kll
 from auditloom.operators.ordered import running_sums
 
-KLL_K = 8192
 # Rank error of a digest of this size (99 % sure, the published fit for KLL), and a third
 # more for checks; still below the share above p99.9.
 RANK_ERROR = round(4 / 3 * 2.296 / KLL_K**0.9021, 6)

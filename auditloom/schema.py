@@ -89,16 +89,22 @@ EVENT_COLUMNS = (
     "event_key",
 )
 
-# Rollup tables. ``window``, ``bucket_date``, ``source`` and ``batch_id`` are folder names, and
-# are typed here because guessing would read the window "1d" as a number.
+# Rollup tables. ``window``, ``bucket_date`` and ``txn`` are folder names, and are typed here
+# because guessing would read the window "1d" as a number.
 _KEY = "metric string, system string, bucket_start timestamp, "
-_FOLDERS = ", last_ts timestamp, expires_at timestamp, window string, bucket_date date, source string, batch_id long"
+_FOLDERS = ", last_ts timestamp, expires_at timestamp, window string, bucket_date date, txn string"
+# Words of a block of a stored filter: the number of hashes at its error rate.
+BLOOM_WORDS = 6
 ROLLUP_SCHEMAS = {
     "hll": _KEY + "sketch binary, n long" + _FOLDERS,
+    "theta": _KEY + "sketch binary, n long" + _FOLDERS,
     "member": _KEY + "value string" + _FOLDERS,
+    "bloom": _KEY + "blocks long, block long, " + ", ".join(f"w{i} long" for i in range(BLOOM_WORDS)) + _FOLDERS,
     "topk": _KEY + "item string, cnt long" + _FOLDERS,
+    "heavy": _KEY + "item string, cnt long" + _FOLDERS,
     "kll": _KEY + "sketch binary, n long" + _FOLDERS,
     "moments": _KEY
     + "n long, m1 double, m2 double, m3 double, m4 double, lo double, hi double"
     + _FOLDERS,
 }
+LEDGER_SCHEMA = "event_key string, event_date date, txn string"

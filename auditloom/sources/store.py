@@ -1,9 +1,10 @@
-"""Rollup tables on shared storage: append deltas, merge on read, compact, expire.
+"""Rollup tables on shared storage: append batches, merge on read, compact, expire, reset.
 
-Layout: ``root/structure/v<N>/window=../bucket_date=../source=../batch_id=../*.parquet``.
-A delta run again replaces its own ``source`` and ``batch_id`` folders and nothing else,
-and is skipped once a compaction has folded it, so a retried batch changes nothing. One
-writer per store; readers are free.
+Layout: ``root/data/table/txn=../window=../bucket_date=../*.parquet``, and the commit log of
+:mod:`auditloom.sources.log`, which says what of that counts. A batch is one commit over all
+the tables it touches: readers see all of it or nothing, a batch cut short was never there,
+and one that is committed is skipped when it comes again, whatever has been compacted,
+expired or reset since. One writer per store; readers are free.
 
 What an event adds to a structure is stored once, in one window: in the window it was
 written in until that has run out, then (:meth:`RollupStore.expire`) in the next longer
@@ -12,21 +13,23 @@ ones. Answers for a window add up what is stored in it and in all shorter ones.
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass
-from datetime import date, datetime
+import uuid
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from datetime import date, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.buckets import bucket_end, bucket_start, bucket_start_by, expires_at
-from auditloom.operators import moments
-from auditloom.operators.mergeable import hll, kll
-from auditloom.schema import ROLLUP_SCHEMAS, WINDOW_CODES, window_spec
+from auditloom.operators import bloom, heavy, moments
+from auditloom.operators.mergeable import hll, kll, theta_rows
+from auditloom.schema import LEDGER_SCHEMA, ROLLUP_SCHEMAS, WINDOW_CODES, window_spec
 from auditloom.session import materialize
+from auditloom.sources.log import Folder, Log, Reset, State
 
 # Longer windows and the shorter ones that tile them, best first.
 TILES = {
@@ -39,96 +42,117 @@ TILES = {
 }
 # Where rows go when their window has run out; weeks and months both come from days.
 NEXT = {"1m": ("1h",), "5m": ("1h",), "15m": ("1h",), "1h": ("1d",), "1d": ("1w", "1M"), "1w": (), "1M": ()}
-_FOLDERS = ["window", "bucket_date", "source", "batch_id"]
-MERGED = "merged"  # source of the rows that compaction made
+LEDGER = "ledger"
 KEY = ["metric", "system", "window", "bucket_start"]
+# What a row of each structure weighs, for the footprint.
+_PAYLOAD = {
+    "hll": "length(sketch)", "theta": "length(sketch)", "kll": "length(sketch)", "moments": "56",
+    "member": "length(value)", "topk": "length(item) + 8", "heavy": "coalesce(length(item), 0) + 8",
+    "bloom": "64",
+}
 
 
-def _path(spark: SparkSession, text: str) -> Any:
-    return spark._jvm.org.apache.hadoop.fs.Path(text)
-
-
-def _fs(spark: SparkSession, text: str) -> Any:
-    return _path(spark, text).getFileSystem(spark._jsc.hadoopConfiguration())
+def _day(value: date | datetime) -> str:
+    return value.strftime("%Y-%m-%d")
 
 
 @dataclass(frozen=True)
 class RollupStore:
     spark: SparkSession
     root: str
+    _held: dict[str, Log] = field(default_factory=dict, compare=False, repr=False)
+
+    @property
+    def log(self) -> Log:
+        return self._held.setdefault("log", Log(self.spark, self.root))
+
+    def state(self) -> State:
+        return self.log.state()
 
-    def _versions(self, structure: str) -> list[int]:
-        base = f"{self.root}/{structure}"
-        fs = _fs(self.spark, base)
-        if not fs.exists(_path(self.spark, base)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(_path(self.spark, base))]
-        # a version counts once its marker is there, so a half-done compaction does not
-        ready = {n[: -len(".ready")] for n in names if n.endswith(".ready")}
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n in ready | {"v0"})
-
-    def path(self, structure: str) -> str:
-        """Folder of the current version."""
-        versions = self._versions(structure)
-        return f"{self.root}/{structure}/v{versions[-1] if versions else 0}"
-
-    def _folded(self, structure: str) -> dict[str, list[list[int]]]:
-        """Ranges of batches, by source, that the current version has folded."""
-        path = f"{self.path(structure)}.ready"
-        fs = _fs(self.spark, path)
-        if not fs.exists(_path(self.spark, path)):
-            return {}
-        stream = fs.open(_path(self.spark, path))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text or "{}")
-
-    def _commits(self, structure: str) -> list[tuple[str, int]]:
-        """Batches that were written in full since the last compaction."""
-        base = f"{self.root}/{structure}/commits"
-        fs = _fs(self.spark, base)
-        if not fs.exists(_path(self.spark, base)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(_path(self.spark, base))]
-        return [(n.rpartition("@")[0], int(n.rpartition("@")[2])) for n in names]
-
-    def write(self, structure: str, rows: DataFrame, batch_id: int, source: str = "main") -> None:
+    # ---- writing ----------------------------------------------------------------------
+    def write(self, structure: str, rows: DataFrame, batch_id: int, source: str = "main") -> bool:
         """Append one batch of summary rows of a source (a stable name of who writes).
 
-        The same batch again replaces its rows; once folded by a compaction it is skipped.
+        A batch that has been committed is skipped; tells whether it was written.
         """
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", source) or source == MERGED:
-            raise ValueError(f"not a source name: {source}")
-        if any(low <= batch_id <= high for low, high in self._folded(structure).get(source, [])):
-            return
-        marked = rows.withColumns(
-            {"source": F.lit(source), "batch_id": F.lit(batch_id).cast("long")}
-        )
-        self._write(self.path(structure), structure, marked)
-        done = f"{self.root}/{structure}/commits/{source}@{batch_id}"
-        _fs(self.spark, done).create(_path(self.spark, done), True).close()
+        return self.write_batch({structure: rows}, batch_id, source)
+
+    def write_batch(
+        self, tables: Mapping[str, DataFrame], batch_id: int, source: str = "main", ledger: DataFrame | None = None
+    ) -> bool:
+        """Append one batch to several tables at once: all of it counts, or none of it.
 
-    def _write(self, path: str, structure: str, rows: DataFrame) -> None:
-        window_end = None
+        ``ledger`` has ``event_key, event_date`` of the events the batch brings. Tells
+        whether anything was written; tables that have taken the batch before are skipped.
+        """
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", source):
+            raise ValueError(f"not a source name: {source}")
+        before = self.state()
+        todo = {t: rows for t, rows in tables.items() if not before.has(t, source, batch_id)}
+        if ledger is not None and not before.has(LEDGER, source, batch_id):
+            todo[LEDGER] = ledger
+        if not todo:
+            return False
+        txn = uuid.uuid4().hex
+        # independent tables: their jobs share the cluster instead of queueing
+        with ThreadPoolExecutor(len(todo)) as pool:
+            written = [pool.submit(self._write, t, rows, txn) for t, rows in todo.items()]
+        add = [folder for one in written for folder in one.result()]
+        self.log.commit(before, add=add, done=[(t, source, batch_id) for t in todo])
+        return True
+
+    def has_batch(self, tables: Sequence[str], batch_id: int, source: str = "main") -> bool:
+        """Whether all these tables have taken a batch."""
+        state = self.state()
+        return all(state.has(t, source, batch_id) for t in tables)
+
+    def _write(self, table: str, rows: DataFrame, txn: str) -> list[Folder]:
+        """Write files that do not count yet; tells their folders."""
+        path = f"{self.root}/data/{table}/txn={txn}"
+        if table == LEDGER:
+            rows.select("event_key", "event_date").hint("rebalance", "event_date").write.partitionBy(
+                "event_date"
+            ).parquet(path)
+            days = [name.rpartition("event_date=")[2] for name in self.log.files.glob(f"{path}/event_date=*")]
+            return [Folder(table, txn, "", day) for day in days]
+        expiry = None
         for code in WINDOW_CODES:
-            expiry = F.when(F.col("window") == code, expires_at(F.col("last_ts"), code))
-            window_end = expiry if window_end is None else F.coalesce(window_end, expiry)
-        names = [f.strip().split(" ")[0] for f in ROLLUP_SCHEMAS[structure].split(",")]
+            one = F.when(F.col("window") == code, expires_at(F.col("last_ts"), code))
+            expiry = one if expiry is None else F.coalesce(expiry, one)
+        names = [f.strip().split(" ")[0] for f in ROLLUP_SCHEMAS[table].split(",")]
         full = (
-            rows.withColumn("expires_at", window_end)
+            rows.withColumn("expires_at", expiry)
             .withColumn("bucket_date", F.to_date("bucket_start"))
-            .select(*names)
+            .select(*[n for n in names if n != "txn"])
         )
         # even files per folder: small folders get one task, big ones are split
-        (
-            full.hint("rebalance", "window", "bucket_date")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*_FOLDERS)
-            .parquet(path)
-        )
+        full.hint("rebalance", "window", "bucket_date").write.partitionBy("window", "bucket_date").parquet(path)
+        found = [re.search(r"window=([^/]+)/bucket_date=([^/]+)$", n) for n in self.log.files.glob(f"{path}/window=*/bucket_date=*")]
+        return [Folder(table, txn, m[1], m[2]) for m in found if m]
+
+    # ---- reading ----------------------------------------------------------------------
+    def _rows(self, state: State, folders: Sequence[Folder]) -> DataFrame:
+        """Rows of folders of one table, without what resets took away."""
+        table = folders[0].table
+        schema, base = ROLLUP_SCHEMAS[table], f"{self.root}/data/{table}"
+        groups: dict[tuple[Reset, ...], list[str]] = {}
+        for f in folders:
+            path = f"{base}/txn={f.txn}/window={f.window}/bucket_date={f.day}"
+            groups.setdefault(state.resets_of(f), []).append(path)
+        out = None
+        for resets, paths in groups.items():
+            rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+            for r in resets:
+                gone = F.lit(True)
+                for column, value in (("metric", r.metric), ("system", r.system)):
+                    if value is not None:
+                        gone &= F.col(column).eqNullSafe(F.lit(value))
+                rows = rows.where(~gone)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _empty(self, structure: str) -> DataFrame:
+        return self.spark.createDataFrame([], ROLLUP_SCHEMAS[structure])
 
     def read(
         self,
@@ -137,31 +161,54 @@ class RollupStore:
         start: datetime | None = None,
         end: datetime | None = None,
     ) -> DataFrame:
-        """Stored rows of a window and range of buckets, deltas not yet merged.
+        """Stored rows of a window and range of buckets, batches not yet merged.
 
-        The range is also put on the folder name, so other dates are never opened.
+        The log knows the folders of the range, so others are neither listed nor opened.
         """
         window_spec(window)
-        path, schema = self.path(structure), ROLLUP_SCHEMAS[structure]
-        folder = f"{path}/window={window}"
-        if not _fs(self.spark, folder).exists(_path(self.spark, folder)):
-            return self.spark.createDataFrame([], schema)
-        # only this window's folders are listed
-        rows = self.spark.read.schema(schema).option("basePath", path).parquet(folder)
-        for edge, op in ((start, "ge"), (end, "le")):
-            if edge is not None:
-                bucket = bucket_start(F.lit(edge).cast("timestamp"), window)
-                day = F.to_date(bucket)
-                if op == "ge":
-                    rows = rows.where((F.col("bucket_date") >= day) & (F.col("bucket_start") >= bucket))
-                else:
-                    rows = rows.where((F.col("bucket_date") <= day) & (F.col("bucket_start") <= bucket))
+        # the bucket that holds ``start`` may begin up to a month before it
+        first = _day(start - timedelta(days=31)) if start is not None else ""
+        state = self.state()
+        folders = state.live(structure, window, first, _day(end) if end is not None else "9999")
+        if not folders:
+            return self._empty(structure)
+        rows = self._rows(state, folders)
+        if start is not None:
+            bucket = bucket_start(F.lit(start).cast("timestamp"), window)
+            rows = rows.where((F.col("bucket_date") >= F.to_date(bucket)) & (F.col("bucket_start") >= bucket))
+        if end is not None:
+            bucket = bucket_start(F.lit(end).cast("timestamp"), window)
+            rows = rows.where((F.col("bucket_date") <= F.to_date(bucket)) & (F.col("bucket_start") <= bucket))
         return rows
 
     def merged(self, structure: str, window: str = "1h", **span: Any) -> DataFrame:
-        """One row per key (and item): all deltas merged."""
+        """One row per key (and item): all batches merged."""
         return merge_rows(structure, self.read(structure, window, **span))
 
+    def tiles(
+        self,
+        structure: str,
+        window: str,
+        start: datetime | None = None,
+        end: datetime | None = None,
+    ) -> DataFrame:
+        """Stored rows of a window and of the windows that tile it, as they are stored."""
+        window_spec(window)
+        state = self.state()
+        first = _day(start - timedelta(days=31)) if start is not None else ""
+        last = _day(end + timedelta(days=31)) if end is not None else "9999"
+        folders = [f for w in (window, *TILES.get(window, ())) for f in state.live(structure, w, first, last)]
+        if not folders:
+            return self._empty(structure)
+        rows = self._rows(state, folders)
+        if start is not None:
+            low = bucket_start(F.lit(start).cast("timestamp"), window)
+            rows = rows.where((F.col("bucket_date") >= F.to_date(low)) & (F.col("bucket_start") >= low))
+        if end is not None:
+            stop = bucket_end(bucket_start(F.lit(end).cast("timestamp"), window), window)
+            rows = rows.where((F.col("bucket_date") <= F.to_date(stop)) & (F.col("bucket_start") < stop))
+        return rows
+
     def at(
         self,
         structure: str,
@@ -170,138 +217,132 @@ class RollupStore:
         end: datetime | None = None,
     ) -> DataFrame:
         """Merged rows for any window: what is stored in it and in the windows that tile it."""
-        window_spec(window)
-        path = self.path(structure)
-        fs = _fs(self.spark, path)
-        parts = []
-        for stored in (window, *TILES.get(window, ())):
-            if not fs.exists(_path(self.spark, f"{path}/window={stored}")):
-                continue
-            rows = self.read(structure, stored)
-            if start is not None:
-                first = bucket_start(F.lit(start).cast("timestamp"), window)
-                rows = rows.where(
-                    (F.col("bucket_date") >= F.to_date(first)) & (F.col("bucket_start") >= first)
-                )
-            if end is not None:
-                stop = bucket_end(bucket_start(F.lit(end).cast("timestamp"), window), window)
-                rows = rows.where(
-                    (F.col("bucket_date") <= F.to_date(stop)) & (F.col("bucket_start") < stop)
-                )
-            parts.append(rows if stored == window else _moved(rows, window))
-        if not parts:
-            return self.merged(structure, window)
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return merge_rows(structure, out)
-
-    def compact(self, structure: str) -> None:
-        """Merge all committed deltas into a new version and switch to it.
-
-        The old version stays until it is removed by :meth:`drop_old_versions`, so
-        readers that started on it can finish. A delta that was cut short stays a delta.
+        return coarser(structure, self.tiles(structure, window, start, end), window)
+
+    def live(self, structure: str, window: str, as_of: datetime) -> DataFrame:
+        """Merged rows that have not run out at ``as_of``."""
+        return self.merged(structure, window).where(F.col("expires_at") > F.lit(as_of))
+
+    def seen(self, days: Sequence[date]) -> DataFrame:
+        """The ledger of these days: ``event_key, event_date`` of the events that were counted."""
+        wanted = {_day(d) for d in days}
+        folders = [f for f in self.state().live(LEDGER) if f.day in wanted]
+        if not folders:
+            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        base = f"{self.root}/data/{LEDGER}"
+        paths = [f"{base}/txn={f.txn}/event_date={f.day}" for f in folders]
+        return self.spark.read.schema(LEDGER_SCHEMA).option("basePath", base).parquet(*paths)
+
+    # ---- upkeep -----------------------------------------------------------------------
+    def compact(self, structure: str) -> int:
+        """Merge the batches of every window and day that has several; others keep their files.
+
+        Readers that started before keep what they see until :meth:`drop_old_versions`.
+        Tells how many folders were merged.
         """
-        self._rebuild(structure, None)
+        state = self.state()
+        groups: dict[tuple[str, str], list[Folder]] = {}
+        for f in state.live(structure):
+            groups.setdefault((f.window, f.day), []).append(f)
+        old = [f for fs in groups.values() if len(fs) > 1 or state.resets_of(fs[0]) for f in fs]
+        if old:
+            self._replace(state, structure, old, merge_rows(structure, self._rows(state, old)))
+        return len(old)
 
     def expire(self, structure: str, as_of: datetime) -> int:
         """Move the days all of whose rows have run out to the next longer windows.
 
-        Hours go to days, days to weeks and months, and weeks and months go for good. Works
-        as a compaction, so a crash leaves the old version in place. Tells how many days
-        of how many windows were moved.
+        Hours go to days, days to weeks and months, and weeks and months go for good. Only
+        the folders of these days are read and written. Tells how many days of how many
+        windows were moved.
         """
-        path = self.path(structure)
-        if not _fs(self.spark, path).exists(_path(self.spark, path)):
+        state = self.state()
+        # a row runs out no earlier than its day and its window's lifetime say
+        old = [
+            f for f in state.live(structure)
+            if datetime.fromisoformat(f.day) + timedelta(seconds=window_spec(f.window).retention_s) <= as_of
+        ]
+        if not old:
             return 0
-        rows = self.spark.read.schema(ROLLUP_SCHEMAS[structure]).parquet(path)
-        over = (
-            rows.groupBy("window", "bucket_date")
-            .agg(F.max("expires_at").alias("until"))
-            .where(F.col("until") <= F.lit(as_of))
+        rows = self._rows(state, old)
+        until = rows.groupBy("window", F.date_format("bucket_date", "yyyy-MM-dd").alias("day")).agg(
+            F.max("expires_at").alias("until")
         )
         # one row per window and day, so the list is bounded by the calendar
-        folders = [(r["window"], r["bucket_date"]) for r in over.collect()]
-        if folders:
-            self._rebuild(structure, folders)
-        return len(folders)
-
-    def _rebuild(self, structure: str, over: list[tuple[str, date]] | None) -> None:
-        path = self.path(structure)
-        if not _fs(self.spark, path).exists(_path(self.spark, path)):
-            return
-        versions, commits = self._versions(structure), self._commits(structure)
-        target = f"{self.root}/{structure}/v{versions[-1] + 1}"
-        rows = self.spark.read.schema(ROLLUP_SCHEMAS[structure]).parquet(path)
-        names = [MERGED + "@-1", *(f"{s}@{b}" for s, b in commits)]
-        whole = F.concat_ws("@", "source", "batch_id").isin(names)
-        merged = merge_rows(structure, rows.where(whole))
-        if over:
-            gone = F.lit(False)
-            for code in {w for w, _ in over}:
-                days = [d for w, d in over if w == code]
-                gone |= (F.col("window") == code) & F.to_date("bucket_start").isin(days)
-            merged = materialize(merged, "merged")
-            parts = [merged.where(~gone)]
-            for code in {w for w, _ in over}:
-                old = merged.where(gone & (F.col("window") == code))
-                parts += [coarser(structure, old, longer) for longer in NEXT[code]]
-            merged = parts[0]
-            for part in parts[1:]:
-                merged = merged.unionByName(part)
-        merged = merged.withColumns({"source": F.lit(MERGED), "batch_id": F.lit(-1).cast("long")})
-        cut_short = rows.where(~whole).select(*merged.columns)
-        fs = _fs(self.spark, target)
-        fs.delete(_path(self.spark, target), True)  # what an attempt cut short may have left
-        self._write(target, structure, merged.unionByName(cut_short))
-        folded = self._folded(structure)
-        for source, batch in commits:
-            folded[source] = _with(folded.get(source, []), batch)
-        marker = fs.create(_path(self.spark, f"{target}.ready"), True)
-        marker.writeBytes(json.dumps(folded))
-        marker.close()
-        for source, batch in commits:
-            fs.delete(_path(self.spark, f"{self.root}/{structure}/commits/{source}@{batch}"), False)
-
-    def drop_old_versions(self, structure: str) -> None:
-        for version in self._versions(structure)[:-1]:
-            for name in (f"v{version}.ready", f"v{version}"):
-                old = f"{self.root}/{structure}/{name}"
-                _fs(self.spark, old).delete(_path(self.spark, old), True)
-
-    def live(self, structure: str, window: str, as_of: datetime) -> DataFrame:
-        """Merged rows that have not run out at ``as_of``."""
-        return self.merged(structure, window).where(F.col("expires_at") > F.lit(as_of))
+        kept = {(r["window"], r["day"]) for r in until.where(F.col("until") > F.lit(as_of)).collect()}
+        old = [f for f in old if (f.window, f.day) not in kept]
+        if not old:
+            return 0
+        parts = None
+        merged = materialize(merge_rows(structure, self._rows(state, old)), "expired")
+        for code in sorted({f.window for f in old}):
+            for longer in NEXT[code]:
+                part = coarser(structure, merged.where(F.col("window") == code), longer)
+                parts = part if parts is None else parts.unionByName(part)
+        self._replace(state, structure, old, parts)
+        return len({(f.window, f.day) for f in old})
+
+    def _replace(self, state: State, structure: str, old: Sequence[Folder], rows: DataFrame | None) -> None:
+        new = [] if rows is None else self._write(structure, rows, uuid.uuid4().hex)
+        self.log.commit(state, add=new, remove=old)
+
+    def reset(self, structure: str, metric: str | None = None, system: str | None = None) -> None:
+        """Start a structure anew, or one metric or system of it.
+
+        What was committed before no longer counts; batches from before that come again add
+        nothing, as they have been taken; later batches count from zero.
+        """
+        state = self.state()
+        if metric is None and system is None:
+            self.log.commit(state, remove=state.live(structure))
+        else:
+            self.log.commit(state, resets=[(structure, metric, system)])
 
     def expire_ledger(self, before: date) -> int:
         """Forget which events were seen on days before ``before``; tells how many days.
 
         An event sent again after that would be counted again.
         """
-        ledger = f"{self.root}/ledger"
-        fs = _fs(self.spark, ledger)
-        if not fs.exists(_path(self.spark, ledger)):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(_path(self.spark, ledger))]
-        old = [n for n in names if n.startswith("event_date=") and n[11:] < before.isoformat()]
-        for name in old:
-            fs.delete(_path(self.spark, f"{ledger}/{name}"), True)
-        return len(old)
+        state = self.state()
+        old = [f for f in state.live(LEDGER) if f.day < _day(before)]
+        if old:
+            self.log.commit(state, remove=old)
+        return len({f.day for f in old})
+
+    def drop_old_versions(self, structure: str) -> int:
+        """Delete files that no longer count: replaced, run out, reset or cut short.
+
+        For the writer, when nobody reads an old state any more. Tells how many folders.
+        """
+        state, files = self.state(), self.log.files
+        base = f"{self.root}/data/{structure}"
+        live = {f.txn for f in state.live(structure)}
+        gone = [n for n in files.names(base) if n.startswith("txn=") and n[4:] not in live]
+        for name in gone:
+            files.delete(f"{base}/{name}")
+        # a folder of a commit of which other days still count
+        count = len(gone)
+        kept = {(f.txn, f.window, f.day) for f in state.live(structure)}
+        pattern = "event_date=*" if structure == LEDGER else "window=*/bucket_date=*"
+        for name in files.glob(f"{base}/txn=*/{pattern}"):
+            found = re.search(r"txn=([^/]+)/(?:window=([^/]+)/)?(?:bucket|event)_date=([^/]+)$", name)
+            if found and (found[1], found[2] or "", found[3]) not in kept:
+                files.delete(name)
+                count += 1
+        self.log.trim()
+        return count
 
     def footprint(self, structures: Sequence[str] = tuple(ROLLUP_SCHEMAS)) -> DataFrame:
         """Keys, rows and bytes of payload per structure and window."""
-        parts = []
+        state, out = self.state(), None
         for structure in structures:
-            path = self.path(structure)
-            if not _fs(self.spark, path).exists(_path(self.spark, path)):
+            folders = state.live(structure)
+            if not folders:
                 continue
-            rows = self.spark.read.schema(ROLLUP_SCHEMAS[structure]).parquet(path)
-            payload = {"hll": "length(sketch)", "kll": "length(sketch)", "moments": "56"}.get(
-                structure, "length(value)" if structure == "member" else "length(item) + 8"
-            )
-            parts.append(
-                rows.groupBy("window", *[k for k in KEY if k != "window"])
-                .agg(F.count(F.lit(1)).alias("r"), F.sum(F.expr(payload)).alias("b"))
+            part = (
+                self._rows(state, folders)
+                .groupBy("window", *[k for k in KEY if k != "window"])
+                .agg(F.count(F.lit(1)).alias("r"), F.sum(F.expr(_PAYLOAD[structure])).alias("b"))
                 .groupBy(F.lit(structure).alias("structure"), "window")
                 .agg(
                     F.count(F.lit(1)).alias("keys"),
@@ -309,42 +350,31 @@ class RollupStore:
                     F.sum("b").cast("long").alias("bytes"),
                 )
             )
-        if not parts:
+            out = part if out is None else out.unionByName(part)
+        if out is None:
             return self.spark.createDataFrame([], "structure string, window string, keys long, rows long, bytes long")
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
         return out
 
 
-def _with(ranges: list[list[int]], batch: int) -> list[list[int]]:
-    """Ranges of numbers with one more number."""
-    out: list[list[int]] = []
-    for low, high in sorted([*ranges, [batch, batch]]):
-        if out and low <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return out
-
-
-def _moved(rows: DataFrame, window: str) -> DataFrame:
-    return rows.withColumn("window", F.lit(window)).withColumn(
-        "bucket_start", bucket_start_by(F.col("bucket_start"), F.col("window"))
-    )
-
-
 def merge_rows(structure: str, rows: DataFrame) -> DataFrame:
-    """Merge delta rows of a structure: one row per key (and item or value)."""
-    if structure in ("hll", "kll"):
-        agg = hll() if structure == "hll" else kll()
-        out = agg.merge(rows, KEY)
+    """Merge rows of a structure: one row per key (and item, value or block)."""
+    last = F.max("last_ts").alias("last_ts")
+    if structure == "hll":
+        out = hll().merge(rows, KEY)
+    elif structure == "theta":
+        out = theta_rows().merge(rows, KEY)
+    elif structure == "kll":
+        out = kll().merge(rows, KEY)
     elif structure == "topk":
-        out = rows.groupBy(*KEY, "item").agg(F.sum("cnt").alias("cnt"), F.max("last_ts").alias("last_ts"))
+        out = rows.groupBy(*KEY, "item").agg(F.sum("cnt").alias("cnt"), last)
+    elif structure == "heavy":
+        out = heavy.counter_merge(rows, KEY)
     elif structure == "member":
-        out = rows.groupBy(*KEY, "value").agg(F.max("last_ts").alias("last_ts"))
+        out = rows.groupBy(*KEY, "value").agg(last)
+    elif structure == "bloom":
+        out = bloom.merge_shapes(rows, KEY, last)
     elif structure == "moments":
-        out = moments.merge(rows, KEY, F.max("last_ts").alias("last_ts"))
+        out = moments.merge(rows, KEY, last)
     else:
         raise ValueError(f"unknown structure {structure}; valid: {', '.join(ROLLUP_SCHEMAS)}")
     expiry = None
@@ -357,4 +387,7 @@ def merge_rows(structure: str, rows: DataFrame) -> DataFrame:
 def coarser(structure: str, rows: DataFrame, window: str) -> DataFrame:
     """Rows of a longer window from rows of a shorter one."""
     window_spec(window)
-    return merge_rows(structure, _moved(rows, window))
+    moved = rows.withColumn("window", F.lit(window)).withColumn(
+        "bucket_start", bucket_start_by(F.col("bucket_start"), F.col("window"))
+    )
+    return merge_rows(structure, moved)

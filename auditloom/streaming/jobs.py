@@ -8,23 +8,22 @@ summary they belong to has run out.
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from auditloom.operators import moments
-from auditloom.operators.distinct import LG_K, hll_rollup
-from auditloom.operators.heavy import topk_rollup
-from auditloom.operators.members import member_rollup
-from auditloom.operators.quantiles import KLL_K, kll_rollup
+from auditloom.operators.compiled import MAINTAINED, base_window, rollups
+from auditloom.operators.distinct import LG_K
+from auditloom.operators.mergeable import KLL_K
+from auditloom.operators.routing import MetricRule
 from auditloom.schema import window_spec
 from auditloom.session import run_dir, shuffle_partitions
 from auditloom.sources.records import (
     accepted, parse_records, published, read_feed, rejected, validate,
 )
-from auditloom.sources.store import RollupStore
+from auditloom.sources.store import LEDGER, RollupStore
 
 
 def run_available(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
@@ -129,70 +128,58 @@ def running_statistics(events: DataFrame, path: str, checkpoint: str) -> DataFra
     return newest.select("system", "s.*")
 
 
-LEDGER_SCHEMA = "event_key string, event_date date, source string, batch_id long"
-
-
 def _key(events: DataFrame) -> Column:
     """What tells events apart: the id their producer gave them, or null."""
     number = F.col("event_id").cast("string")
     return F.coalesce(F.col("event_key"), number) if "event_key" in events.columns else number
 
 
-def _unseen(batch: DataFrame, ledger: str, source: str, batch_id: int) -> DataFrame:
-    """Events of a batch that no other batch held; those without an id are all kept.
+def _unseen(batch: DataFrame, store: RollupStore) -> DataFrame:
+    """Events of a batch that no committed batch held; those without an id are all kept.
 
-    Only the ledger days the batch touches are read, and rows the same batch wrote in
-    an earlier attempt do not count. ``batch`` is read several times: persist it.
+    Only the ledger days the batch touches are read. ``batch`` is read several times:
+    persist it.
     """
-    spark = batch.sparkSession
     keyed = batch.where("event_key is not null").dropDuplicates(["event_key"])
     bare = batch.where("event_key is null")
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        days = [r[0] for r in batch.select("event_date").distinct().collect()]  # bounded by the calendar
-        seen = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("event_date").isin(days))
-        own = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
-        seen = seen.where(~own).select("event_date", "event_key")
-        keyed = keyed.join(seen, ["event_date", "event_key"], "left_anti").select(*batch.columns)
-    return keyed.unionByName(bare)
-
-
-def apply_batch(store: RollupStore, batch: DataFrame, batch_id: int, source: str = "main") -> None:
-    """Add one batch of events to every hourly rollup table, each event once.
-
-    Running a batch of a source again replaces what its first attempt wrote, or does
-    nothing where that has been compacted, so a retry is safe at any point. Events that
-    bring no id count as often as they are sent.
+    days = [r[0] for r in batch.where("event_key is not null").select("event_date").distinct().collect()]
+    seen = store.seen([d for d in days if d is not None])  # days are bounded by the calendar
+    keyed = keyed.join(seen.select("event_date", "event_key"), ["event_date", "event_key"], "left_anti")
+    return keyed.select(*batch.columns).unionByName(bare)
+
+
+def apply_batch(
+    store: RollupStore,
+    batch: DataFrame,
+    batch_id: int,
+    source: str = "main",
+    rules: Iterable[MetricRule] = MAINTAINED,
+) -> bool:
+    """Add one batch of events to the rollup tables of the rules, each event once.
+
+    All tables and the ledger of events get the batch by one commit. So a batch that is cut
+    short at any point was never there, and one that was committed is skipped when it is
+    run again, also after a compaction or a reset. Events that bring no id count as often
+    as they are sent. Tells whether the batch was new.
     """
-    ledger = f"{store.root}/ledger"
+    rules = list(rules)
+    structures = sorted({r.structure for r in rules})
+    if store.has_batch([*structures, LEDGER], batch_id, source):
+        return False
     dated = batch.withColumns({"event_key": _key(batch), "event_date": F.to_date("ts")}).persist()
-    fresh = _unseen(dated, ledger, source, batch_id).persist()
+    fresh = _unseen(dated, store).persist()
     try:
-        tables = {
-            "hll": hll_rollup, "member": member_rollup, "topk": topk_rollup,
-            "kll": kll_rollup, "moments": moments.moments_rollup,
-        }
-        # independent tables: their jobs share the cluster instead of queueing
-        with ThreadPoolExecutor(len(tables)) as pool:
-            writes = [
-                pool.submit(store.write, structure, make(fresh), batch_id, source)
-                for structure, make in tables.items()
-            ]
-        for write in writes:
-            write.result()
-        # last of all, so that a batch cut short is done again in full
-        (
-            fresh.where("event_key is not null")
-            .select(
-                "event_key", "event_date", F.lit(source).alias("source"),
-                F.lit(batch_id).cast("long").alias("batch_id"),
-            )
-            .hint("rebalance", "event_date")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date", "source", "batch_id")
-            .parquet(ledger)
-        )
+        stored = {}
+        if "bloom" in structures:
+            # filters of the buckets this batch touches, to see how full they are
+            low, high = fresh.agg(F.min("ts"), F.max("ts")).first()
+            windows = {base_window(r) for r in rules if r.structure == "bloom"}
+            if low is not None:
+                for window in sorted(windows):
+                    rows = store.read("bloom", window, start=low, end=high)
+                    stored["bloom"] = stored["bloom"].unionByName(rows) if "bloom" in stored else rows
+        ledger = fresh.where("event_key is not null").select("event_key", "event_date")
+        return store.write_batch(rollups(fresh, rules, stored), batch_id, source, ledger)
     finally:
         fresh.unpersist()
         dated.unpersist()
@@ -214,15 +201,18 @@ def _stream_name(spark: SparkSession, checkpoint: str) -> str:
         stream.close()
 
 
-def maintain(events: DataFrame, store: RollupStore, checkpoint: str) -> None:
-    """Keep the rollup tables up to date from a stream, late and repeated events included.
+def maintain(
+    events: DataFrame, store: RollupStore, checkpoint: str, rules: Iterable[MetricRule] = MAINTAINED
+) -> None:
+    """Keep the rollup tables of the rules up to date from a stream, late and repeated events
+    included.
 
     Several streams may feed one store, one at a time.
     """
-    source = _stream_name(store.spark, checkpoint)
+    source, rules = _stream_name(store.spark, checkpoint), list(rules)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(store, batch, batch_id, source)
+        apply_batch(store, batch, batch_id, source, rules)
 
     run_available(store.spark, events.writeStream.foreachBatch(step), checkpoint)
 

@@ -173,3 +173,50 @@ def test_a_lost_checkpoint_loses_nothing(spark, tmp_path):
     jobs.maintain(stream(spark, tmp_path / "feed"), store, str(tmp_path / "cp2"))
     n = store.merged("topk").where("metric = 'event_types'").agg(F.sum("cnt")).first()[0]
     assert n == 200
+
+
+STORED = ("hll", "kll", "ledger", "member", "moments", "topk")
+
+
+def counted(store):
+    return store.merged("topk").where("metric = 'event_types'").agg(F.sum("cnt")).first()[0] or 0
+
+
+@pytest.mark.parametrize("broken", STORED)
+def test_a_batch_cut_short_was_never_there(spark, tmp_path, monkeypatch, broken):
+    """The writer dies in any of the tables, then the stream loses its checkpoint."""
+    store = RollupStore(spark, str(tmp_path / "store"))
+    put(make(spark, 0, 60), tmp_path / "feed", "b0")
+    real = RollupStore._write
+
+    def dies(self, table, rows, txn):
+        if table == broken:
+            raise RuntimeError("lost")
+        return real(self, table, rows, txn)
+
+    monkeypatch.setattr(RollupStore, "_write", dies)
+    with pytest.raises(Exception, match="lost"):
+        jobs.maintain(stream(spark, tmp_path / "feed"), store, str(tmp_path / "cp1"))
+    monkeypatch.undo()
+    for structure in ("hll", "kll", "member", "moments", "topk"):
+        assert store.merged(structure).count() == 0
+    jobs.maintain(stream(spark, tmp_path / "feed"), store, str(tmp_path / "cp2"))
+    assert counted(store) == 60
+    assert store.merged("moments").agg(F.sum("n")).first()[0] == 60
+    jobs.maintain(stream(spark, tmp_path / "feed"), store, str(tmp_path / "cp1"))  # the first one comes back
+    assert counted(store) == 60
+
+
+def test_a_batch_cut_short_before_its_commit(spark, tmp_path, monkeypatch):
+    from auditloom.sources.log import Log
+
+    store = RollupStore(spark, str(tmp_path / "store"))
+    monkeypatch.setattr(Log, "commit", lambda *a, **b: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        jobs.apply_batch(store, make(spark, 0, 60), 0)
+    monkeypatch.undo()
+    assert counted(store) == 0
+    assert jobs.apply_batch(store, make(spark, 0, 60), 5, "other") and not jobs.apply_batch(store, make(spark, 0, 60), 5, "other")
+    assert counted(store) == 60
+    assert sum(store.drop_old_versions(t) for t in STORED) > 0
+    assert counted(store) == 60
