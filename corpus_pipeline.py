@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.decontaminate import decontaminate
 from auditloom.llm.mixing import mix
-from auditloom.llm.nearcopies import drop_copies
 from auditloom.llm.rules import quality_rules
 from auditloom.llm.sharding import sharded_digest
+from auditloom.llm.simhash import near_dedup
 from auditloom.session import materialize, partitions_for, tune
 
 SHARDS = 40
@@ -42,9 +42,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
-    Near copies are alike to 0.8 or more in their five-word shingles.
+    Near copies are linked by SimHash fingerprints of three-word shingles that differ in
+    three bits at most.
     """
-    return _through(docs, drop_copies)
+    return _through(docs, lambda d: near_dedup(d, shingle=3, radius=3))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
