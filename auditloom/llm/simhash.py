@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.components import components
-from auditloom.llm.text import offsets, pieces
+from auditloom.llm.text import offsets, pieces, unused
 from auditloom.session import materialize
 
 #: Fingerprints on one side of a grid cell, about.
@@ -229,28 +229,27 @@ def simhash_groups(documents: DataFrame, shingle: int = 3, radius: int = 3) -> D
 
 
 def near_dedup(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each near-duplicate group, with all its columns (see :func:`keep_leads`)."""
-    return keep_leads(documents, simhash_groups(documents, shingle, radius))
-
-
-def keep_leads(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """One document of each group; ``groups`` has ``doc_id, mark, component`` of every document.
+    """One document of each near-duplicate group, with all its columns.
 
     The one with the smallest doc_id stays (null comes last); of several texts under that
-    doc_id the one with the smallest XXH64, and of rows equal in both any one.
+    doc_id the one with the smallest XXH64, and of rows equal in both any one. Null and
+    empty texts form one group; an empty table gives no rows; other columns are kept,
+    whatever their names.
     """
+    groups = simhash_groups(documents, shingle, radius)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     leads = groups.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n"))
     leads = leads.groupBy("component").agg(F.min(F.struct(order.alias("o"), "n")).alias("first"))
+    lead, mark, rows = unused(documents.columns, "lead", "mark", "rows")
     leads = materialize(
         leads.select(
-            F.col("first.o.doc_id").alias("__lead"), F.col("first.o.mark").alias("__mark"), F.col("first.n").alias("__n")
+            F.col("first.o.doc_id").alias(lead), F.col("first.o.mark").alias(mark), F.col("first.n").alias(rows)
         ),
         "leads",
     )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__lead")) & (F.xxhash64("text") == F.col("__mark"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(lead)) & (F.xxhash64("text") == F.col(mark))
     kept = documents.join(leads, same)
-    once = kept.where("__n = 1")
+    once = kept.where(F.col(rows) == 1)
     # only rows that are repeated as a whole need another shuffle
-    repeated = kept.where("__n > 1").dropDuplicates(["__lead", "__mark"])
-    return once.union(repeated).drop("__lead", "__mark", "__n")
+    repeated = kept.where(F.col(rows) > 1).dropDuplicates([lead, mark])
+    return once.union(repeated).drop(lead, mark, rows)

@@ -6,7 +6,7 @@ are taken in pieces of bounded size, so temporary arrays do not grow with a batc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,15 @@ def _long_hash(buf: np.ndarray) -> np.uint64:
     return np.uint64(value % (1 << 64))
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """Names for helper columns that clash with none of ``columns``, whatever its case."""
+    taken = {c.lower() for c in columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and where its rows begin and end; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -102,3 +102,16 @@ def test_one_of_each_group_stays(spark, docs_of):
     twice = docs.union(docs)
     assert sorted(r.doc_id for r in near_dedup(twice).collect()) == [0, 2, 3]
     assert {r.kept for r in kept.collect()} == {"own"}
+    clash = docs.selectExpr("*", "1 as __lead", "2 as __MARK", "3 as ___rows")
+    assert near_dedup(clash).columns == clash.columns
+
+
+def test_the_pipeline_stage_is_the_operator(spark, docs_of):
+    import corpus_pipeline
+
+    docs = docs_of(EDGE)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda rows: sorted(str((r.doc_id, r.text)) for r in rows)
+    assert key(got.collect()) == key(near_dedup(docs).collect())
+    assert corpus_pipeline.drop_near_copies(spark, docs_of([]), "").count() == 0
