@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_SECTIONS = ("ingest", "distincts", "frequencies", "statistics", "rollups", "streams", "compliance")
+_SECTIONS = ("ingest", "distincts", "frequencies", "statistics", "rollups", "streams", "compliance", "stored")
 
 
 def load_all() -> None:

@@ -79,6 +79,21 @@ def present_in_all(events: DataFrame, group: str, value: str, lg_k: int = LG_K)
     )
 
 
+def present_in_all_stored(sketches: DataFrame, group: str, keys: Sequence[str], groups: int) -> DataFrame:
+    """Estimated values present in all ``groups``, from stored theta sketches.
+
+    Sketches of one group are first united over whatever is not in ``keys`` (buckets of a
+    time range, windows), then intersected. A key that lacks a group has nothing in common.
+    """
+    lg_k = LG_K
+    united = sketches.groupBy(*keys, group).agg(F.expr(f"theta_union_agg(sketch, {lg_k})").alias("sketch"))
+    common = united.groupBy(*keys).agg(
+        F.theta_sketch_estimate(F.theta_intersection_agg("sketch")).alias("estimate"),
+        F.count(F.lit(1)).alias("groups"),
+    )
+    return common.where(F.col("groups") == groups)
+
+
 def checked(
     sketch: DataFrame, exact: DataFrame, keys: Sequence[str], bound: float
 ) -> DataFrame:

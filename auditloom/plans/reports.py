@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.buckets import bucket_start
 from auditloom.functions.numbers import percentile_label, tidy
+from auditloom.operators.bloom import contains_any
 from auditloom.operators.distinct import LG_K
 from auditloom.operators.heavy import top_lists
 from auditloom.operators.mergeable import relative_error
@@ -39,6 +40,23 @@ def top_items(topk_rollup: DataFrame, k: int = 10) -> DataFrame:
     return top_lists(topk_rollup, ["metric", "system", "window", "bucket_start"], k)
 
 
+def activity_from_filters(filters: DataFrame, asked: DataFrame, window: str, metric: str = "user_activity") -> DataFrame:
+    """Whether users were active, from stored filters: adds ``accessed`` and ``probability``.
+
+    ``asked`` has ``user_id, system, bucket_start`` of buckets of ``window``; ``filters`` are
+    stored rows of that window and shorter ones. Every filter of the bucket is asked on its
+    own, as merging the days of a week would fill one filter with seven days. A no is
+    certain; the probability of a yes follows from the bits that are set.
+    """
+    own = filters.where(F.col("metric") == metric).select(
+        "system", bucket_start(F.col("bucket_start"), window).alias("bucket_start"),
+        F.concat_ws(" ", "window", F.col("bucket_start").cast("string")).alias("part"),
+        "blocks", "block", *[c for c in filters.columns if c[0] == "w" and c[1:].isdigit()],
+    )
+    value = F.concat_ws(":", "user_id", "system")
+    return contains_any(asked.withColumn("value", value), own, ["system", "bucket_start"], ["part"]).drop("value")
+
+
 def _pivoted(rows: DataFrame, names: Mapping[str, str], value: str) -> DataFrame:
     picks = [
         F.coalesce(F.max(F.when(F.col("metric") == m, F.col(value))), F.lit(0)).alias(name)
