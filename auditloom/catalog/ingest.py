@@ -59,6 +59,29 @@ def a02(spark: SparkSession, d: str) -> DataFrame:
     return records.batch_report(_validated(spark, d))
 
 
+@query(
+    "a02_batch_envelope",
+    f"""with {AUDIT}, {INGESTED}, e as (select * from ingested where event_id % 50 <> 7)
+    select reject_reason, count(*) as n, cast(sum(count(*)) over () as bigint) as total,
+      'Processed ' || sum(count(*) filter (where reject_reason is null)) over () || '/' || sum(count(*)) over () || ' events' as message
+    from e group by reject_reason""",
+)
+def a02_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """The same records in envelopes of up to twenty, each accepted or rejected on its own."""
+    whole = raw_records(spark, d).where("event_id % 50 <> 7")  # a broken record breaks its envelope
+    envelopes = whole.groupBy(F.expr("event_id div 20").alias("post")).agg(
+        F.concat(F.lit('{"events":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")
+    )
+    checked = materialize(
+        records.validate(records.parse_records(envelopes), F.lit(INGEST_TS).cast("timestamp")), "checked"
+    )
+    reasons = checked.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    report = records.batch_report(checked).first()  # one row of two counts
+    return reasons.select(
+        "reject_reason", "n", F.lit(report["total"]).cast("long").alias("total"), F.lit(report["message"]).alias("message")
+    )
+
+
 @query(
     "a03_validation_split",
     f"""with {AUDIT}, {INGESTED}

@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Exprs = tuple[tuple[str, str], ...]
 
@@ -57,35 +58,44 @@ class ExprAgg:
 class PythonAgg:
     """A mergeable aggregate with a Python ``plus`` over rows of state columns.
 
-    States are first merged inside each task, then once per key over what the tasks
-    hold, so no task ever sees more than one state per key and source task.
+    Rows are sorted by key inside a task (on disk if need be) and stream through Arrow, so
+    a task holds one state at a time. States are first merged inside each source task, then
+    over groups of tasks, then per key; a key that is in every task meets in ``fan`` tasks
+    first, and the last one sees no more than ``fan`` states of it. Values keep their
+    types: whole numbers stay whole.
     """
 
     plus: Callable[[dict[str, Any], dict[str, Any]], dict[str, Any]]
+    fan: int = 64
 
     def merge(self, states: DataFrame, keys: Sequence[str]) -> DataFrame:
-        keys = list(keys)
-        plus = self.plus
-        columns = states.columns
+        keys, plus = list(keys), self.plus
+        schema = to_arrow_schema(states.schema)
 
-        def fold(rows: pd.DataFrame, held: dict[tuple, dict[str, Any]]) -> None:
-            for row in rows.to_dict("records"):
-                key = tuple(row[k] for k in keys)
-                held[key] = plus(held[key], row) if key in held else row
-
-        def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[tuple, dict[str, Any]] = {}
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, Any] | None = None
+            out: list[dict[str, Any]] = []
             for batch in batches:
-                fold(batch, held)
-            yield pd.DataFrame([{**s, **dict(zip(keys, k))} for k, s in held.items()], columns=columns)
-
-        def per_key(rows: pd.DataFrame) -> pd.DataFrame:
-            held: dict[tuple, dict[str, Any]] = {}
-            fold(rows, held)
-            return pd.DataFrame([{**s, **dict(zip(keys, k))} for k, s in held.items()], columns=columns)
-
-        once = states.mapInPandas(per_task, states.schema)
-        return once.groupBy(*keys).applyInPandas(per_key, states.schema)
+                for row in batch.to_pylist():
+                    if held is not None and all(held[k] == row[k] for k in keys):
+                        held = {**plus(held, row), **{k: row[k] for k in keys}}
+                        continue
+                    if held is not None:
+                        out.append(held)
+                    held = row
+                if len(out) >= 4096:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
+            if held is not None:
+                yield pa.RecordBatch.from_pylist([*out, held], schema=schema)
+
+        def folded(rows: DataFrame) -> DataFrame:
+            ordered = rows.sortWithinPartitions(*keys) if keys else rows
+            return ordered.mapInArrow(fold, states.schema)
+
+        once = folded(states).withColumn("__task", F.pmod(F.spark_partition_id(), F.lit(self.fan)))
+        some = folded(once.repartition(*keys, "__task").drop("__task"))
+        return folded(some.repartition(*keys) if keys else some.coalesce(1))
 
 
 def hll(value: str = "value", lg_k: int = 14) -> ExprAgg:

@@ -70,18 +70,45 @@ def with_sources(agg: ExprAgg, partials: DataFrame, keys: Sequence[str], source:
     )
 
 
+def bucket_number(start: Column, window: str) -> Column:
+    """Buckets counted by the calendar: neighbours differ by one."""
+    if window == "1M":
+        return F.year(start) * F.lit(12).cast("long") + F.month(start)
+    return F.floor(F.unix_seconds(start) / F.lit(window_spec(window).duration_s)).cast("long")
+
+
 def rolling_distinct(rollup: DataFrame, window: str, n: int) -> DataFrame:
-    """Distinct count over the ``n`` buckets up to each bucket, by the calendar."""
-    step = window_spec(window).duration_s
-    frame = (
-        Window.partitionBy("metric", "system")
-        .orderBy(F.unix_seconds("bucket_start"))
-        .rangeBetween(-(n - 1) * step, 0)
+    """Distinct count over the ``n`` buckets up to each bucket, by the calendar.
+
+    ``rollup`` has one row per key and bucket. The calendar is cut into chunks of ``n``
+    buckets, so a look-back touches the end of one chunk and the beginning of the next.
+    In every chunk the sketches are united forward from its beginning and backward from
+    its end, each row taken once; an answer is one forward and one backward union. A chunk
+    is a window group of its own, so a long history is spread over as many tasks as it has
+    chunks.
+    """
+    key = ["metric", "system"]
+    at = bucket_number(F.col("bucket_start"), window)
+    rows = rollup.select(
+        *key, "bucket_start", at.alias("at"), "sketch", F.lit(0).alias("ask")
     )
-    merged = F.hll_union_agg("sketch", F.lit(False)).over(frame)
-    return rollup.select(
-        "metric", "system", "bucket_start", F.hll_sketch_estimate(merged).alias("estimate")
+    # a bucket asks the chunk before its own for what is united from here to the chunk's end
+    first = F.col("at") - (n - 1)
+    asks = rows.where(first % n != 0).select(
+        *key, "bucket_start", first.alias("at"), F.lit(None).cast("binary").alias("sketch"), F.lit(1).alias("ask")
     )
+    both = rows.unionByName(asks).withColumn("chunk", F.floor(F.col("at") / n).cast("long"))
+    chunk = Window.partitionBy(*key, "chunk")
+    growing = (Window.unboundedPreceding, Window.currentRow)
+    united = F.hll_union_agg("sketch", F.lit(False))
+    parts = both.select(
+        *key, "bucket_start", "ask",
+        F.when(F.col("ask") == 0, united.over(chunk.orderBy("at", "ask").rowsBetween(*growing))).alias("forward"),
+        F.when(F.col("ask") == 1, united.over(chunk.orderBy(F.desc("at"), "ask").rowsBetween(*growing))).alias("backward"),
+        F.count("sketch").over(chunk.orderBy(F.desc("at"), "ask").rowsBetween(*growing)).alias("united"),
+    ).where("ask = 0 or united > 0")
+    halves = parts.select(*key, "bucket_start", F.coalesce("forward", "backward").alias("sketch"))
+    return halves.groupBy(*key, "bucket_start").agg(F.hll_sketch_estimate(united).alias("estimate"))
 
 
 def exact_rolling_distinct(values: DataFrame, window: str, n: int) -> DataFrame:

@@ -71,7 +71,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def run_dir(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
+
+    For the end of a run that went well, when its results have been written: DataFrames
+    that read such a table can no longer be computed. What a failed run leaves stays.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -86,7 +100,7 @@ def partitions_for(df: DataFrame, bytes_per_task: int = 128 << 20) -> int:
     Never below the session's setting; small partitions are put together at run time.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(-(-input_bytes(df) // bytes_per_task), 200_000))
+    return max(least, -(-input_bytes(df) // bytes_per_task))
 
 
 @contextmanager

@@ -31,15 +31,32 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 64) -> D
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
+def unwrapped(lines: DataFrame, value: str = "value") -> DataFrame:
+    """One row per record: a line is a record, or an envelope ``{"events": [...]}`` of many.
+
+    Records stay text, so each is accepted or rejected on its own; an empty envelope has
+    none. A line that is neither is one (broken) record.
+    """
+    envelope = F.from_json(F.col(value), "events array<string>")["events"]
+    maybe = F.when(F.col(value).contains('"events"'), envelope)
+    return lines.select(
+        *[c for c in lines.columns if c != value],
+        F.explode(F.coalesce(maybe, F.array(F.col(value)))).alias(value),
+    )
+
+
 def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
     """Parse JSON text into typed columns; ``value`` stays for the rejects.
 
+    Records may come in envelopes (:func:`unwrapped`).
+
     The parsed struct goes through a generator. Later filters cannot be moved below
     it, where each would parse the text again for every column it mentions.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     parsed = F.from_json(F.col(value), _PARSE_SCHEMA, options)
-    return lines.select(F.col(value).alias("value"), F.inline_outer(F.array(parsed)))
+    one = unwrapped(lines, value)
+    return one.select(F.col(value).alias("value"), F.inline_outer(F.array(parsed)))
 
 
 def validate(records: DataFrame, ingest_ts: Column | None = None) -> DataFrame:

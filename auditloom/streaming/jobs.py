@@ -8,11 +8,12 @@ summary they belong to has run out.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from auditloom.operators.compiled import MAINTAINED, base_window, rollups
 from auditloom.operators.distinct import LG_K
@@ -24,17 +25,34 @@ from auditloom.sources.records import (
     accepted, parse_records, published, read_feed, rejected, validate,
 )
 from auditloom.sources.store import LEDGER, RollupStore
-
-
-def run_available(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process everything there is, then stop. Progress is kept under ``checkpoint``."""
-    # a stateful query keeps its number of state partitions for life, and pays for each
-    # in every micro-batch: no more than two per core
-    cores = spark.sparkContext.defaultParallelism
-    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
-    with shuffle_partitions(spark, least):
-        running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        running.awaitTermination()
+from auditloom.streaming.state import NewestStates, moments_states, presented
+
+
+def run(
+    writer: DataStreamWriter,
+    checkpoint: str,
+    trigger: Mapping[str, Any] | None = None,
+    state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Start a stream; progress is kept under ``checkpoint``.
+
+    Without ``trigger`` all there is gets processed before this returns. With one, such as
+    ``{"processingTime": "10 seconds"}``, the query goes on until it is stopped. A stateful
+    query keeps the number of its state partitions for life: ``state_partitions`` at its
+    first start, the session's shuffle partitions by default (on one machine two per core
+    at most, as each is paid for in every batch).
+    """
+    spark = writer._spark
+    if state_partitions is None:
+        state_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if spark.sparkContext.master.startswith("local"):
+            state_partitions = min(state_partitions, 2 * spark.sparkContext.defaultParallelism)
+    with shuffle_partitions(spark, state_partitions):
+        options = dict(trigger) if trigger is not None else {"availableNow": True}
+        query = writer.option("checkpointLocation", checkpoint).trigger(**options).start()
+        if trigger is None:
+            query.awaitTermination()
+    return query
 
 
 def to_table(stream: DataFrame, label: str) -> DataFrame:
@@ -42,7 +60,7 @@ def to_table(stream: DataFrame, label: str) -> DataFrame:
     spark = stream.sparkSession
     path = run_dir(spark, label)
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data")
-    run_available(spark, writer, f"{path}/checkpoint")
+    run(writer, f"{path}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
@@ -95,37 +113,32 @@ def hours_to_days(events: DataFrame, delay: str) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, horizon: str) -> DataFrame:
-    """Drop events sent again within the horizon; events without an id all stay."""
-    # one that brings no id gets one nobody else has
-    keyed = events.withColumn("_key", F.coalesce(_key(events), F.uuid()))
-    return keyed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
-
+    """Drop events sent again within the horizon; events without an id all stay.
 
-def running_statistics(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Moments per system after every batch, one folder per batch; gives the newest."""
+    Only events with an id enter the state.
+    """
+    keyed = events.withColumn("_key", _key(events)).withWatermark("ts", horizon)
+    once = keyed.where("_key is not null").dropDuplicatesWithinWatermark(["_key"])
+    return once.unionByName(keyed.where("_key is null")).drop("_key")
+
+
+def running_statistics(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    keep: str = "90 days",
+    delay: str = "10 minutes",
+    trigger: Mapping[str, Any] | None = None,
+) -> DataFrame:
+    """Moments per system, kept up to date in state; gives the newest (see :mod:`.state`).
+
+    A system from which nothing has come for ``keep`` (of event time) is forgotten.
+    """
     spark = events.sparkSession
-    x = F.col("latency_ms")
-    states = events.where(x.isNotNull()).groupBy("system").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var_pop"),
-        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
-    )
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
-
-    run_available(spark, states.writeStream.outputMode("update").foreachBatch(save), checkpoint)
-    schema = states.schema.add("batch_id", "long")
-    rows = spark.read.schema(schema).parquet(path)
-    columns = [c for c in states.columns if c != "system"]
-    # one row per system and batch goes in, the newest comes out
-    newest = rows.groupBy("system").agg(F.max_by(F.struct(*columns), "batch_id").alias("s"))
-    return newest.select("system", "s.*")
+    states = moments_states(events.withWatermark("ts", delay), "system", "latency_ms", keep)
+    table = NewestStates(spark, path, states.schema, ["system", "salt"])
+    run(states.writeStream.outputMode("update").foreachBatch(table.add), checkpoint, trigger)
+    return presented(table.read(), ["system"])
 
 
 def _key(events: DataFrame) -> Column:
@@ -202,10 +215,14 @@ def _stream_name(spark: SparkSession, checkpoint: str) -> str:
 
 
 def maintain(
-    events: DataFrame, store: RollupStore, checkpoint: str, rules: Iterable[MetricRule] = MAINTAINED
-) -> None:
+    events: DataFrame,
+    store: RollupStore,
+    checkpoint: str,
+    rules: Iterable[MetricRule] = MAINTAINED,
+    trigger: Mapping[str, Any] | None = None,
+) -> StreamingQuery:
     """Keep the rollup tables of the rules up to date from a stream, late and repeated events
-    included.
+    included. The triggers are those of :func:`run`.
 
     Several streams may feed one store, one at a time.
     """
@@ -214,10 +231,12 @@ def maintain(
     def step(batch: DataFrame, batch_id: int) -> None:
         apply_batch(store, batch, batch_id, source, rules)
 
-    run_available(store.spark, events.writeStream.foreachBatch(step), checkpoint)
+    return run(events.writeStream.foreachBatch(step), checkpoint, trigger)
 
 
-def ingest(lines: DataFrame, path: str, checkpoint: str) -> None:
+def ingest(
+    lines: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] | None = None
+) -> StreamingQuery:
     """Validate a stream of JSON lines into two tables, ``events`` and ``rejects``.
 
     Both are partitioned by batch, so a batch run again replaces its own rows only.
@@ -238,13 +257,15 @@ def ingest(lines: DataFrame, path: str, checkpoint: str) -> None:
         finally:
             checked.unpersist()
 
-    run_available(lines.sparkSession, lines.writeStream.foreachBatch(step), checkpoint)
+    return run(lines.writeStream.foreachBatch(step), checkpoint, trigger)
 
 
-def publish(events: DataFrame, path: str, checkpoint: str) -> None:
+def publish(
+    events: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] | None = None
+) -> StreamingQuery:
     """Write the live feed as text files, one JSON record per line."""
     writer = published(events).writeStream.format("text").option("path", path)
-    run_available(events.sparkSession, writer, checkpoint)
+    return run(writer, checkpoint, trigger)
 
 
 def subscribe(spark: SparkSession, path: str) -> DataFrame:
@@ -252,3 +273,12 @@ def subscribe(spark: SparkSession, path: str) -> DataFrame:
     return read_feed(spark.readStream.text(path))
 
 
+def follow(
+    rows: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, trigger: Mapping[str, Any] | None = None
+) -> StreamingQuery:
+    """Hand every batch of a subscription to ``act``, which gets its rows and number.
+
+    The subscriber goes on where it stopped; a batch may come again after a failure, under
+    the same number.
+    """
+    return run(rows.writeStream.foreachBatch(act), checkpoint, trigger)

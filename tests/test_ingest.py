@@ -90,3 +90,22 @@ def test_newest(spark):
     df = spark.range(100).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 10).alias("ts"))
     top = records.newest(df, 3).collect()
     assert [r.event_id for r in top] == [99, 89, 79]
+
+
+def test_records_come_in_envelopes(spark):
+    one = '{"event_type":"custom","system":"s","user_id":"u%d"}'
+    lines = [
+        one % 1,
+        '{"events": [%s, %s, {"system":"s"}, {"event_type":"custom","system":"s","metadata":{"ip":"1"}}]}' % (one % 2, one % 3),
+        '{"events": []}',
+        '{ "batch": 7, "events" : [%s]}' % (one % 4),
+        '{"events": "none"}',
+        '{"events": [1, ',
+        None,
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    checked = records.validate(records.parse_records(df))
+    assert sorted(r.user_id or "-" for r in records.accepted(checked).collect()) == ["-", "u1", "u2", "u3", "u4"]
+    assert sorted(r.reject_reason for r in records.rejected(checked).collect()) == ["broken json"] * 2 + ["event_type"] * 2
+    report = records.batch_report(checked).first()
+    assert (report.processed, report.total) == (5, 9)

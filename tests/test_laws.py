@@ -247,3 +247,24 @@ def test_digest_tails_with_many_more_values_than_slots(spark):
     for row in percentiles(merged, ["k"], [50, 90, 95, 99, 99.9]).collect():
         rank = rows.where(F.col("x") <= row.value).count() / 400_000
         assert abs(rank - row.p / 100) < RANK_ERROR
+
+
+def test_python_aggregates_keep_whole_numbers_and_spread_a_hot_key(spark):
+    """Longs beyond 2^53 stay exact; one key that is in a hundred tasks meets in several first."""
+    big = 2**60 + 1
+    rows = spark.range(5000, numPartitions=100).select(
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("k"), F.col("id") % 7)).when(F.col("id") % 50 > 1, "hot").alias("k"),
+        (F.lit(big) + F.col("id")).alias("most"), F.lit(1).cast("long").alias("n"),
+        F.timestamp_seconds("id").alias("at"), F.array(F.col("id")).alias("some"),
+    )
+    plus = lambda a, b: {
+        "most": max(a["most"], b["most"]), "n": a["n"] + b["n"], "at": min(a["at"], b["at"]),
+        "some": sorted({*a["some"], *b["some"]})[:3],
+    }
+    agg = PythonAgg(plus, fan=8)
+    got = {r.k: r for r in agg.merge(rows, ["k"]).collect()}
+    want = rows.groupBy("k").agg(F.max("most").alias("most"), F.sum("n").alias("n"), F.min("at").alias("at")).collect()
+    assert {r.k: (r.most, r.n, r["at"]) for r in got.values()} == {r.k: (r.most, r.n, r["at"]) for r in want}
+    assert got["hot"].some == [2, 3, 4] and got["hot"].most == big + 4999 and None in got
+    assert agg.merge(rows.where("false"), ["k"]).count() == 0
+    assert [r.n for r in agg.merge(rows, []).collect()] == [5000]

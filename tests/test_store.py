@@ -319,3 +319,17 @@ def test_large_digests_keep_their_size(spark, tmp_path):
     assert store.expire("kll", dt.datetime(2024, 1, 20)) == 1
     assert store.read("kll", "1d").agg(F.max(F.length("sketch"))).first()[0] > 100_000
     assert worst(store.merged("kll", "1d")) <= RANK_ERROR
+
+
+def test_intermediate_tables_can_be_forgotten(spark):
+    from pathlib import Path
+
+    from auditloom.session import forget, materialize, run_dir
+
+    df = materialize(spark.range(10).toDF("id"), "some")
+    assert df.count() == 10
+    folder = Path(run_dir(spark, "x").removeprefix("file:")).parent
+    assert list(folder.glob("some-*"))
+    forget(spark)
+    assert not folder.exists()
+    assert materialize(spark.range(3).toDF("id"), "some").count() == 3

@@ -220,3 +220,100 @@ def test_a_batch_cut_short_before_its_commit(spark, tmp_path, monkeypatch):
     assert counted(store) == 60
     assert sum(store.drop_old_versions(t) for t in STORED) > 0
     assert counted(store) == 60
+
+
+def test_running_statistics_go_on_and_forget(spark, tmp_path):
+    """A restart goes on from the state; a system that falls silent is forgotten, and starts anew."""
+    feed, out, cp = tmp_path / "feed", str(tmp_path / "s"), str(tmp_path / "cp")
+    day = 86_400
+
+    def at(first, n, system):
+        return make(spark, 0, n, start=1_704_067_200 + first * day, step=60).withColumn("system", F.lit(system))
+
+    def numbers():
+        stats = jobs.running_statistics(stream(spark, feed), out, cp, keep="30 days")
+        return {r.system: (r.n, round(r["mean"], 6), round(r.kurtosis, 6)) for r in stats.collect()}
+
+    def want(*parts):
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        stats = moments.present(moments.partial(whole, ["system"], "latency_ms"), ["system"])
+        return {r.system: (r.n, round(r["mean"], 6), round(r.kurtosis, 6)) for r in stats.collect()}
+
+    first, second = at(0, 300, "a"), at(1, 77, "a")
+    put(first.unionByName(at(0, 40, None)), feed, "b0")
+    assert numbers() == want(first, at(0, 40, None))
+    put(second, feed, "b1")
+    assert numbers() == want(first, second, at(0, 40, None))
+    put(at(50, 60, "b"), feed, "b2")
+    put(at(51, 60, "b"), feed, "b3")  # the watermark has passed the timers of the others
+    assert numbers() == want(at(50, 60, "b"), at(51, 60, "b"))
+    put(at(52, 9, "a"), feed, "b4")
+    assert numbers() == want(at(50, 60, "b"), at(51, 60, "b"), at(52, 9, "a"))
+
+
+def test_newest_states_are_folded(spark, tmp_path):
+    from auditloom.streaming.state import NewestStates
+
+    (tmp_path / "t").mkdir()
+    schema = spark.createDataFrame([], "k string, v long, gone boolean").schema
+    table = NewestStates(spark, str(tmp_path / "t"), schema, ["k"])
+    assert table.read().count() == 0
+    for batch in range(35):
+        rows = [(f"k{batch % 4}", batch, False), ("end", batch, batch >= 31)]
+        table.add(spark.createDataFrame(rows, schema).coalesce(1), batch)
+        if batch == 12:
+            table.add(spark.createDataFrame(rows, schema).coalesce(1), batch)  # run again
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [("k0", 32), ("k1", 33), ("k2", 34), ("k3", 31)]
+    assert len(list((tmp_path / "t").iterdir())) < 20
+
+
+def test_merged_states_are_those_of_all_values():
+    import numpy as np
+
+    from auditloom.streaming.state import merged, summed
+
+    x = np.random.default_rng(1).gamma(2.0, 30.0, 500)
+    state = (0,)
+    for part in np.split(x, [1, 2, 50, 51, 300]):
+        state = merged(state, summed(part, len(part)))
+    assert state[:7] == pytest.approx(summed(x, 0)[:7], rel=1e-9) and state[7] == 249
+
+
+def test_events_without_id_stay_out_of_the_state(spark, tmp_path):
+    mixed = make(spark, 0, 100).withColumn("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id")))
+    put(mixed, tmp_path / "feed", "b0")
+    put(mixed, tmp_path / "feed", "b1")
+    rows = jobs.deduplicated(stream(spark, tmp_path / "feed"), "30 days").select("event_id")
+    query = jobs.run(rows.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.where("event_id is null").count() == 100 and out.where("event_id is not null").count() == 50
+    state = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+    assert state and max(s["numRowsTotal"] for ops in state for s in ops) == 50
+
+
+def test_a_running_subscription(spark, tmp_path):
+    """Queries that go on: what is published while they run arrives, until they are stopped."""
+    import time
+
+    from auditloom.sources.tables import with_metadata
+
+    put(make(spark, 0, 20), tmp_path / "feed", "b0")
+    every = {"processingTime": "0 seconds"}
+    feed, got = str(tmp_path / "live"), []
+    (tmp_path / "live").mkdir()
+    live = with_metadata(stream(spark, tmp_path / "feed"))
+    queries = [
+        jobs.publish(live, feed, str(tmp_path / "cp-a"), trigger=every),
+        jobs.follow(jobs.subscribe(spark, feed), lambda df, i: got.append(df.count()), str(tmp_path / "cp-b"), trigger=every),
+    ]
+    try:
+        put(make(spark, 20, 50), tmp_path / "feed", "b1")
+        end = time.time() + 60
+        while sum(got) < 50 and time.time() < end:
+            time.sleep(0.3)
+        assert sum(got) == 50 and all(q.isActive for q in queries)
+    finally:
+        for q in queries:
+            q.stop()
