@@ -88,10 +88,16 @@ def forget(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+# What the optimizer says of an input whose size nobody knows is beyond this.
+_UNKNOWN_BYTES = 1 << 60
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a DataFrame reads, as the optimizer sees it after pruning."""
+    """Size of the tables a DataFrame reads, as the optimizer sees it after pruning; inputs
+    of unknown size do not count."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < _UNKNOWN_BYTES)
 
 
 def partitions_for(df: DataFrame, bytes_per_task: int = 128 << 20) -> int:
