@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +40,65 @@ def _byte_symbols() -> list[str]:
     return out
 
 
-_SLOT_BITS = 18
-_SLOT_MASK = (1 << _SLOT_BITS) - 1
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+#: A character of each class that is in no contraction, and of the same class everywhere.
+_LIKE = {_LETTER: "ɐ", _NUMBER: "²", _SPACE: "\t", _OTHER: "§"}
+_CODES = 0x110000
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
+def _own_classes() -> np.ndarray:
+    """Class of every code point in the tables of the regular expressions used here."""
+    out = np.full(_CODES, _OTHER, np.uint8)
+    every = "".join(chr(c) for c in range(_CODES) if not 0xD800 <= c < 0xE000)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+        for run in regex.finditer(pattern, every):
+            out[[ord(c) for c in run.group()]] = kind
+    return out
+
+
+@lru_cache(maxsize=1)
+def unlike_classes() -> dict[int, str]:
+    """Code points that the tokenizers library puts in another class, and a character of that.
+
+    The library has Unicode tables of its own, as old as it is. Its splitter is asked, not
+    its version: the code points of one class in a row are one token, unless the library
+    thinks otherwise; of each token it makes, the first character is then tried behind a
+    letter, a digit and a mark.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    def cuts(text: str) -> list[tuple[int, int]]:
+        return [span for _, span in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
+
+    own, runs = _own_classes(), []
+    for kind in range(4):
+        codes = np.flatnonzero(own == kind)
+        codes = codes[(codes < 0xD800) | (codes >= 0xE000)]
+        if kind == _SPACE:  # how white space is cut depends on what follows it
+            runs += [codes[i : i + 1] for i in range(len(codes))]
+        else:
+            runs += [codes[a:b] for a, b in cuts("".join(map(chr, codes.tolist())))]
+    classes = np.full(len(runs), _SPACE, np.uint8)
+    for kind, before in ((_LETTER, "x"), (_NUMBER, "1"), (_OTHER, "!")):
+        starts = {a for a, _ in cuts("".join(f"{before}{chr(r[0])}\n" for r in runs))}
+        classes[[i for i in range(len(runs)) if 3 * i + 1 not in starts]] = kind
+    return {
+        int(c): _LIKE[int(kind)] for run, kind in zip(runs, classes, strict=True) if own[run[0]] != kind for c in run
+    }
+
+
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
     spread = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (spread >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    return (spread >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _hash_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Open addressing with steps of one: the key in every slot (or -1), and its rank."""
-    if len(keys) > _SLOT_MASK // 2:
-        raise ValueError("too many merges for the table")
-    slots, ranks = np.full(_SLOT_MASK + 1, -1, np.int64), np.zeros(_SLOT_MASK + 1, np.int64)
-    rank, slot = np.arange(len(keys)), _slot(keys)
+def _hash_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Open addressing with steps of one: the key in every slot (or -1), its rank, and the
+    number of bits of a slot; a quarter of the slots are used at most."""
+    bits = max(18, (4 * len(keys)).bit_length())
+    mask = (1 << bits) - 1
+    slots, ranks = np.full(mask + 1, -1, np.int64), np.zeros(mask + 1, np.int64)
+    rank, slot = np.arange(len(keys)), _slot(keys, bits)
     while len(rank):
         free = slots[slot] < 0
         put = np.unique(slot[free], return_index=True)[1]
@@ -61,14 +106,18 @@ def _hash_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots[slot[chosen]], ranks[slot[chosen]] = keys[rank[chosen]], rank[chosen]
         left = np.ones(len(rank), bool)
         left[chosen] = False
-        rank, slot = rank[left], (slot[left] + 1) & _SLOT_MASK
-    return slots, ranks
+        rank, slot = rank[left], (slot[left] + 1) & mask
+    return slots, ranks, bits
 
 
 class ByteBpe:
-    """A vocabulary file of the tokenizers library, without normalizer or added prefix."""
+    """A vocabulary file of the tokenizers library, without normalizer or added prefix.
 
-    def __init__(self, path: str) -> None:
+    ``unlike`` are code points to be taken for others when a text is split
+    (:func:`unlike_classes`).
+    """
+
+    def __init__(self, path: str, unlike: dict[int, str] | None = None) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec["pre_tokenizer"]
@@ -78,15 +127,25 @@ class ByteBpe:
         self.first = np.array([vocab[c] for c in _byte_symbols()], np.int64)
         pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
-        self.slots, self.ranks = _hash_table(keys)
+        self.slots, self.ranks, self.bits = _hash_table(keys)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(PRE_TOKEN)
+        self.unlike = unlike or {}
+        self.odd = np.zeros(_CODES, bool)
+        self.odd[list(self.unlike)] = True
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text, as the library cuts them."""
+        if text.isascii() or not self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return self.pattern.findall(text)
+        spans = self.pattern.finditer(text.translate(self.unlike))
+        return [text[m.start() : m.end()] for m in spans]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        slot = _slot(key)
+        key, mask = left << 32 | right, len(self.slots) - 1
+        slot = _slot(key, self.bits)
         out = np.full(len(key), _NONE)
         ask = np.arange(len(key))
         while len(ask):
@@ -94,7 +153,7 @@ class ByteBpe:
             same = found == key
             out[ask[same]] = self.ranks[slot[same]]
             more = ~same & (found >= 0)
-            ask, key, slot = ask[more], key[more], (slot[more] + 1) & _SLOT_MASK
+            ask, key, slot = ask[more], key[more], (slot[more] + 1) & mask
         return out
 
     def counts(self, tokens: list[bytes]) -> np.ndarray:
@@ -127,9 +186,9 @@ class ByteBpe:
         return out
 
 
-def _counter(path: str, limit: int):
+def _counter(path: str, limit: int, unlike: dict[int, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path)
+        bpe = ByteBpe(path, unlike)
         known: dict[str, int] = {}
         for batch in batches:
             column = batch.column("text")
@@ -141,13 +200,13 @@ def _counter(path: str, limit: int):
                     if bpe.special is not None and bpe.special.search(text):
                         parts = bpe.special.split(text)
                         specials = len(parts) - 1
-                        found.append([t for p in parts for t in bpe.pattern.findall(p)])
+                        found.append([t for p in parts for t in bpe.split(p)])
                     else:
-                        found.append(bpe.pattern.findall(text))
+                        found.append(bpe.split(text))
                     extra.append(specials)
                 if len(known) > CACHE_ENTRIES:
                     known = {}
-                new = list(set().union(*found) - known.keys())
+                new = [t for t in set().union(*found) if t not in known]
                 known.update(zip(new, bpe.counts([t.encode() for t in new]).tolist(), strict=True))
                 n = [sum(map(known.__getitem__, t)) + e for t, e in zip(found, extra, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -168,9 +227,11 @@ def token_counts(documents: DataFrame, vocabulary: str, limit: int = 1024) -> Da
 
     Returns ``doc_id, n_bytes, n_tokens, over_limit`` for every input row. A null text is
     empty and has no tokens; special strings inside a text count as one token; an empty
-    table gives no rows; other columns are not read. Every executor needs the file.
+    table gives no rows; other columns are not read; a very long text is held by its task
+    with its pre-tokens. Every executor needs the file. Letters, numbers and white space
+    are those of the tokenizers library, which the driver needs to tell them.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(
-        _counter(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+        _counter(vocabulary, limit, unlike_classes()), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
