@@ -1,75 +1,75 @@
 """Interleaving of sources at target weights by proportionate-fair (Pfair) scheduling.
 
-Rows of a source form blocks of fixed length. With a target weight of ``quota`` slots in a
-cycle of ``cycle`` slots, block j (from 0) may be sent from slot ``floor(j * cycle / quota)``
-(its release) and must be sent before slot ``ceil((j + 1) * cycle / quota)`` (its deadline).
-Earliest deadline first among released blocks meets every deadline, so after any number of
-slots each source is less than one block away from its share. The order repeats after one
-cycle, so only one cycle is worked out; a block's slot follows from its number.
+Rows of a source form blocks of fixed length, one block a slot. With whole-number weights w
+of total W, block j of a source (from 0) is released at slot ``floor(j * W / w)`` and due
+before slot ``ceil((j + 1) * W / w)``. Earliest deadline first among the released blocks
+meets every deadline, so after any number of slots each source has been sent less than one
+block more or less than its exact share. After W slots every source has been sent exactly
+its weight in blocks and the order repeats; so these W slots are worked out once, on the
+driver, and a block's slot follows from its number.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping
+import heapq
+from collections.abc import Mapping, Sequence
+from math import gcd, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most sources a mix may have; the timetable of a cycle has a row for each slot.
-MAX_SOURCES = 1000
-_PART_DIGITS = 3
+from auditloom.llm.text import unused
 
+#: The total of the weights in lowest terms, at most: rows of the timetable that is sent to
+#: every executor (some 30 MB). It bounds how finely weights can be stated, and the sources.
+MAX_TOTAL = 1 << 20
+#: The total that weights made from row counts are given, about.
+TEMPERED_TOTAL = 1 << 16
+#: Rows of a part of a source, about; a part is one window group.
+_PART_ROWS = 1 << 18
 
-def quotas(weights: Mapping[str | None, int], cycle: int) -> dict[str | None, int]:
-    """Slots of a cycle for each source: weights rounded by largest remainder, one at least."""
-    order = sorted(weights, key=lambda s: (s is not None, s))
-    total = sum(weights.values())
-    if not order:
-        return {}
-    if min(weights.values()) < 0 or total <= 0:
-        raise ValueError("weights must not be negative, nor all zero")
-    if len(order) > cycle:
-        raise ValueError(f"{len(order)} sources do not fit in a cycle of {cycle} slots")
-    out = {s: max(1, cycle * weights[s] // total) for s in order}
-    by_rest = sorted(order, key=lambda s: -(cycle * weights[s] % total))
-    while (left := cycle - sum(out.values())) > 0:
-        for s in by_rest[:left]:
-            out[s] += 1
-    while sum(out.values()) > cycle:
-        out[max(order, key=lambda s: out[s])] -= 1
-    return out
 
+def tempered(counts: Mapping[str | None, int], total: int = TEMPERED_TOTAL) -> dict[str | None, int]:
+    """Targets between the natural and the even mix: the square root of each source's rows,
+    as whole numbers that add up to ``total`` at most, but for sources below one."""
+    roots = {s: isqrt(n * 1_000_000) for s, n in counts.items()}
+    every = sum(roots.values())
+    return {s: max(1, r * total // every if every > total else r) for s, r in roots.items()}
 
-def timetable(quota: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """``(source, block of the cycle, slot)`` of one cycle under earliest deadline first."""
-    order = sorted(quota, key=lambda s: (s is not None, s))
-    cycle, sent = sum(quota.values()), dict.fromkeys(order, 0)
-    out = []
-    for slot in range(cycle):
-        due = [
-            (-(-(sent[s] + 1) * cycle // quota[s]), i)
-            for i, s in enumerate(order)
-            if sent[s] < quota[s] and sent[s] * cycle // quota[s] <= slot
-        ]
-        source = order[min(due)[1]]
-        out.append((source, sent[source], slot))
-        sent[source] += 1
-    return out
 
+def whole_weights(weights: Mapping[str | None, int]) -> dict[str | None, int]:
+    """Weights in lowest terms, by source (null first)."""
+    if any(w < 1 for w in weights.values()):
+        raise ValueError("every source needs a positive whole weight")
+    order = sorted(weights, key=lambda s: (s is not None, s))
+    least = gcd(*weights.values()) if weights else 1
+    out = {s: weights[s] // least for s in order}
+    if sum(out.values()) > MAX_TOTAL:
+        raise ValueError(f"the weights add up to more than {MAX_TOTAL} in lowest terms: state them more coarsely")
+    return out
 
-def tempered(counts: Mapping[str | None, int], scale: int = 1000) -> dict[str | None, int]:
-    """Targets between the natural and the even mix: the square root of each source's rows."""
-    return {s: max(1, int(scale * n**0.5)) for s, n in counts.items()}
 
+def timetable(weights: Sequence[int]) -> list[tuple[int, int, int]]:
+    """``(source, block, slot)`` of the slots after which the order repeats.
 
-def source_counts(records: DataFrame, source: str) -> dict[str | None, int]:
-    """Rows of each source; refuses more than :data:`MAX_SOURCES` sources."""
-    rows = records.groupBy(F.col(source).cast("string").alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r["s"]: r["count"] for r in rows}
+    A queue holds the blocks to come by release, another the released ones by deadline
+    (then by source), one block of each source in one of them.
+    """
+    total = sum(weights)
+    coming = [(0, i, 0) for i in range(len(weights))]
+    heapq.heapify(coming)
+    ready: list[tuple[int, int, int]] = []
+    out = []
+    for slot in range(total):
+        while coming and coming[0][0] <= slot:
+            _, i, block = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(block + 1) * total // weights[i]), i, block))
+        _, i, block = heapq.heappop(ready)
+        out.append((i, block, slot))
+        if block + 1 < weights[i]:
+            heapq.heappush(coming, ((block + 1) * total // weights[i], i, block + 1))
+    return out
 
 
 def mix(
@@ -78,7 +78,6 @@ def mix(
     source: str = "source",
     key: Column | None = None,
     block_rows: int = 8,
-    cycle: int = 1000,
 ) -> DataFrame:
     """Place every record in the interleaved order: adds ``block``, ``release``, ``deadline``,
     ``slot`` and ``position``.
@@ -89,57 +88,67 @@ def mix(
     dropped or repeated: when a source has ended, its slots stay empty and the order closes
     up, so weights hold until the first source ends. Null is a source of its own; rows
     equal in key are interchangeable; an empty table gives no rows; an input column of the
-    same name as a result is replaced.
+    same name as a result is replaced, others may have any name; texts are only hashed, so
+    their length does not matter. Weights count as they are stated; only their total in
+    lowest terms is bounded (:data:`MAX_TOTAL`), and with it the number of sources.
 
     A source is cut into hash parts whose totals give the offsets of their rows, so a
-    source with a third of all rows is ranked by thousands of tasks.
+    source with a third of all rows is ranked by many tasks.
     """
     spark = records.sparkSession
     added = ("block", "release", "deadline", "slot", "position")
     kept = [c for c in records.columns if c.lower() not in added]
-    if targets is None:
-        targets = tempered(source_counts(records, source))
-    quota = quotas(targets, cycle)
+    counts = {
+        r["s"]: r["count"] for r in records.groupBy(F.col(source).cast("string").alias("s")).count().collect()
+    }
+    weights = whole_weights(tempered(counts) if targets is None else targets)
+    if missing := [s for s in counts if s not in weights]:
+        raise ValueError(f"sources without a target: {missing[:5]}")
+    total = sum(weights.values())
     if key is None:
         text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
         number = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
         key = F.concat(number, F.lit(":"), F.crc32(text).cast("string"))
+    digits = 1
+    while max(counts.values(), default=0) >> (4 * digits) > _PART_ROWS:
+        digits += 1
+    hashed, own, part, at, place, s_, p_, offset, source_, w_, block_, slot_ = unused(
+        kept, "hash", "own", "part", "at", "place", "s", "p", "offset", "source", "w", "block", "slot"
+    )
     keyed = records.select(
-        *[f"`{c}`" for c in kept], F.md5(key).alias("__hash"), F.col(source).cast("string").alias("__source")
-    ).withColumn("__part", F.substring("__hash", 1, _PART_DIGITS))
-    totals = keyed.groupBy("__source", "__part").agg(F.count("*").alias("__total"))
-    before = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        *[f"`{c}`" for c in kept], F.md5(key).alias(hashed), F.col(source).cast("string").alias(own)
+    ).withColumn(part, F.substring(hashed, 1, digits))
+    totals = keyed.groupBy(own, part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        F.col("__source").alias("__s"), F.col("__part").alias("__p"),
-        F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"),
-    )
-    inside = Window.partitionBy("__source", "__part").orderBy("__hash")
-    ranked = keyed.withColumn("__rank", F.row_number().over(inside) - 1).join(
-        offsets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p"))
+        F.col(own).alias(s_), F.col(part).alias(p_), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset)
     )
-    rows = [{"t": s, "quota": quota[s], "k": k, "at": at} for s, k, at in timetable(quota)]
-    table = spark.range(1).select(
-        F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<t: string, quota: long, k: long, at: long>>"))
+    inside = Window.partitionBy(own, part).orderBy(hashed)
+    ranked = (
+        keyed.withColumn(at, F.row_number().over(inside) - 1)
+        .join(offsets, F.col(own).eqNullSafe(F.col(s_)) & (F.col(part) == F.col(p_)))
+        .select(*[f"`{c}`" for c in kept], own, (F.col(at) + F.col(offset)).alias(at))
+        .withColumn(place, F.expr(f"{at} div {block_rows}"))
     )
-    sizes = F.broadcast(table.where("k = 0").select(F.col("t").alias("__t"), F.col("quota").alias("__quota")))
+    names = {i: source for i, source in enumerate(weights)}
+    rows = [(names[i], weights[names[i]], k, slot) for i, k, slot in timetable(list(weights.values()))]
+    kind = f"`{source_}` string, `{w_}` long, `{block_}` long, `{slot_}` long"
+    table = spark.createDataFrame(rows, kind)
+    sizes = F.broadcast(table.where(F.col(block_) == 0).select(F.col(source_).alias(s_), w_))
+    again = F.expr(f"{place} div {w_}")
     placed = (
-        ranked.join(sizes, F.col("__source").eqNullSafe(F.col("__t")), "left")
-        .withColumn("__at", F.col("__rank") + F.col("__offset"))
-        .withColumn("block", F.floor(F.col("__at") / block_rows))
-        .withColumn("__k", F.col("block") % F.coalesce("__quota", F.raise_error(F.lit("a source has no target"))))
-        .join(
-            F.broadcast(table.select(F.col("t").alias("__u"), F.col("k").alias("__l"), F.col("at").alias("__slot"))),
-            F.col("__source").eqNullSafe(F.col("__u")) & (F.col("__k") == F.col("__l")),
-        )
+        ranked.join(sizes, F.col(own).eqNullSafe(F.col(s_)))
+        .withColumn(part, F.col(place) % F.col(w_))
+        # MAX_TOTAL rows at most
+        .join(F.broadcast(table.drop(w_)), F.col(own).eqNullSafe(F.col(source_)) & (F.col(part) == F.col(block_)))
+        .withColumn(slot_, again * F.lit(total).cast("long") + F.col(slot_))
+        .withColumn(block_, F.col(place))
     )
-    total = F.lit(cycle).cast("long")
     return placed.select(
         *[f"`{c}`" for c in kept],
-        "block",
-        F.expr(f"block * {cycle} div __quota").alias("release"),
-        F.expr(f"((block + 1) * {cycle} + __quota - 1) div __quota").alias("deadline"),
-        (F.expr("block div __quota") * total + F.col("__slot")).alias("slot"),
-        (
-            (F.expr("block div __quota") * total + F.col("__slot")) * block_rows + F.col("__at") % block_rows
-        ).alias("position"),
+        F.col(block_).alias("block"),
+        F.expr(f"{block_} * {total} div {w_}").alias("release"),
+        F.expr(f"(({block_} + 1) * {total} + {w_} - 1) div {w_}").alias("deadline"),
+        F.col(slot_).alias("slot"),
+        (F.col(slot_) * block_rows + F.col(at) % block_rows).alias("position"),
     )

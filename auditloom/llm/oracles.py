@@ -84,39 +84,36 @@ OP9 = f"""
 with recursive {_CRC},
 counts as (
   select source, count(*) as n from documents group by source),
-weights as (
-  select source, greatest(1, cast(floor(1000 * sqrt(n)) as bigint)) as w from counts),
+roots as (
+  select source, n, cast(floor(1000 * sqrt(n)) as bigint) as root, (select cast(sum(floor(1000 * sqrt(n))) as bigint) from counts) as every
+  from counts),
+raw as (
+  select source, n, greatest(1, case when every > 65536 then root * 65536 // every else root end) as w from roots),
 shares as (
-  select source, greatest(1, 1000 * w // (select sum(w) from weights)) as base,
-    (1000 * w) % (select sum(w) from weights) as rest from weights),
-quotas as (
-  select source, cast(base + case when row_number() over (order by rest desc, source nulls first)
-      <= 1000 - (select sum(base) from shares) then 1 else 0 end as bigint) as quota,
-    row_number() over (order by source nulls first) as i
-  from shares),
+  select source, n, cast(w // (select list_reduce(list(w), lambda x, y: gcd(x, y)) from raw) as bigint) as w,
+    row_number() over (order by source nulls first) as i from raw),
 lists as (
-  select list(quota order by i) as q from quotas),
+  select list(w order by i) as q, cast(sum(w) as bigint) as total,
+    max(((n + 7) // 8 * (select sum(w) from shares) + w - 1) // w) as slots from shares),
 edf as (
-  select -1 as slot, 0::bigint as pick, list_transform(q, lambda x: 0::bigint) as sent, q from lists
+  select -1 as slot, 0::bigint as pick, 0::bigint as k, list_transform(q, lambda x: 0::bigint) as sent, q, total, slots from lists
   union all
-  select slot + 1, chosen, list_transform(sent, lambda x, k: x + case when k = chosen then 1 else 0 end), q
-  from (select slot, sent, q, list_min(list_transform(range(1, len(q) + 1), lambda k:
-      case when sent[k] < q[k] and sent[k] * 1000 // q[k] <= slot + 1
-        then ((sent[k] + 1) * 1000 + q[k] - 1) // q[k] * 100000 + k end)) % 100000 as chosen
-    from edf where slot < 999)),
-timetable as (
-  select pick, slot, row_number() over (partition by pick order by slot) - 1 as k from edf where slot >= 0),
+  select slot + 1, chosen, sent[chosen], list_transform(sent, lambda x, k: x + case when k = chosen then 1 else 0 end),
+    q, total, slots
+  from (select slot, sent, q, total, slots, list_min(list_transform(range(1, len(q) + 1), lambda k:
+      case when sent[k] * total // q[k] <= slot + 1
+        then ((sent[k] + 1) * total + q[k] - 1) // q[k] * 100000 + k end)) % 100000 as chosen
+    from edf where slot < slots - 1)),
 ranked as (
   select doc_id, source, row_number() over (partition by source order by
     md5(concat(coalesce(cast(doc_id as varchar), 'null'), ':', cast(text_crc32 as varchar)))) - 1 as pos
   from summed)
 select r.doc_id, r.source, r.pos // 8 as block,
-  (r.pos // 8) * 1000 // q.quota as release,
-  ((r.pos // 8 + 1) * 1000 + q.quota - 1) // q.quota as deadline,
-  (r.pos // 8) // q.quota * 1000 + t.slot as slot,
-  ((r.pos // 8) // q.quota * 1000 + t.slot) * 8 + r.pos % 8 as position
-from ranked r join quotas q on r.source is not distinct from q.source
-join timetable t on t.pick = q.i and t.k = (r.pos // 8) % q.quota
+  (r.pos // 8) * l.total // q.w as release,
+  ((r.pos // 8 + 1) * l.total + q.w - 1) // q.w as deadline,
+  cast(t.slot as bigint) as slot, cast(t.slot as bigint) * 8 + r.pos % 8 as position
+from ranked r join shares q on r.source is not distinct from q.source
+join edf t on t.slot >= 0 and t.pick = q.i and t.k = r.pos // 8, lists l
 """
 
 OP10 = f"""

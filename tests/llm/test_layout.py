@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditloom.llm.lines import line_dedup
-from auditloom.llm.mixing import mix, quotas, timetable
+from auditloom.llm.mixing import mix, timetable, whole_weights
 from auditloom.llm.sharding import assign_shards, sharded_digest
 
 from .conftest import EDGE
@@ -33,31 +34,85 @@ def test_boilerplate_of_a_site(spark):
     assert line_dedup(pages.where("false")).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 1000), min_size=1, max_size=9))
-def test_every_source_is_within_one_block_of_its_share(weights):
-    quota = quotas({f"s{i}": w for i, w in enumerate(weights)}, 97)
-    assert sum(quota.values()) == 97 and min(quota.values()) >= 1
-    sent = dict.fromkeys(quota, 0)
-    for source, block, slot in timetable(quota):
-        assert block == sent[source]
-        assert block * 97 // quota[source] <= slot < -(-(block + 1) * 97 // quota[source])
+def earliest_deadlines(weights):
+    """The plain loop over slots: ``(i, block, slot)`` of each."""
+    total, sent, out = sum(weights), [0] * len(weights), []
+    for t in range(total):
+        due = [
+            (-(-(n + 1) * total // w), i) for i, (n, w) in enumerate(zip(sent, weights)) if n < w and n * total // w <= t
+        ]
+        i = min(due)[1]
+        out.append((i, sent[i], t))
+        sent[i] += 1
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=9))
+def test_timetable_is_the_plain_loop(weights):
+    assert timetable(weights) == earliest_deadlines(weights)
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [[100_000, 33_333, 7, 1], [500_000, *np.random.default_rng(7).integers(1, 500, 2000).tolist()], [1] * 2000, [999_983, 2, 1]],
+)
+def test_every_prefix_is_within_one_block(weights):
+    """Up to a million slots, up to 2,000 sources: each block inside its window, in order.
+
+    A source whose blocks all lie in their windows is below one block off after every slot.
+    """
+    total, sent = sum(weights), [0] * len(weights)
+    for t, (i, block, slot) in enumerate(timetable(weights)):
+        w = weights[i]
+        assert slot == t and block == sent[i]
+        assert block * total // w <= slot < -(-(block + 1) * total // w)
+        sent[i] += 1
+    assert sent == list(weights)
+
+
+def test_targets_are_exact(spark):
+    """No rounding adds up, however small a weight; rows of a source go round several times."""
+    weights = {"a": 5_000, "b": 1_666, "c": 7, "d": 1}
+    rows = spark.range(0, 40_000).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("text"),
+        F.expr("case when id < 29920 then 'a' when id < 39930 then 'b' when id < 39985 then 'c' else 'd' end").alias("source"),
+    )
+    placed = mix(rows, weights, block_rows=1).collect()
+    by_slot = sorted((r.slot, r.source) for r in placed)
+    assert len({s for s, _ in by_slot}) == 40_000
+    sent, total = Counter(), sum(weights.values())
+    for slot, source in by_slot:
+        if slot >= 39_000:
+            break
         sent[source] += 1
-        for s, n in sent.items():
-            assert abs(n - Fraction(quota[s] * (slot + 1), 97)) < 1
-    assert sent == quota
+        for s, w in weights.items():
+            assert abs(sent[s] - Fraction(w * (slot + 1), total)) < 1
 
 
 def test_mix_keeps_every_row_once(spark, docs_of):
     docs = docs_of([*EDGE, *[f"text {i}" for i in range(100)]], clash=False)
-    rows = mix(docs, block_rows=4, cycle=20).collect()
+    rows = mix(docs, block_rows=4).collect()
     assert len(rows) == len(EDGE) + 100
     assert len({r.position for r in rows}) == len(rows)
     assert all(r.release <= r.slot < r.deadline for r in rows)
     assert mix(docs_of([])).count() == 0
-    with pytest.raises(ValueError):
-        quotas({"a": 1, "b": 1}, 1)
+    with pytest.raises(ValueError, match="without a target"):
+        mix(docs, {"s0": 1})
+    with pytest.raises(ValueError, match="positive"):
+        mix(docs, {None: 1, "s0": 1, "s1": 0, "s2": 1})
+    with pytest.raises(ValueError, match="coarsely"):
+        whole_weights({"a": 1, "b": 1 << 40})
     assert mix(docs_of(EDGE)).columns[-1] == "position"
+    clash = docs.selectExpr("*", "1 as __at", "2 as _block", "3 as __hash", "4 as slot", "5 as i", "6 as n")
+    assert mix(clash).columns == [*docs.columns, "__at", "_block", "__hash", "i", "n", "block", "release", "deadline", "slot", "position"]
+    assert mix(clash).count() == len(rows)
+
+
+def test_many_sources(spark):
+    rows = spark.range(0, 3000).selectExpr("id as doc_id", "'x' as text", "concat('s', id % 1500) as source")
+    placed = mix(rows, block_rows=2).collect()
+    assert len(placed) == 3000 and len({r.position for r in placed}) == 3000
 
 
 def test_few_records_move(spark):
