@@ -273,9 +273,10 @@ def d11_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- filters ------------------------------------------------------------------------
-SIZE = bloom.shape(2_000, 0.001)
-_B, _K = SIZE.blocks, SIZE.hashes
-_M = _B * _K * bloom.WORD
+FIRST, RATE = 2_000, 0.001  # filters are as large as the largest key needs
+_K = bloom.shape(FIRST, RATE).hashes
+_B = "(select blocks from sizes)"
+_M = f"({_B} * {_K * bloom.WORD})"
 
 
 def _daily_users(spark: SparkSession, d: str) -> DataFrame:
@@ -285,7 +286,10 @@ def _daily_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 _USERS = f"users as (select distinct system, {DAY} as bucket, user_id as value from audit)"
-_BITS = f"bits as (select distinct * from ({md5_bits_sql('users', 'system, bucket', 'value', _K, _B)}))"
+_SIZES = f"""sizes as (select cast(ceil(capacity / {bloom.values_per_block(RATE, _K)!r}) as bigint) as blocks
+    from (select min({FIRST} * 4 ** i) as capacity from unnest(range(20)) as t(i)
+      where {FIRST} * 4 ** i >= (select max(c) from (select count(*) as c from users group by system, bucket))))"""
+_BITS = f"{_SIZES}, bits as (select distinct * from ({md5_bits_sql('users', 'system, bucket', 'value', _K, _B)}))"
 
 
 @query(
@@ -303,8 +307,12 @@ def d12(spark: SparkSession, d: str) -> DataFrame:
     return labelled(rows.withColumn("hashes", bloom.hashes_col(F.col("capacity"), F.col("bits"))), "1d")
 
 
+def _size(users: DataFrame) -> bloom.Shape:
+    return bloom.shape_for(users, ["system", "bucket_start"], "value", RATE, FIRST)
+
+
 def _filters(users: DataFrame) -> DataFrame:
-    return bloom.build(users, ["system", "bucket_start"], "value", SIZE, "md5")
+    return bloom.build(users, ["system", "bucket_start"], "value", _size(users), "md5")
 
 
 def _ones(filters: DataFrame) -> Column:
@@ -345,7 +353,7 @@ def d14(spark: SparkSession, d: str) -> DataFrame:
     users = _daily_users(spark, d)
     asked = users.withColumn("system", other)
     keys = ["system", "bucket_start"]
-    return labelled(bloom.contains(asked, _filters(users), keys, "value", SIZE, "md5"), "1d")
+    return labelled(bloom.contains(asked, _filters(users), keys, "value", _size(users), "md5"), "1d")
 
 
 @query(
@@ -367,7 +375,7 @@ def d16(spark: SparkSession, d: str) -> DataFrame:
     users = _daily_users(spark, d)
     merged = materialize(bloom.intersection(_filters(users), ["bucket_start"], 3), "filters")
     common = in_all(users, "system", ["bucket_start"])
-    found = bloom.contains(common, merged, ["bucket_start"], "value", SIZE, "md5")
+    found = bloom.contains(common, merged, ["bucket_start"], "value", _size(users), "md5")
     complete = found.groupBy("bucket_start").agg(F.bool_and("accessed").alias("ok"))
     out = _set_bits(merged, ["bucket_start"]).join(complete, "bucket_start", "left")
     return labelled(out.withColumn("holds_all_common", F.coalesce("ok", F.lit(True))).drop("ok"), "1d")

@@ -15,7 +15,7 @@ from auditloom.catalog.statistics import _RUNNING_SQL, _RUNNING_STATS
 from auditloom.functions.buckets import bucket_label, bucket_start
 from auditloom.functions.hashing import seeded_bucket
 from auditloom.functions.numbers import percentile_label_col, tidy
-from auditloom.operators import heavy, members, moments, rollup
+from auditloom.operators import heavy, members, moments, plain, rollup
 from auditloom.operators.distinct import (
     LG_K, checked, exact_distinct, hll_rollup, merge_hll,
 )
@@ -142,8 +142,10 @@ def d54(spark: SparkSession, d: str) -> DataFrame:
     merged = rollup.with_sources(hll(lg_k=LG_K), partials, ["system"], "worker")
     exact = shared.groupBy("system").agg(F.count_distinct("user_id").alias("exact"))
     result = _check(merged, exact, ["system"])
-    sources = merged.select("system", "source_count", F.array_join("sources", ",").alias("sources"))
-    return result.join(sources, "system")
+    names = rollup.source_names(partials, ["system"], "worker").groupBy("system").agg(  # eight at most
+        plain.joined_text(F.col("worker"), F.col("worker"), ",").alias("sources")
+    )
+    return result.join(merged.select("system", "source_count"), "system").join(names, "system")
 
 
 @query(
@@ -270,8 +272,8 @@ def f03(spark: SparkSession, d: str) -> DataFrame:
 )
 def g01(spark: SparkSession, d: str) -> DataFrame:
     daily = at_window(members.member_rollup(audit_events(spark, d)), "1d")
-    plain = daily.withColumn("value", F.element_at(F.split("value", ":"), 1))
-    return labelled(members.in_any(plain, ["metric", "bucket_start"]), "1d")
+    users = daily.withColumn("value", F.element_at(F.split("value", ":"), 1))
+    return labelled(members.in_any(users, ["metric", "bucket_start"]), "1d")
 
 
 @query(
@@ -281,8 +283,8 @@ def g01(spark: SparkSession, d: str) -> DataFrame:
 )
 def g02(spark: SparkSession, d: str) -> DataFrame:
     daily = at_window(members.member_rollup(audit_events(spark, d)), "1d")
-    plain = daily.withColumn("value", F.element_at(F.split("value", ":"), 1))
-    return labelled(members.in_all(plain, "system", ["metric", "bucket_start"]), "1d")
+    users = daily.withColumn("value", F.element_at(F.split("value", ":"), 1))
+    return labelled(members.in_all(users, "system", ["metric", "bucket_start"]), "1d")
 
 
 # ---- scalar functions -------------------------------------------------------------------------

@@ -288,6 +288,25 @@ def d44(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "d44_list_chunks",
+    f"""with {AUDIT}, r as (select system, event_id, row_number() over (partition by system order by ts, event_id) - 1 as pos from audit),
+      u as (select system, user_id, row_number() over (partition by system order by user_id) - 1 as pos
+        from (select distinct system, user_id from audit))
+    select 'list' as kind, system, pos // 100 as chunk, count(*) as n, md5(string_agg(cast(event_id as varchar), ',' order by pos)) as items from r group by all
+    union all select 'set', system, pos // 50, count(*), md5(string_agg(user_id, ',' order by pos)) from u group by all""",
+)
+def d44_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All events of a system in order, and all its users, as lists of bounded length."""
+    rows = audit_events(spark, d).withColumn("id", F.col("event_id").cast("string"))
+    lists = plain.list_chunks(rows, ["system"], "id", ["ts", "event_id"], 100)
+    sets = plain.set_chunks(rows, ["system"], "user_id", 50)
+    shown = [F.size("items").cast("long").alias("n"), F.md5(F.array_join("items", ",")).alias("items")]
+    return lists.select(F.lit("list").alias("kind"), "system", "chunk", *shown).unionByName(
+        sets.select(F.lit("set").alias("kind"), "system", "chunk", *shown)
+    )
+
+
 @query(
     "d45_sum_option",
     f"""with {AUDIT} select system, {DAY} as bucket, cast(sum(cast(status_code as integer)) as bigint) as codes,

@@ -68,6 +68,20 @@ def shape(capacity: int, error_rate: float) -> Shape:
     return Shape(capacity, error_rate, bits, hashes, blocks)
 
 
+def shape_for(
+    members: DataFrame, keys: Sequence[str], value: str, error_rate: float, initial: int = 2_000, growth: int = 4
+) -> Shape:
+    """Filter size for the largest key: the first of ``initial * growth^i`` that holds it."""
+    counts = members.select(*keys, value).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    need, capacity = counts.agg(F.max("n")).first()[0] or 0, initial
+    while capacity < need:
+        capacity *= growth
+    fixed = shape(initial, error_rate)
+    return Shape(capacity, error_rate, fixed.bits * (capacity // initial), fixed.hashes, math.ceil(
+        capacity / values_per_block(error_rate, fixed.hashes)
+    ))
+
+
 def bits_col(capacity: Column, error_rate: Column) -> Column:
     """:func:`shape` bits for columns."""
     return F.floor(-capacity * F.ln(error_rate) / F.pow(F.ln(F.lit(2.0)), F.lit(2.0))).cast("long")

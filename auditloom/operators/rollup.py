@@ -60,14 +60,18 @@ def of_buckets(rollup: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def with_sources(agg: ExprAgg, partials: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
-    """Merge partial states and tell how many and which sources took part."""
-    who = F.array_sort(F.collect_set(source))
+    """Merge partial states and tell from how many sources they came.
+
+    Which ones is a table of its own, :func:`source_names`: a merge may have any number.
+    """
     merged = [F.expr(text).alias(name) for name, text in agg.merge_exprs]
-    return (
-        partials.groupBy(*keys)
-        .agg(*merged, who.alias("sources"))
-        .withColumn("source_count", F.size("sources").cast("long"))
-    )
+    counted = partials.select(*keys, source).distinct().groupBy(*keys).agg(F.count(source).alias("source_count"))
+    return join_groups(partials.groupBy(*keys).agg(*merged), counted, keys)
+
+
+def source_names(partials: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """The sources that took part in a merge, one row each."""
+    return partials.where(F.col(source).isNotNull()).select(*keys, source).distinct()
 
 
 def bucket_number(start: Column, window: str) -> Column:

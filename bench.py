@@ -25,6 +25,7 @@ from auditloom.session import RUNTIME_CONF, materialize, run_dir  # noqa: E402
 from auditloom.sources import records  # noqa: E402
 from auditloom.sources.store import RollupStore, coarser  # noqa: E402
 from auditloom.sources.tables import audit_events, latest_ts, with_metadata  # noqa: E402
+from auditloom.streaming import jobs  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -79,8 +80,8 @@ def cases(spark: SparkSession) -> tuple[dict[str, Callable[[], None]], int, dict
         F.concat_ws(":", "user_id", "system").alias("value"),
     )
     known = store.read("member", "1d").where("metric = 'user_activity'")
-    size = bloom.shape(10_000, 0.001)
     filter_keys = ["system", "bucket_start"]
+    size = bloom.shape_for(known, filter_keys, "value", 0.001)
     filters = materialize(bloom.build(known, filter_keys, "value", size), "filters")
     counts = materialize(heavy.merge_counts(store.read("topk"), ["metric", "system"]), "counts")
     cells = materialize(countmin.build(counts, ["metric", "system"]), "cells")
@@ -102,11 +103,30 @@ def cases(spark: SparkSession) -> tuple[dict[str, Callable[[], None]], int, dict
         top = store.read("topk", "1h", start=as_of, end=as_of)
         sink(reports.system_summary(hourly, daily, top, as_of, 10))
 
+    def maintain() -> None:
+        # one batch of all events into a store: every table and the ledger, by one commit
+        jobs.apply_batch(RollupStore(spark, run_dir(spark, "bench-batch")), events, 0)
+
+    deltas = RollupStore(spark, run_dir(spark, "bench-deltas"))
+    for part in range(2):
+        deltas.write("topk", heavy.topk_rollup(events.where(F.col("event_id") % 2 == part)), part)
+
+    def compaction() -> None:
+        # the commit after it is taken back, so that it can be repeated
+        before = set(deltas.state().live("topk"))
+        deltas.compact("topk")
+        state = deltas.state()
+        after = set(state.live("topk"))
+        deltas.log.commit(state, add=before - after, remove=after - before)
+
     timed = events.withColumn("bucket_start", bucket_start(F.col("ts"), "1d"))
     sets = [[], ["system"], ["bucket_start"], ["system", "bucket_start"]]
     out = {
         "ingest_validate": ingest,
         "ingest_all_rollups": ingest_and_rollup,
+        "apply_batch": maintain,
+        "store_compact": compaction,
+        "store_at_days": lambda: sink(deltas.at("topk", "1d")),
         "rollup_hll": lambda: sink(hll_rollup(events)),
         "rollup_topk": lambda: sink(heavy.topk_rollup(events)),
         "rollup_member": lambda: sink(members.member_rollup(events)),
