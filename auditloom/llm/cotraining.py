@@ -319,8 +319,9 @@ def quality_scores(documents: DataFrame, model: QualityModel) -> DataFrame:
     """Calibrated probability of good quality of every document, by view and combined.
 
     Returns ``doc_id, content, metadata, score`` for every input row. Nulls in any column
-    are values of their own (a null text is empty); equal rows get equal scores; an empty
-    table gives no rows; other columns are not read.
+    are values of their own (a null text is empty); equal rows get equal scores; a very long
+    text is read alone, its whole length counts; an empty table gives no rows; other columns
+    are not read.
     """
     return _inputs(documents).mapInArrow(
         _score(model), "doc_id long, content double, metadata double, score double"

@@ -247,7 +247,8 @@ def quality_rules(
     and fails the base rules; an input column of the same name as a result is replaced;
     repeated rows get equal results; an empty table gives no rows. Vote combinations are
     counted over all documents; there are at most 3 to the number of rules, so they fit on
-    the driver. The texts are read twice, to count votes and to judge.
+    the driver. The texts are read twice, to count votes and to judge; a very long text is
+    judged in blocks, so its length alone changes no vote.
     """
     rules = rules or default_rules()
     names = [f"vote_{r.name}" for r in rules]

@@ -131,7 +131,8 @@ def sharded_digest(
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, one row for each
     input row. A null text is empty; a null doc_id is one key; rows equal in all these
-    columns are interchangeable; an empty table gives no rows; other columns are not read.
+    columns are interchangeable; a text is only measured and summed up, whatever its length;
+    an empty table gives no rows; other columns are not read.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = documents.select(

@@ -199,8 +199,8 @@ def simhash_groups(documents: DataFrame, shingle: int = 3, radius: int = 3) -> D
     most ``radius`` differing bits reach; ``mark`` is the XXH64 of the text, which tells
     rows of one doc_id apart. A null or empty text has fingerprint zero and is linked like
     any other; a null doc_id counts as no doc_id (a component without any has none);
-    repeated rows fall into one component; an empty table gives no rows; other columns are
-    not read.
+    repeated rows fall into one component; a very long text is hashed in steps; an empty
+    table gives no rows; other columns are not read.
     """
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")

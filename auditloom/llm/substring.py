@@ -332,7 +332,8 @@ def substring_dedup(
 
     Returns ``doc_id, n_words, n_removed, kept_text, kept_sha256`` with a row for every
     input row. Windows are judged on the input. A null text has no words; a text below
-    ``width`` words keeps them all; an empty table gives no rows; other columns are not read.
+    ``width`` words keeps them all; a very long text is routed window by window, and a task
+    holds its words; an empty table gives no rows; other columns are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     anchors = docs.mapInArrow(_pack(width, gram), "doc_id long, mark int, anchor long, n long")

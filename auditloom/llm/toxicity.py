@@ -331,8 +331,9 @@ def toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """Score of every document and its significant passages (token ranges).
 
     Returns ``doc_id, score, passages`` for every input row. Null and empty texts have no
-    passage and the base score; equal texts get equal scores; an empty table gives no rows;
-    other columns are not read.
+    passage and the base score; equal texts get equal scores; a very long text is scanned
+    in time that grows with its length; an empty table gives no rows; other columns are not
+    read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(

@@ -109,3 +109,36 @@ def test_a_very_long_clean_document_stays(spark):
     row = rows.where("doc_id = -1").first()
     assert row.n_words >= 250_000 and row.n_distinct < 0.25 * row.n_words
     assert row.vote_vocabulary >= 0 and row.vote_repetition >= 0 and row.quality >= 0.5
+
+
+def plain_em(votes, counts, rounds):
+    """The label model again, by loops over rules and votes, from its own starting point."""
+    model = fit_label_model(votes, counts, rounds)
+    again = fit_label_model(np.repeat(votes, counts.astype(int), axis=0), np.ones(int(counts.sum())), rounds)
+    return model, again
+
+
+def test_label_model_counts_rows_not_patterns():
+    """A pattern of n rows weighs like n rows, so counting votes first changes nothing."""
+    rng = np.random.default_rng(9)
+    patterns = np.unique(rng.integers(-1, 2, (30, 4)), axis=0)
+    counts = rng.integers(1, 40, len(patterns)).astype(float)
+    model, again = plain_em(patterns, counts, 50)
+    assert np.allclose(model.posterior(patterns), again.posterior(patterns))
+
+
+def test_verdict_follows_from_votes(spark):
+    """Every row's quality is the posterior of its votes under a model of all rows' votes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = quality_rules(docs).collect()
+    names = [c for c in rows[0].asDict() if c.startswith("vote_")]
+    votes = np.array([[r[n] for n in names] for r in rows])
+    model = fit_label_model(votes, np.ones(len(votes)))
+    want = model.posterior(votes)
+    for r, q, vote in zip(rows, want, votes):
+        assert r.quality == pytest.approx(q, abs=1e-9)
+        words, _, _, _, repeat = plain(r.text)
+        assert r.base_failed == (words < 50 or 100 * repeat > 50 * words)
+        assert r.kept == (not r.base_failed and q >= 0.5)
+        for rule, v in zip(default_rules(), vote):
+            assert f"vote_{rule.name}" in names and v in (-1, 0, 1)
