@@ -18,10 +18,10 @@ from auditloom.functions.buckets import bucket_start, bucket_start_by
 from auditloom.functions.numbers import percentile_label_col, ranked_text, tidy
 from auditloom.operators import heavy
 from auditloom.operators.compiled import MAINTAINED
-from auditloom.operators.distinct import checked, hll_rollup, present_in_all_stored
+from auditloom.operators.distinct import checked, exact_distinct, hll_rollup, present_in_all_stored
 from auditloom.operators.heavy import topk_rollup
 from auditloom.operators.quantiles import kll_rollup, percentiles, within_rank_error
-from auditloom.operators.routing import MetricRule, value_counts
+from auditloom.operators.routing import RULES, MetricRule, rules_for, value_counts
 from auditloom.plans import reports
 from auditloom.schema import ROLLUP_SCHEMAS
 from auditloom.session import materialize, run_dir, tune
@@ -91,7 +91,7 @@ def i04_crash(spark: SparkSession, d: str) -> DataFrame:
 def k02_filter(spark: SparkSession, d: str) -> DataFrame:
     """Activity of a user, from filters that batches keep up to date and no stored ids."""
     store, events = RollupStore(spark, run_dir(spark, "filters")), audit_events(spark, d)
-    rules = [r for r in jobs_rules("bloom") if r.metric == "user_activity"]
+    rules = [r for r in rules_for("bloom", RULES) if r.metric == "user_activity"]
     for batch in range(4):
         jobs.apply_batch(store, events.where(F.col("event_id") % 4 == batch), batch, rules=rules)
         if batch == 1:
@@ -122,13 +122,6 @@ def k02_filter(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def jobs_rules(structure: str) -> list[MetricRule]:
-    """The given rules of a structure."""
-    from auditloom.operators.routing import RULES, rules_for
-
-    return list(rules_for(structure, RULES))
-
-
 # ---- bounded counters ----------------------------------------------------------------------
 _SLOTS = 15
 # half of the events are of a few kinds, the others of a kind of their own
@@ -354,9 +347,28 @@ def k10_stored(spark: SparkSession, d: str) -> DataFrame:
     return labelled(report.withColumn("items", ranked_text(F.col("items"))), "1d")
 
 
-# every line item is an event of one day: many more values a key than a digest has room for
+@query("k01_distinct_count_stored", ORACLES["k01_distinct_count_report"])
+def k01_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct counts by day from the hours of a maintained store."""
+    report = reports.distinct_counts(_maintained(spark, d, ("hll",)).at("hll", "1d")).withColumnRenamed("count", "estimate")
+    keys = ["metric", "system", "window", "bucket_start"]
+    base = value_counts(audit_events(spark, d), rules_for("hll"), "1d")
+    result = checked(report, exact_distinct(base, keys), keys, BOUND)
+    return labelled(result.join(report.select(*keys, "accuracy"), keys), "1d")
 
 
+@query("k05_percentile_report_stored", ORACLES["k05_percentile_report_digest"])
+def k05_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The percentile report by day from the hours of a maintained store."""
+    report = reports.percentile_report(_maintained(spark, d, ("kll",)).at("kll", "1d"))
+    values = report.select(*DAILY, F.explode("percentiles").alias("label", "value"))
+    values = values.withColumn("p", F.substring("label", 2, 9).cast("double"))
+    rows = audit_events(spark, d).withColumn("bucket_start", bucket_start(F.col("ts"), "1d"))
+    near = within_rank_error(rows, DAILY, "latency_ms", reports.DEFAULT_PERCENTILES, values)
+    return labelled(near.withColumn("label", percentile_label_col(F.col("p"))).drop("p"), "1d")
+
+
+# every line item is an event of one day: many more values a key than a digest has room for
 
 @query(
     "k07_latency_stored_large",

@@ -50,6 +50,7 @@ def window_spec(code: str) -> WindowSpec:
     for spec in WINDOWS:
         if spec.code == code:
             return spec
+    # fixed value: the wording of the message
     raise ValueError(f"Invalid window: {code}. Valid options: {', '.join(WINDOW_CODES)}")
 
 

@@ -97,6 +97,7 @@ def batch_report(validated: DataFrame) -> DataFrame:
     report = validated.agg(
         F.count_if(F.col("reject_reason").isNull()).alias("processed"), F.count(F.lit(1)).alias("total")
     )
+    # fixed value: the wording of the message
     text = F.format_string("Processed %d/%d events", "processed", "total")
     return report.withColumn("message", text)
 

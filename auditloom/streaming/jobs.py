@@ -55,12 +55,12 @@ def run(
     return query
 
 
-def to_table(stream: DataFrame, label: str) -> DataFrame:
+def to_table(stream: DataFrame, label: str, state_partitions: int | None = None) -> DataFrame:
     """Run a stream into a Parquet table in the shared folder and read it."""
     spark = stream.sparkSession
     path = run_dir(spark, label)
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data")
-    run(writer, f"{path}/checkpoint")
+    run(writer, f"{path}/checkpoint", state_partitions=state_partitions)
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 

@@ -3,6 +3,13 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
 return the columns of ``documents``. A caller may write each stage's result as Parquet and
 read it back as the next one's ``docs``, as :func:`run` does.
+
+What holds for every stage: an empty table gives no rows; columns beyond those of
+``documents`` pass through whatever their names; a null text counts as empty and a null
+doc_id or source as a value of its own; texts are read whole, however long. Rows repeated as
+a whole stay together through the quality, decontamination, mixing and sharding stages, and
+the near-copy stage keeps one of them. No stage relies on the order of its input but the
+last one (see :func:`shard`).
 """
 
 from __future__ import annotations
@@ -81,7 +88,9 @@ def _file_order() -> tuple[Column, Column]:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every document that is left; slots keep the order of the files.
 
-    Documents that come from no file are mixed here.
+    Documents that come from no file are mixed here. The order is that of the files the
+    mixing stage wrote, by part number and row; whoever writes these files anew in between,
+    such as a compaction, loses the mix, and slots then follow the new files.
     """
     order = _file_order()
     try:

@@ -333,3 +333,101 @@ def test_intermediate_tables_can_be_forgotten(spark):
     forget(spark)
     assert not folder.exists()
     assert materialize(spark.range(3).toDF("id"), "some").count() == 3
+
+
+def asked_of(spark, n):
+    """Who was there (user < n), and as many who were not."""
+    return spark.range(2 * n).select(
+        F.concat(F.lit("u"), F.col("id")).alias("user_id"), F.lit("s").alias("system"),
+        F.lit(dt.datetime(2024, 1, 2)).cast("timestamp").alias("bucket_start"), (F.col("id") < n).alias("there"),
+    )
+
+
+def test_stored_filters_grow_and_keep_their_rate(spark, tmp_path, monkeypatch):
+    """Many batches into filters that begin small: no value is lost, and few are made up."""
+    from auditloom.operators import bloom
+    from auditloom.operators.routing import RULES
+    from auditloom.streaming.jobs import apply_batch
+
+    monkeypatch.setattr(bloom, "_FIRST", 64)
+    n, store = 4000, RollupStore(spark, str(tmp_path))
+    rules = [r for r in RULES if r.metric == "user_activity"]
+    people = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(START + 86_400) + F.col("id") * 20).alias("ts"),
+        F.lit("api_access").alias("event_type"), F.lit("s").alias("system"), F.concat(F.lit("u"), F.col("id")).alias("user_id"),
+        *[F.lit(None).cast("string").alias(c) for c in ("session_id", "ip", "endpoint", "status_code")], F.lit(1.0).alias("latency_ms"),
+    )
+    for batch in range(6):
+        part = people.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == batch)
+        apply_batch(store, part, batch, rules=rules)
+        if batch == 3:
+            store.compact("bloom")
+        assert not apply_batch(store, part, batch, rules=rules)
+
+    def answers(window, bucket):
+        asked = asked_of(spark, n).withColumn("bucket_start", F.lit(bucket).cast("timestamp"))
+        rows = reports.activity_from_filters(store.tiles("bloom", window), asked, window).collect()
+        assert len(rows) == 2 * n and all(r.accessed for r in rows if r.there)
+        assert all(0.9 < r.probability <= 1 for r in rows if r.accessed) and all(r.probability == 1 for r in rows if not r.accessed)
+        return sum(r.accessed for r in rows if not r.there) / n
+
+    day, week = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 1)
+    sizes = {r.blocks for r in store.read("bloom", "1d").select("blocks").distinct().collect()}
+    assert len(sizes) >= 2  # it has grown
+    assert answers("1d", day) < 0.04 and answers("1w", week) < 0.04
+    assert store.compact("bloom") > 0
+    assert answers("1d", day) < 0.04
+    held = bloom.held(store.read("bloom", "1d"), KEY).collect()
+    assert all(h["items"] <= h.blocks * bloom._room() * 1.1 for h in held)
+    assert store.expire("bloom", dt.datetime(2024, 6, 1)) == 1
+    assert store.read("bloom", "1d").count() == 0 and answers("1w", week) < 0.04
+    assert store.footprint(["bloom"]).count() == 2  # weeks and months
+    assert store.expire("bloom", dt.datetime(2027, 1, 1)) > 0 and store.tiles("bloom", "1w").count() == 0
+
+
+def test_counters_hold_their_bounds(spark, events, tmp_path):
+    """Counters of any batches, added in any order and cut again, bound every true count."""
+    import random
+
+    from auditloom.operators import heavy
+
+    random.seed(4)
+    rows = [("m", "s", f"i{int(random.paretovariate(0.7)) % 400}") for _ in range(6000)]
+    truth = {}
+    for _, _, i in rows:
+        truth[i] = truth.get(i, 0) + 1
+    last = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp").alias("last_ts")
+    df = spark.createDataFrame([(*r, n % 7) for n, r in enumerate(rows)], "metric string, system string, item string, part int")
+    keys = ["metric", "system"]
+    counts = df.groupBy(*keys, "part", "item").agg(F.count("*").alias("cnt")).select("*", last)
+    for slots in (3, 10, 60):
+        parts = heavy.counter_cut(counts, [*keys, "part"], slots)
+        some = heavy.counter_merge(parts.withColumn("half", F.col("part") % 2), [*keys, "half"], slots)
+        total = heavy.counter_merge(some, keys, slots)
+        got = {r["item"]: r for r in heavy.counter_bounds(total, keys).collect()}
+        error = total.where("item is null").first().cnt
+        assert len(got) <= slots and error * (slots + 1) <= len(rows)
+        assert all(r.low <= truth[i] <= r.high for i, r in got.items())
+        assert all(i in got for i, n in truth.items() if n > error)
+    empty = heavy.counter_merge(counts.where("false").drop("part"), keys)
+    assert empty.count() == 0
+
+
+def test_theta_sketches_are_stored(spark, events, tmp_path):
+    from auditloom.operators.distinct import present_in_all_stored
+    from auditloom.operators.routing import MetricRule
+    from auditloom.streaming.jobs import apply_batch
+
+    store = RollupStore(spark, str(tmp_path))
+    rule = MetricRule("theta", "users", "user_id", "true", ("1h", "1d"))
+    for batch in range(2):
+        apply_batch(store, events.where(F.col("event_id") % 3 == batch), batch, rules=[rule])
+    store.compact("theta")
+    seen = events.where("event_id % 3 < 2")
+    both = seen.groupBy("user_id").agg(F.count_distinct("system").alias("n")).where("n = 2").count()
+    found = present_in_all_stored(store.at("theta", "1d"), "system", [], 2).first()
+    assert found.estimate == both  # few values: exact
+    assert store.expire("theta", dt.datetime(2024, 1, 9, 12)) >= 1
+    assert present_in_all_stored(store.at("theta", "1w"), "system", [], 2).first().estimate == both
+    with pytest.raises(ValueError, match="unknown structure"):
+        apply_batch(store, events, 9, rules=[MetricRule("nothing", "m", "user_id", "true", ("1h",))])
