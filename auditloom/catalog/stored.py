@@ -13,7 +13,7 @@ from auditloom.catalog.compliance import _FIVE, _SUMMARY_SQL, DAILY, _maintained
 from auditloom.catalog.distincts import BOUND
 from auditloom.catalog.ingest import _ANSWERS, _QUESTIONS, known_members, questions
 from auditloom.catalog.registry import ORACLES, query
-from auditloom.catalog.streams import _CONTENT, _content
+from auditloom.catalog.streams import _CONTENT, _content, resent
 from auditloom.functions.buckets import bucket_start, bucket_start_by
 from auditloom.functions.numbers import percentile_label_col, ranked_text, tidy
 from auditloom.operators import heavy
@@ -164,6 +164,30 @@ def d28_error(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "i02_stream_bounded_counters",
+    f"""with {AUDIT}, c as (select system, {DAY} as bucket, user_id as item, count(*) as exact from audit group by all),
+      n as (select system, bucket, sum(exact) as n from c group by all)
+    select system, bucket, item, exact, true as within_error from c join n using (system, bucket) where exact * {heavy.SLOTS + 1} > n""",
+)
+def i02_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Heavy users by day from counters that a stream of repeated events keeps up to date."""
+    path = run_dir(spark, "heavy")
+    store = RollupStore(spark, f"{path}/store")
+    rule = MetricRule("heavy", "users", "user_id", "user_id is not null", ("1h", "1d"))
+    jobs.maintain(resent(spark, d), store, f"{path}/checkpoint", [rule])
+    bounds = heavy.counter_bounds(store.at("heavy", "1d"), ["system", "bucket_start"])
+    rows = audit_events(spark, d).withColumn("bucket_start", bucket_start(F.col("ts"), "1d"))
+    exact = materialize(
+        rows.groupBy("system", "bucket_start", F.col("user_id").alias("item")).agg(F.count(F.lit(1)).alias("exact")), "exact"
+    )
+    sizes = exact.groupBy("system", "bucket_start").agg(F.sum("exact").alias("n"))
+    wanted = exact.join(sizes, ["system", "bucket_start"]).where(F.col("exact") * (heavy.SLOTS + 1) > F.col("n"))
+    both = wanted.join(bounds, ["system", "bucket_start", "item"], "left")
+    inside = F.coalesce(F.col("exact").between(F.col("low"), F.col("high")), F.lit(False))
+    return labelled(both.select("system", "bucket_start", "item", "exact", inside.alias("within_error")), "1d")
+
+
 # ---- reset ---------------------------------------------------------------------------------
 @query(
     "d48_reset",

@@ -47,11 +47,12 @@ def run(
         state_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         if spark.sparkContext.master.startswith("local"):
             state_partitions = min(state_partitions, 2 * spark.sparkContext.defaultParallelism)
+    options = dict(trigger) if trigger is not None else {"availableNow": True}
+    # a query takes the session's settings with it when it starts
     with shuffle_partitions(spark, state_partitions):
-        options = dict(trigger) if trigger is not None else {"availableNow": True}
         query = writer.option("checkpointLocation", checkpoint).trigger(**options).start()
-        if trigger is None:
-            query.awaitTermination()
+    if trigger is None:
+        query.awaitTermination()
     return query
 
 
