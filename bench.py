@@ -17,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from auditloom.functions.buckets import bucket_start, bucket_start_by  # noqa: E402
 from auditloom.operators import bloom, countmin, heavy, members, moments, rollup  # noqa: E402
+from auditloom.operators.compiled import rollups  # noqa: E402
 from auditloom.operators.distinct import estimate, hll_rollup, merge_hll  # noqa: E402
 from auditloom.operators.mergeable import hll, kll  # noqa: E402
 from auditloom.operators.quantiles import exact_percentiles, kll_rollup, percentiles  # noqa: E402
@@ -94,8 +95,8 @@ def cases(spark: SparkSession) -> tuple[dict[str, Callable[[], None]], int, dict
         # the valid events are a table of their own, and the roll-ups read it
         valid = records.accepted(records.validate(records.parse_records(lines)))
         valid = materialize(valid.drop("metadata"), "valid")
-        for make in built.values():
-            sink(make(valid))
+        for rows in rollups(valid).values():
+            sink(rows)
 
     def summary() -> None:
         hourly = reports.distinct_counts(store.read("hll", "1h", start=as_of, end=as_of))
