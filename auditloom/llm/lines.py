@@ -14,8 +14,8 @@ _TAGS = r"<[^>]*>"
 
 
 def page_host(url: Column) -> Column:
-    """Lower-case host of a URL without port; null if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)
+    """Lower-case host of a URL without user and port; null if there is none."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#@]+)", 1)
     return F.when(F.length(host) > 0, F.lower(host))
 
 

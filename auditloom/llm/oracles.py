@@ -30,7 +30,7 @@ from words w left join left_over l using (doc_id)
 OP7 = rf"""
 with cleaned as (
   select page_id, html, nullif(lower(regexp_extract(coalesce(url, ''),
-      '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '') as host,
+      '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#@]+)', 1)), '') as host,
     string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
       '{lines._HIDDEN}', '', 'g'), '{lines._BREAKS}', chr(10), 'g'), '{lines._TAGS}', '', 'g'), chr(10)) as raw
   from pages),
@@ -68,15 +68,15 @@ crc_table as (
       lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as c
     from (select unnest(range(256)) as b))),
 texts as (
-  select doc_id, source, encode(coalesce(text, '')) as data from documents),
+  select row_number() over () as row, doc_id, source, encode(coalesce(text, '')) as data from documents),
 bytes as (
-  select doc_id, source, octet_length(data) as n_bytes, hex(data) as digits from texts),
+  select row, doc_id, source, octet_length(data) as n_bytes, hex(data) as digits from texts),
 numbers as (
-  select doc_id, source, n_bytes, list_transform(range(n_bytes),
+  select row, doc_id, source, n_bytes, list_transform(range(n_bytes),
     lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint) as codes
   from bytes),
 summed as (
-  select doc_id, source, n_bytes, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, codes),
+  select row, doc_id, source, n_bytes, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, codes),
     lambda x, b: xor(x >> 8, crc[1 + (xor(x, b) & 255)]))) as text_crc32
   from numbers, crc_table)"""
 
@@ -119,14 +119,14 @@ join edf t on t.slot >= 0 and t.pick = q.i and t.k = r.pos // 8, lists l
 OP10 = f"""
 with {_CRC},
 costs as (
-  select doc_id, n_bytes + 16 as size, text_crc32, unnest(range(41)) as shard from summed),
+  select row, doc_id, n_bytes + 16 as size, text_crc32, unnest(range(41)) as shard from summed),
 drawn as (
   select *, -ln((('0x' || substr(md5(concat(coalesce(cast(doc_id as varchar), 'null'), ':',
       cast(shard as varchar))), 1, 13))::bigint + 0.5::double) / 4503599627370496) as cost from costs),
 placed as (
   select doc_id, size, text_crc32, arg_min(shard, cost) filter (shard < 40) as shard,
     arg_min(shard, cost) as grown_shard
-  from drawn group by doc_id, size, text_crc32)
+  from drawn group by row, doc_id, size, text_crc32)
 select doc_id, size, text_crc32, 'key' as law, cast(shard as integer) as shard,
   row_number() over (partition by shard order by substr(md5(concat_ws(':',
     coalesce(cast(doc_id as varchar), 'null'), cast(text_crc32 as varchar), cast(size as varchar),

@@ -22,6 +22,7 @@ def test_boilerplate_of_a_site(spark):
     page = "<html><body><nav>Menu</nav><p>Text {0}</p><div>© Site &amp; co</div><p>{1}</p></body></html>"
     rows = [(i, "http://A.example.com:80/x", page.format(i, "shared" if i < 2 else i)) for i in range(10)]
     rows += [(100 + i, "http://b.example.com/", page.format(i, "b")) for i in range(3)]
+    rows += [(300 + i, f"https://user{i}:p@w@C.example.com:8080?q=a@b", "<p>Same</p>" + f"<p>{i}</p>") for i in range(6)]
     rows += [(200, None, None), (201, "no url", "<!-- a\nb --><script>x<p></script>"), (None, "", ""), (0, "http://a.example.com", "<p>Menu</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as lines")
     got = line_dedup(pages).collect()
@@ -31,6 +32,8 @@ def test_boilerplate_of_a_site(spark):
     assert text[0, 1] == ""
     assert text[100, 4] == "Menu\nText 0\n© Site &amp; co\nb"  # too few pages to tell
     assert text[200, 0] == "" and text[201, 0] == "" and text[None, 0] == ""
+    assert {r.host for r in got if r.page_id in range(300, 306)} == {"c.example.com"}
+    assert all(r.text == str(r.page_id - 300) for r in got if r.page_id in range(300, 306))
     assert line_dedup(pages.where("false")).count() == 0
 
 
