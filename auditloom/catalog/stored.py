@@ -92,10 +92,9 @@ def k02_filter(spark: SparkSession, d: str) -> DataFrame:
     """Activity of a user, from filters that batches keep up to date and no stored ids."""
     store, events = RollupStore(spark, run_dir(spark, "filters")), audit_events(spark, d)
     rules = [r for r in rules_for("bloom", RULES) if r.metric == "user_activity"]
-    for batch in range(4):
-        jobs.apply_batch(store, events.where(F.col("event_id") % 4 == batch), batch, rules=rules)
-        if batch == 1:
-            store.compact("bloom")
+    for batch in range(2):
+        jobs.apply_batch(store, events.where(F.col("event_id") % 2 == batch), batch, rules=rules)
+    store.compact("bloom")
     asked = questions(events).select(
         F.lit("user_activity").alias("metric"), "system", "window", "user_id",
         bucket_start_by(F.col("ts"), F.col("window")).alias("bucket_start"),
@@ -131,12 +130,12 @@ _ITEM = "case when event_id % 2 = 0 then event_type else concat('one-', cast(eve
 @query(
     "d28_bounded_with_error",
     f"""with {AUDIT}, c as (select system, {_ITEM} as item, count(*) as exact from audit group by all),
-      n as (select system, sum(exact) as n, count(*) as items from c group by 1)
+      n as (select system, sum(exact) as n from c group by 1)
     select system, item, exact, true as found, true as count_within_error, true as error_within_bound, true as state_bounded
-    from c join n using (system) where exact * {_SLOTS + 1} > n and items > 100 * {_SLOTS}""",
+    from c join n using (system) where exact * {_SLOTS + 1} > n""",
 )
 def d28_error(spark: SparkSession, d: str) -> DataFrame:
-    """A hundred times more items than counters, kept by day in a store and added up."""
+    """Far more items than counters (a hundred times from sf0.01 on), kept by day and added up."""
     store, events = RollupStore(spark, run_dir(spark, "counters")), audit_events(spark, d)
     rule = MetricRule("heavy", "kinds", _ITEM, "true", ("1d",))
     for batch in range(3):
@@ -149,11 +148,11 @@ def d28_error(spark: SparkSession, d: str) -> DataFrame:
     exact = materialize(
         events.groupBy("system", F.expr(_ITEM).alias("item")).agg(F.count(F.lit(1)).alias("exact")), "exact"
     )
-    sizes = exact.groupBy("system").agg(F.sum("exact").alias("n"), F.count(F.lit(1)).alias("items"))
+    sizes = exact.groupBy("system").agg(F.sum("exact").alias("n"))
     state = total.groupBy("system").agg(
         F.count("item").alias("kept"), F.max(F.when(F.col("item").isNull(), F.col("cnt"))).alias("left_out")
     )
-    wanted = exact.join(sizes, "system").where((F.col("exact") * (_SLOTS + 1) > F.col("n")) & (F.col("items") > 100 * _SLOTS))
+    wanted = exact.join(sizes, "system").where(F.col("exact") * (_SLOTS + 1) > F.col("n"))
     found = wanted.join(bounds.drop("metric"), ["system", "item"], "left").join(state, "system")
     inside = F.col("exact").between(F.col("low"), F.col("high"))
     return found.select(

@@ -178,9 +178,12 @@ def _selected(rows: DataFrame, keys: Sequence[str], brackets: DataFrame, ranked_
         )
         rest = brackets.where(F.col("inside") <= ranked_rows).drop("id").unionByName(narrowed)
         brackets = materialize(rest.withColumn("id", F.monotonically_increasing_id().cast("long")), "brackets")
-    counted = _within(rows, keys, brackets, "below", "ats").groupBy(*keys, "id", "below", "ats", "value").agg(
-        F.count(F.lit(1)).alias("c")
-    )
+    many = F.count(F.lit(1)).alias("c")
+    if done:
+        counted = _within(rows, keys, brackets, "below", "ats").groupBy(*keys, "id", "below", "ats", "value").agg(many)
+    else:  # no key was large: values are counted before they meet anything
+        whole = brackets.select(*keys, "id", "below", "ats")
+        counted = join_groups(rows.groupBy(*keys, "value").agg(many), whole, keys)
     # a bracket holds ``ranked_rows`` rows at most
     upto = F.sum("c").over(Window.partitionBy(*keys, "id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("upto", F.col("below") + upto)
