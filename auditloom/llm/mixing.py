@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditloom.llm.text import unused
+from auditloom.session import measured
 
 #: The total of the weights in lowest terms, at most: rows of the timetable that is sent to
 #: every executor (some 30 MB). It bounds how finely weights can be stated, and the sources.
@@ -120,8 +121,12 @@ def mix(
     ).withColumn(part, F.substring(hashed, 1, digits))
     totals = keyed.groupBy(own, part).agg(F.count("*").alias("n"))
     before = Window.partitionBy(own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col(own).alias(s_), F.col(part).alias(p_), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset)
+    # written out, so that the rows are not shuffled to meet a table that turns out small
+    offsets = measured(
+        totals.select(
+            F.col(own).alias(s_), F.col(part).alias(p_), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset)
+        ),
+        "offsets",
     )
     inside = Window.partitionBy(own, part).orderBy(hashed)
     ranked = (
