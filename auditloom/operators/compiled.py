@@ -9,6 +9,8 @@ costs a column or a row, not another pass.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,15 +130,18 @@ def rollups(
     for rule in rules:
         if rule.structure not in (*MEASURED, *COUNTED):
             raise ValueError(f"unknown structure {rule.structure}; valid: {', '.join((*MEASURED, *COUNTED))}")
+    passes = [
+        (make, own, window)
+        for window in WINDOW_CODES
+        for kinds, make in ((MEASURED, _measured), (COUNTED, partial(_counted, stored=stored)))
+        if (own := [r for r in rules if base_window(r) == window and r.structure in kinds])
+    ]
     out: dict[str, DataFrame] = {}
-    for window in WINDOW_CODES:
-        based = [r for r in rules if base_window(r) == window]
-        for kinds, make in (
-            (MEASURED, lambda e, r, w: _measured(e, r, w)),
-            (COUNTED, lambda e, r, w: _counted(e, r, w, stored)),
-        ):
-            own = [r for r in based if r.structure in kinds]
-            if own:
-                for structure, rows in make(events, own, window).items():
-                    out[structure] = rows if structure not in out else out[structure].unionByName(rows)
+    if passes:
+        # independent passes: their jobs share the cluster instead of queueing
+        with ThreadPoolExecutor(len(passes)) as pool:
+            made = [pool.submit(make, events, own, window) for make, own, window in passes]
+        for tables in made:
+            for structure, rows in tables.result().items():
+                out[structure] = rows if structure not in out else out[structure].unionByName(rows)
     return out

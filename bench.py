@@ -8,6 +8,7 @@ import statistics
 import sys
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,8 +96,9 @@ def cases(spark: SparkSession) -> tuple[dict[str, Callable[[], None]], int, dict
         # the valid events are a table of their own, and the roll-ups read it
         valid = records.accepted(records.validate(records.parse_records(lines)))
         valid = materialize(valid.drop("metadata"), "valid")
-        for rows in rollups(valid).values():
-            sink(rows)
+        tables = rollups(valid)
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(sink, tables.values()))
 
     def summary() -> None:
         hourly = reports.distinct_counts(store.read("hll", "1h", start=as_of, end=as_of))
