@@ -9,10 +9,14 @@ the hash of all their words as written, so they fit only what is equal to them.
 that covers enough of an item's words, or a long run of them, is contaminated by it,
 verbatim or with changed parameters.
 
-Benchmarks share passages, such as the heads of their prompts. A window that many items
-carry tells little about any of them, and proposes no pair: it only adds to pairs that a
-rarer window has proposed. A document that holds nothing but shared passages is reported
-once, for one item that carries them.
+Benchmarks share passages, such as the heads of their prompts. With ``few_items=None`` every
+window proposes pairs with all items that carry it, and every pair is told. Otherwise a
+window that more items carry only adds to pairs that a rarer window has proposed, and a
+document that is left without a pair is judged on all its windows against all items that
+carry them, and told once: the same documents are found, with fewer pairs.
+
+Documents with the same windows fare alike, so one of them is judged for all. Pairs whose
+windows could not cover enough even if all of them fit are not judged.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ UNITS = (
     "cents pound pounds mph kmh hz w kw v"
 ).split()
 
-#: Items that may carry a window before it counts as shared.
+#: Items that may carry a window before it counts as shared, unless all pairs are asked for.
 FEW_ITEMS = 8
 
 #: Benchmark windows up to this number are sent to every task as a filter (8 bytes each);
@@ -245,6 +249,24 @@ def _keyed(table: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _classes(hits: DataFrame, doc: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Hits of one document for all that have the same, and the members of every such class.
+
+    Classes are told apart by two 64-bit hashes of all their hits and the number of these.
+    """
+    what = [c for c in hits.columns if c not in doc]
+    sign = [F.bit_xor(F.xxhash64(F.lit(k), *what)).alias(f"sign_{k}") for k in (1, 2)]
+    signs = hits.groupBy(*doc).agg(*sign, F.count("*").alias("size"))
+    of = ["sign_1", "sign_2", "size"]
+    least = signs.groupBy(*of).agg(F.min(F.struct(*doc)).alias("least"))
+    members = signs.withColumnsRenamed({c: f"member_{c}" for c in doc})
+    alike = materialize(
+        members.join(least, of).select(*(f"least.{c}" for c in doc), *(f"member_{c}" for c in doc)), "alike"
+    )
+    stand = alike.select(*doc).distinct()
+    return materialize(join_groups(hits, stand, doc), "class_hits"), alike
+
+
 def contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -254,15 +276,16 @@ def contamination(
     filter_windows: int = FILTER_WINDOWS,
     any_case: bool = False,
     least_run: int = 13,
-    few_items: int = FEW_ITEMS,
+    few_items: int | None = FEW_ITEMS,
 ) -> DataFrame:
     """Documents that hold a benchmark item, one row for each such pair.
 
     Returns ``doc_id, mark, item_id, coverage, n_windows, n_slots, n_changed, kind``: the
     share of the item's template words in fitting windows, and whether parameters were
-    changed (``verbatim`` or ``reparameterised``). A document that only holds windows that
-    more than ``few_items`` items carry has one row of kind ``shared`` for the least of these
-    items. ``mark`` is the XXH64 of the text, which
+    changed (``verbatim`` or ``reparameterised``). With ``few_items=None`` this holds for
+    every pair. With a number, pairs need a window that no more items carry; a document that
+    holds items only by more common windows has one row of kind ``shared`` for the least of
+    them. Both find the same documents. ``mark`` is the XXH64 of the text, which
     tells rows of one doc_id apart; rows equal in both are one document. Texts that share an
     item_id are judged apart. Null or empty
     texts hold nothing and are held by nothing; an empty table on either side gives no
@@ -270,7 +293,7 @@ def contamination(
     With ``any_case`` windows are also joined in a form in which names are lower-cased words,
     so copies match whatever their case and place in a sentence. A pair is reported if fitting
     windows cover ``least_coverage`` of the item's words, or if windows that few items carry
-    cover ``least_run`` words in a row. Windows that a document repeats are counted before
+    (any, for ``None`` and for kind ``shared``) cover ``least_run`` words in a row. Windows that a document repeats are counted before
     they are joined, so a very long text costs what it holds of different windows.
     """
     items = _keyed(benchmark, "item_id").where("text <> ''").distinct()
@@ -282,18 +305,14 @@ def contamination(
         "benchmark",
     )
     one = F.struct("item_id", "item_mark")
+    own = F.count("*") > 0 if few_items is None else F.count_distinct(one) <= few_items
     carried = materialize(
-        theirs.groupBy("w", "item_n").agg(F.count_distinct(one).alias("items"), F.min(one).alias("first")).select(
-            F.col("w").alias("window"), F.col("item_n").alias("n"), (F.col("items") <= few_items).alias("own"), "first"
-        ),
+        theirs.groupBy(F.col("w").alias("window"), F.col("item_n").alias("n")).agg(own.alias("own")),
         "carried",
     )
     keyed = ["window", "n"]
     theirs = materialize(
-        theirs.withColumnsRenamed({"w": "window", "item_n": "n"}).join(carried, keyed).withColumn(
-            "is_first", one.eqNullSafe(F.col("first"))
-        ).drop("first"),
-        "items",
+        theirs.withColumnsRenamed({"w": "window", "item_n": "n"}).join(carried, keyed), "items"
     )
     number = carried.select("window").distinct().limit(filter_windows + 1).count()
     lengths = [r[0] for r in carried.select("n").distinct().collect()]  # at most ``width``
@@ -309,32 +328,43 @@ def contamination(
         "hits",
     )
     doc, item = ["id", "mark"], ["item_id", "item_mark"]
+    hits, alike = _classes(hits, doc)
     rows = ["id", "mark", *item, "item_at", "n", "total", "slots", "item_slots", "c", "own"]
-    rare = materialize(hits.where("own").join(theirs.drop("own"), keyed).select(*rows), "rare")
-    proposed = rare.select(*doc, *item).distinct()
-    # what is shared joins pairs that are there already
-    support = join_groups(hits.where("not own"), proposed, doc).select(*hits.columns, *item)
-    shared = theirs.where("not own").drop("own", "is_first")
-    support = join_groups(support, shared, [*item, *keyed]).select(*rows)
-    judge = (
+    schema = (
         "doc_id long, mark long, item_id long, coverage double, longest long, n_windows long, n_slots long, n_changed long"
     )
     enough = (F.col("coverage") >= least_coverage) | (F.col("longest") >= least_run)
-    pairs = materialize(
-        rare.unionByName(support).groupBy(*doc, *item).applyInPandas(_judge, judge).where(enough), "pairs"
-    )
+
+    def judged(found: DataFrame, label: str) -> DataFrame:
+        # no more words are covered than all windows have
+        reach = found.groupBy(*doc, *item).agg(F.sum("n").alias("reach"), F.max("total").alias("of"))
+        likely = reach.where((F.col("reach") / F.col("of") >= least_coverage) | (F.col("reach") >= least_run))
+        found = join_groups(found, likely.select(*doc, *item), [*doc, *item])
+        return materialize(found.groupBy(*doc, *item).applyInPandas(_judge, schema).where(enough), label)
+
+    rare = materialize(hits.where("own").join(theirs.drop("own"), keyed).select(*rows), "rare")
     kind = F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim")
-    # documents of shared passages only: one item stands for all that carry a window
-    first = theirs.where("not own and is_first").drop("own", "is_first")
-    heads = hits.where("not own").join(first, keyed).withColumn("own", F.lit(True)).select(*rows)
-    only = heads.groupBy(*doc, *item).applyInPandas(_judge, judge).where(enough)
-    named = [c for c in pairs.columns if c not in ("doc_id", "mark")]
-    only = only.groupBy("doc_id", "mark").agg(F.min_by(F.struct(*named), F.struct("item_id", "n_windows")).alias("s"))
-    told = pairs.select("doc_id", "mark").distinct().withColumn("told", F.lit(True))
-    only = join_groups(only, told, ["doc_id", "mark"], "left").where("told is null").select("doc_id", "mark", "s.*")
-    return (
-        pairs.withColumn("kind", kind).unionByName(only.withColumn("kind", F.lit("shared"))).drop("longest")
-    )
+    if few_items is None:
+        told = judged(rare, "pairs").withColumn("kind", kind)
+    else:
+        # what is shared joins pairs that are there already
+        support = join_groups(hits.where("not own"), rare.select(*doc, *item).distinct(), doc).select(*hits.columns, *item)
+        support = join_groups(support, theirs.where("not own").drop("own"), [*item, *keyed]).select(*rows)
+        pairs = judged(materialize(rare.unionByName(support), "rows"), "pairs")
+        # documents that no pair tells of: all their windows count, and the least item stands for all
+        left = hits.where("not own").select(*doc).distinct()
+        gone = pairs.select(F.col("doc_id").alias("id"), "mark").distinct().withColumn("told", F.lit(True))
+        left = join_groups(left, gone, doc, "left").where("told is null").drop("told")
+        all_rows = join_groups(hits, left, doc).withColumn("own", F.lit(True)).join(theirs.drop("own"), keyed)
+        only = judged(materialize(all_rows.select(*rows), "all_rows"), "shared")
+        named = [c for c in only.columns if c not in ("doc_id", "mark")]
+        only = only.groupBy("doc_id", "mark").agg(F.min_by(F.struct(*named), F.struct("item_id", "n_windows")).alias("s"))
+        only = only.select("doc_id", "mark", "s.*").withColumn("kind", F.lit("shared"))
+        told = pairs.withColumn("kind", kind).unionByName(only)
+    told = told.drop("longest").withColumnRenamed("doc_id", "id")
+    columns = ["doc_id", "mark", *(c for c in told.columns if c not in doc)]
+    told = join_groups(alike, told, doc).drop(*doc)
+    return told.withColumnsRenamed({"member_id": "doc_id", "member_mark": "mark"}).select(*columns)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

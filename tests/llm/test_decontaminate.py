@@ -202,3 +202,33 @@ def test_verbatim_parts_against_brute_force(spark, docs_of):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contamination(docs_of(docs), bench, few_items=100).collect()}
     assert got == plain_pairs(docs, items) and len(got) > 30
+
+
+def test_every_pair_is_told_against_brute_force(spark, docs_of):
+    """Windows that many items carry propose pairs like others, when all pairs are asked for."""
+    _, items, own = _heads(30)
+    head = items[0].split(". ")[0]
+    items = [*enumerate(items), (40, f"{head} {own(50)} {own(51)} {own(52)}"), (41, own(60))]
+    texts = [f"{FILLER} {head}", f"{FILLER} {head} {own(3)}", f"{own(60)} {head[:60]}", f"{FILLER} {own(5)}"] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = contamination(docs_of(texts), bench, few_items=None).collect()
+    want = plain_pairs([*enumerate(texts)], items)
+    assert sorted((r.doc_id, r.item_id) for r in rows) == sorted(want) and len(want) > 120
+    assert {r.kind for r in rows} == {"verbatim"}
+    left = {r.doc_id for r in decontaminate(docs_of(texts), bench).select("doc_id").collect()}
+    assert left == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_shared_passages_of_other_items_than_the_least(spark, docs_of):
+    """No passage's least item is held by the document, but items with two of them are."""
+    word = lambda a, b: f"{'klmnopqrst'[a % 10]}{'abcdefghij'[a // 10]}{'uvwxyzabcdefghijklmnopqrst'[b % 26]}{'xy'[b // 26]}"
+    one, two = ("first of two known passages that stand about", "then comes another passage which many others carry")
+    own = lambda i, n: " ".join(word(i, b) for b in range(n))
+    items = [f"{one} {own(i, 40)}" for i in range(10)] + [f"{two} {own(i, 40)}" for i in range(10, 20)]
+    items += [f"{one} {own(i, 3)} {two}" for i in range(20, 30)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{FILLER} {one} {FILLER} {two} {FILLER}", f"{FILLER} {one} {FILLER}"]
+    got = contamination(docs_of(texts), bench).collect()
+    assert [(r.doc_id, r.item_id, r.kind) for r in got] == [(0, 20, "shared")]
+    every = contamination(docs_of(texts), bench, few_items=None).collect()
+    assert sorted((r.doc_id, r.item_id) for r in every) == [(0, i) for i in range(20, 30)]
