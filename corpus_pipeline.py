@@ -58,7 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _through(docs, lambda d: decontaminate(d, benchmark, any_case=True))
+    return _through(docs, lambda d: decontaminate(d, benchmark, any_case=True, few_items=None))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
