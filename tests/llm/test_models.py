@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from auditloom.llm import cotraining
 from auditloom.llm.cotraining import fit_quality, quality_scores
 from auditloom.llm.toxicity import (
-    LEAST_SCORE, STEP, TOKEN, _logistic, features, fit_toxicity, held_out, segments, toxicity,
+    FEW_TOXIC, LEAST_SCORE, STEP, TOKEN, _logistic, features, fit_toxicity, held_out, segments, toxicity,
 )
 
 from .conftest import EDGE
@@ -255,3 +255,16 @@ def test_cotraining_against_brute_force(spark):
         logit = [final[v][0] + final[v][1] * raw(seen, total, r.doc_id, v) for v in range(2)]
         a, b, c = model.weights
         assert r.score == pytest.approx(1 / (1 + np.exp(-(a + b * logit[0] + c * logit[1]))), abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [84, 120])
+def test_toxicity_of_few_labels_ranks_held_out_rows(spark, n):
+    """Some toxic rows to learn from, too few for the usual prior, still tell the words they share."""
+    docs, labels, _ = corpus(spark, n)
+    labels = labels.where(F.col("doc_id") < n - 60)
+    train = labels.where(~held_out(F.col("doc_id")))
+    assert 3 <= train.where("toxic = 1").count() < FEW_TOXIC
+    rows = toxicity(docs, fit_toxicity(docs, labels)).where(held_out(F.col("doc_id"))).collect()
+    high, low = ([r.score for r in rows if (r.doc_id % 3 == 0) == t] for t in (True, False))
+    assert sum((a > b) + (a == b) / 2 for a in high for b in low) / (len(high) * len(low)) > 0.75
+    assert all(0 <= r.score <= 1 for r in rows)
