@@ -6,7 +6,8 @@ also have the same *anchor*, the smallest hash of their ``gram``-word runs. So
 1. anchors are counted over the corpus; a window whose anchor is not found twice
    cannot occur twice and is left alone;
 2. runs of remaining windows with one anchor become *segments*; equal segments are folded
-   into their first owner before the shuffle, and all later owners lose all their windows;
+   into their first owner, by each task before the shuffle and then by their shard, and all
+   later owners lose all their windows;
 3. first owners go to the shard their anchor names. A shard builds a compressed FM-index
    of its segments in blocks of bounded size, streams the segments through it by backward
    search, and reports for every window whether an earlier one exists;
@@ -38,7 +39,9 @@ from auditloom.session import materialize
 
 #: Words of segments that one FM-index holds at most (plus one anchor's own).
 BLOCK_WORDS = 1 << 20
+#: Different segments that a task folds at a time, and about their bytes.
 _SEGMENT_ROWS = 20_000
+_SEGMENT_BYTES = 16 << 20
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, bytes]]:
@@ -156,12 +159,16 @@ def _candidates(h: np.ndarray, anchor: np.ndarray, hot: np.ndarray, width: int,
 
 
 def _segments(width: int, gram: int):
-    """Rows ``doc_id, mark, start, route, words``: runs of candidate windows with one route."""
+    """Rows ``doc_id, mark, start, route, words``: runs of candidate windows with one route.
+
+    Of equal runs that a task meets close together only the first owner's comes out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        out: dict[tuple[int, bytes], tuple] = {}
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
             for i in range(batch.num_rows):
                 anchor, hot = _known(batch, i)
                 text = _tidy(unpack.decompress(batch.column("packed")[i].as_py()))
@@ -176,18 +183,26 @@ def _segments(width: int, gram: int):
                 stop = np.flatnonzero(maybe & np.append(new[1:] | ~maybe[1:], True))
                 doc, mark = batch.column("doc_id")[i].as_py(), batch.column("mark")[i].as_py()
                 for a, b, r in zip(first.tolist(), stop.tolist(), _signed(route[first]).tolist(), strict=True):
-                    out.append((doc, mark, a, r, text[starts[a] : ends[b + width - 1]]))
-                    if len(out) >= _SEGMENT_ROWS:
+                    key = (r, text[starts[a] : ends[b + width - 1]])
+                    place = (doc is not None, doc or 0, mark, a)  # null comes first
+                    have = out.get(key)
+                    if have is None:
+                        size += len(key[1])
+                    if have is None or place < have:
+                        out[key] = place
+                    if len(out) >= _SEGMENT_ROWS or size >= _SEGMENT_BYTES:
                         yield _segment_batch(out)
-                        out = []
-            if out:
-                yield _segment_batch(out)
+                        out, size = {}, 0
+        if out:
+            yield _segment_batch(out)
 
     return run
 
 
-def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc, mark, start, route, words = zip(*rows, strict=True)
+def _segment_batch(rows: dict[tuple[int, bytes], tuple]) -> pa.RecordBatch:
+    route, words = zip(*rows, strict=True)
+    known, doc, mark, start = zip(*rows.values(), strict=True)
+    doc = [d if k else None for k, d in zip(known, doc, strict=True)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(doc, pa.int64()),
@@ -352,14 +367,11 @@ def substring_dedup(
     segments = packed.join(k, same).drop("d", "m").mapInArrow(
         _segments(width, gram), "doc_id long, mark int, start long, route long, words binary"
     )
-    firsts = segments.groupBy("route", "words").agg(
+    # one shuffle: rows of one route are together, so equal segments among them are too
+    firsts = segments.repartition("route").groupBy("route", "words").agg(
         F.min(F.struct("doc_id", "mark", "start")).alias("first")
     )
-    shards = (
-        firsts.select("first.*", "route", "words")
-        .repartition("route")
-        .sortWithinPartitions("route")
-    )
+    shards = firsts.select("first.*", "route", "words").sortWithinPartitions("route")
     kept = materialize(
         shards.mapInArrow(_shard(width, block_words), "doc_id long, mark int, start long, n long"),
         "kept",

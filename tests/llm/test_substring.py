@@ -3,12 +3,13 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditloom.llm.fmindex import FMIndex
-from auditloom.llm.substring import substring_dedup
+from auditloom.llm.substring import _pack, _segments, _shrink, substring_dedup
 from auditloom.llm.text import hashes, offsets
 
 from .conftest import EDGE
@@ -97,3 +98,21 @@ def test_words_are_split_at_ascii_space(texts):
     assert words == [w for r in raw for w in r.split()]
     h = hashes(buf, starts, ends)
     assert len(set(h.tolist())) == len(set(words))
+
+
+def test_equal_segments_of_a_task_are_folded_into_their_first_owner():
+    """Also across batches, whatever the order; no doc_id comes first."""
+    text = " ".join(f"w{i}" for i in range(40))
+    run = _pack(8, 4)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]))
+    known = [{"anchor": a, "hot": False} for b in run for a in b.column("anchor").to_pylist()]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("hot", pa.bool_())]))
+
+    def batch(ids):
+        docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": [text] * len(ids)})
+        packed = next(_shrink(iter([docs])))
+        return packed.append_column("known", pa.array([known] * len(ids), kind))
+
+    rows = [r for b in _segments(8, 4)(iter([batch([9, 4]), batch([7, 5])])) for r in b.to_pylist()]
+    assert len({(r["route"], r["words"]) for r in rows}) == len(rows) > 1 and {r["doc_id"] for r in rows} == {4}
+    rows = [r for b in _segments(8, 4)(iter([batch([9, 4]), batch([7, None])])) for r in b.to_pylist()]
+    assert len({(r["route"], r["words"]) for r in rows}) == len(rows) > 1 and {r["doc_id"] for r in rows} == {None}
