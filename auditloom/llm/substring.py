@@ -59,13 +59,18 @@ def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, hashes(buf, starts, ends)
 
 
+def _least(grams: np.ndarray, span: int) -> np.ndarray:
+    """The anchor of every window."""
+    return sliding(np.minimum, grams, span) if len(grams) >= span else np.zeros(0, np.uint64)
+
+
 def _anchors(h: np.ndarray, width: int, gram: int):
     """Gram hashes, the anchor of every window, and which grams are an anchor of some window."""
     grams = rolling(h, gram)
     span = width - gram + 1
-    if len(grams) < span:
-        return grams, np.zeros(0, np.uint64), np.zeros(len(grams), bool)
-    least = sliding(np.minimum, grams, span)
+    least = _least(grams, span)
+    if not len(least):
+        return grams, least, np.zeros(len(grams), bool)
     around = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
     return grams, least, sliding(np.maximum, around, span) == grams
 
@@ -149,13 +154,13 @@ def _find(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
 
 def _candidates(h: np.ndarray, anchor: np.ndarray, hot: np.ndarray, width: int, gram: int):
     """Windows that may be repeated (a mask), and the route of every window."""
-    least = _anchors(h, width, gram)[1]
+    least = _least(rolling(h, gram), width - gram + 1)
     if not len(least) or not len(anchor):
         return np.zeros(len(least), bool), least
     at = _find(least, anchor)
     maybe = at >= 0
     alone = maybe & hot[np.maximum(at, 0)]
-    return maybe, np.where(alone, rolling(h, width), least)
+    return maybe, np.where(alone, rolling(h, width), least) if alone.any() else least
 
 
 def _segments(width: int, gram: int):
@@ -287,8 +292,8 @@ def _first_windows(block: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
 
 def removed_words(h: np.ndarray, anchor, hot, kept, width: int, gram: int) -> np.ndarray:
     """Mask of the words that repeated windows cover, given the runs of windows that stay."""
-    maybe, _ = _candidates(h, anchor, hot, width, gram)
-    gone = maybe.copy()
+    # routes are not needed here, so no anchor counts as hot
+    gone, _ = _candidates(h, anchor, np.zeros_like(hot), width, gram)
     for start, n in kept:
         gone[start : start + n] = False
     cover = np.zeros(len(h) + 1, np.int64)
